@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import read
+from .quality_rules import quality_rules
 from .shingle_join import similar_components
 
 
@@ -14,8 +15,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(read(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op6_quality_rules": op6_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -17,3 +17,17 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
 SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id)
 """
+
+# a line is "with a word" if something is left without white space; positions of windows found twice cover three words each
+OP6 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 3),
+win2 AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p+1], w[p+2]) AS c FROM win),
+cov AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM win2, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY 1),
+base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})))::BIGINT - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD}))))::BIGINT AS n_dup_lines FROM d),
+ls AS (SELECT doc_id, source, unnest(list_filter(string_split({LOWERED.replace('text', 't')}, chr(10)), lambda x: regexp_matches(x, {WORD}))) AS x FROM d),
+ln AS (SELECT doc_id, source, translate(array_to_string(regexp_extract_all(x, {WORD}), ' '), '123456789', '000000000') AS l, len(regexp_extract_all(x, {WORD})) AS nw FROM ls)
+SELECT * FROM (SELECT b.*, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM base b LEFT JOIN cov USING (doc_id))
+"""
