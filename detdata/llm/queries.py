@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sql
+from . import repair_codec, sql
 from .common import read
 from .decontam import contaminated
 from .quality_rules import quality_rules
@@ -13,6 +13,16 @@ from .shingle_join import similar_components
 from .source_mix import mix_sources
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_codec.encode(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(read(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
@@ -30,6 +40,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repair_token_shards": op1_repair_token_shards,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op8_source_mix": op8_source_mix,
