@@ -9,7 +9,9 @@ similar sets are in the same class or in neighbouring ones; a group is a class w
 has one number of fragments, 6/5 of D+1 for its largest sets. A set with more than D non-empty segments
 sends the hashes of its non-empty segments; a set with fewer (few shingles, unevenly spread) sends its
 prefix besides, so that two such sets meet there. No link is lost, and since a segment holds several
-shingles, sets that merely share a common passage seldom meet.
+shingles, sets that merely share a common passage seldom meet. They meet less still because the most common
+shingles, HOT at most, stay out of the segments and stand last in the order: leaving the same shingles out of
+all sets only lowers their differences, so which ones are left out is free, and the list's size is fixed.
 
 Verification. The sets of candidate pairs are cut into FRAGMENTS segments; each fragment's partial overlap
 is counted by itself and the counts are summed per pair, which gives the exact intersection.
@@ -21,7 +23,7 @@ components that share a segment are compared as well. All pairs of a group of ne
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -29,6 +31,8 @@ from .common import written
 from .components import components
 
 FRAGMENTS = 16
+#: Common shingles that are left out of the segments, and those that a batch of rows may name.
+HOT, HOT_BATCH = 100_000, 4_096
 #: Keys in one Arrow batch that leaves a task.
 OUT = 400_000
 
@@ -48,8 +52,12 @@ class Plan:
         self.group(self.low[-1]) if group + 1 >= len(self.low) else None
         return 2 * (self.low[group + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def keys(self, s: np.ndarray, hot: np.ndarray) -> np.ndarray:
         n, out = len(s), []
+        order = s
+        if len(hot):
+            common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+            order, s = np.concatenate([s[~common], s[common]]), s[~common]
         own = self.group(n)
         for group in (own, own + 1):
             apart = self.most_apart(group)
@@ -57,12 +65,13 @@ class Plan:
                 continue
             count = (apart + 1) * 6 // 5 + 1
             cell = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            segments = np.add.reduceat(H.mix(s, 3), first)
-            out.append(H.mix(segments + cell[first] * np.uint64(0x9E3779B97F4A7C15), group + 101))
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(s) else []
+            if len(first):
+                segments = np.add.reduceat(H.mix(s, 3), first)
+                out.append(H.mix(segments + cell[first] * np.uint64(0x9E3779B97F4A7C15), group + 101))
             if len(first) <= apart:
                 prefix = n - -(-n * self.num // self.den) + 1
-                out.append(H.mix(s[:prefix], group + 100_003))
+                out.append(H.mix(order[:prefix], group + 100_003))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -70,26 +79,39 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(H.mix(s, 1)).astype(np.int64)), int(np.add.reduce(H.mix(s, 2)).astype(np.int64))
 
 
+def _common(sets: list) -> list:
+    """(shingle, count) of those in many of these sets: 4 and 1 in 200 at least."""
+    least, s = max(4, len(sets) // 200), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    cell = (s >> np.uint64(42)).astype(np.int32)
+    s = s[np.bincount(cell, minlength=1 << 22)[cell] >= least]
+    value, count = np.unique(s, return_counts=True)
+    top = np.flatnonzero(count >= least)
+    top = top[np.argsort(-count[top], kind="stable")[:HOT_BATCH]]
+    return [{"t": t, "c": c} for t, c in zip(value[top].view(np.int64).tolist(), count[top].tolist(), strict=True)]
+
+
 def shingle_sets(docs: DataFrame, text: str, k: int, carry: list[Column]) -> DataFrame:
     """The carried columns, n_shingles and the two halves of a 128-bit signature of the set. Rows without
-    words have 0 shingles and null signatures."""
+    words have 0 shingles and null signatures. A batch's last row carries the batch's common shingles."""
     src = docs.select(*carry, F.col(text).alias("_text"))
     keep = src.columns[:-1]
 
     def run(batches):
         for b in batches:
-            n, a, c = [], [], []
+            n, a, c, sets = [], [], [], []
             for _, h in H.texts(b.column(b.num_columns - 1)):
                 s = H.distinct(H.shingles(h, k))
                 x, y = _signature(s) if len(s) else (None, None)
-                n.append(len(s)), a.append(x), c.append(y)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=[*keep, "n_shingles", "sig", "sig2"])
+                n.append(len(s)), a.append(x), c.append(y), sets.append(s)
+            if n:
+                hot = pa.array([None] * (len(n) - 1) + [_common(sets)], pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), hot], names=[*keep, "n_shingles", "sig", "sig2", "hot"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{fields}, n_shingles long, sig long, sig2 long")
+    return src.mapInArrow(run, f"{fields}, n_shingles long, sig long, sig2 long, hot array<struct<t: long, c: long>>")
 
 
-def segment_keys(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFrame:
+def segment_keys(docs: DataFrame, text: str, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
     """(key, sig, n): one row for each key of each set; sets met before in the same task are left out."""
 
     def run(batches):
@@ -104,7 +126,7 @@ def segment_keys(docs: DataFrame, text: str, k: int, num: int, den: int) -> Data
                     continue
                 if len(seen) < 200_000:
                     seen.add(sig)
-                keys = plan.keys(s)
+                keys = plan.keys(s, hot)
                 if len(keys):
                     out.append((keys, sig, len(s)))
                     size += len(keys)
@@ -174,9 +196,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = written(shingle_sets(docs, text, k, [F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h")]), "sets")
     # the struct's least value has null ids last, so that a class is named by a real one
     classes = written(sets.where("n_shingles > 0").groupBy("sig").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_h")).alias("m"), F.max("n_shingles").alias("n")).select("sig", "n", F.col("m._id").alias("first_id"), F.col("m._h").alias("first_h")), "classes")
-    keys = segment_keys(docs, text, k, num, den)
-    from pyspark.sql import Window
-
+    common = sets.select(F.explode("hot").alias("x")).groupBy("x.t").agg(F.sum("x.c").alias("c")).orderBy(F.desc("c"), "t").limit(HOT)
+    hot = np.sort(np.array([r["t"] for r in common.collect()], np.int64).view(np.uint64))
+    keys = segment_keys(docs, text, k, num, den, hot)
     w = Window.partitionBy("key")
     met = keys.select("key", "sig", "n", F.min("sig").over(w).alias("low"), F.max("sig").over(w).alias("high")).where("low != high").select("key", "sig", F.col("n").cast("long").alias("n"), "low")
     met = written(met.distinct(), "met")

@@ -19,7 +19,7 @@ SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT doc_
 """
 
 # a line is "with a word" if something is left without white space; positions of windows found twice cover three words each
-OP6 = rf"""
+BASE6 = rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 3),
 win2 AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p+1], w[p+2]) AS c FROM win),
@@ -31,3 +31,40 @@ ls AS (SELECT doc_id, source, unnest(list_filter(string_split({LOWERED.replace('
 ln AS (SELECT doc_id, source, translate(array_to_string(regexp_extract_all(x, {WORD}), ' '), '123456789', '000000000') AS l, len(regexp_extract_all(x, {WORD})) AS nw FROM ls)
 SELECT * FROM (SELECT b.*, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM base b LEFT JOIN cov USING (doc_id))
 """
+
+OP4 = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+c AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.k = c.k GROUP BY doc_id
+"""
+
+
+def _op2(steps: int = 8, damping: float = 0.85, threshold: float = 1e-6) -> str:
+    walk = ""
+    for i in range(1, steps + 1):
+        before = "SELECT kind, host, p * (1 - {d}) AS score FROM st" if i == 1 else f"SELECT kind, host, sum(score) AS score FROM (SELECT * FROM m{i - 1} UNION ALL SELECT kind, host, p * (1 - {damping}) FROM st) GROUP BY 1, 2"
+        walk += f", m{i} AS (SELECT r.kind, s.dst AS host, {damping} * sum(r.score * s.w) AS score FROM ({before.format(d=damping)}) r JOIN s USING (kind, host) GROUP BY 1, 2)"
+    return rf"""
+WITH d AS (SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM d),
+g AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS says FROM f),
+e AS (SELECT host AS src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst, count(*) AS n FROM (
+  SELECT host, unnest(list_distinct(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1))) AS dst FROM g) WHERE host <> '' AND host <> translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') GROUP BY 1, 2),
+s AS (SELECT 'trust' AS kind, src AS host, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM e UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE says = 'allow') AS a, count(*) FILTER (WHERE says = 'block') AS b FROM g WHERE host <> '' GROUP BY 1),
+seed AS (SELECT 'trust' AS kind, host, a AS m FROM h WHERE 2 * a > n UNION ALL SELECT 'distrust', host, b FROM h WHERE 2 * b > n),
+st AS (SELECT kind, host, m / sum(m) OVER (PARTITION BY kind) AS p FROM seed){walk},
+t AS (SELECT host, sum(score) FILTER (WHERE kind = 'trust') AS trust, sum(score) FILTER (WHERE kind = 'distrust') AS distrust FROM m{steps} GROUP BY 1)
+SELECT page_id, g.host, path, rule, coalesce(says, CASE WHEN coalesce(distrust, 0) > {threshold} AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0)::DOUBLE AS trust, coalesce(distrust, 0)::DOUBLE AS distrust FROM g LEFT JOIN t ON g.host = t.host
+"""
+
+
+OP2 = _op2()
