@@ -69,6 +69,12 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_documents(read(spark, sf_dir, "documents"), labels)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_token_shards": op1_repair_token_shards,
     "op2_url_trust": op2_url_trust,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ordinal_quality": op10_ordinal_quality,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
