@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CHARS = " \t\n\x0b\f\r"
-SPACE_RE = r"[\x20\x09-\x0D]"
+SPACE_RE, WORD_RE = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased. translate goes character by character, so it is left to texts beyond ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:
     """Runs of characters that are no white space; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE + "+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RE + "+"))
 
 
 def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,8 +1,7 @@
 """Quality rules over whole texts, with lines that many documents of a host share taken out first.
 
 Built-in functions only. Per document: word and character counts, repeated 3-word windows, repeated lines.
-Across documents: each line with a word is normalised (A-Z lower-cased, white space runs as one blank,
-digits as 0) and hashed; per host, the distinct documents that hold it are counted; lines above a limit are
+Across documents: each line with a word is normalised (lower-cased, stripped, runs of digits as 0) and hashed; per host, the distinct documents that hold it are counted; lines above a limit are
 boilerplate, and a document that keeps too small a share of its words without them is depleted.
 
 Exact and near copies of one text share lines that are no boilerplate. So documents are told apart by the
@@ -13,9 +12,9 @@ over the copies c of each: n unrelated documents count n, n copies of one docume
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_RE, lower_ascii, words, written
+from .common import SPACE_CHARS, WORD_RE, words, written
 
-SYMBOLS = "#*$%&|<>"
+SYMBOL_RE = r"[#*$%&|<>]"
 #: A line in more distinct documents of its host than this is boilerplate.
 MAX_DOCS_PER_HOST = 20
 #: A document must keep this share of its words.
@@ -24,13 +23,9 @@ MIN_KEPT_SHARE = 0.3
 POS_BITS = 24
 
 
-def _drop(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def _lines(text: Column) -> Column:
     """Lines with a word."""
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, SPACE_CHARS, " " * 6))) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _covered(positions: Column, size: int) -> Column:
@@ -49,19 +44,20 @@ def base_features(docs: DataFrame, text: str, carry: list[Column]) -> DataFrame:
     d = d.select(*keep, "_t", "_w", F.size("_w").alias("_n"))
     # one hash for each window of three words; packed with its position, so that one sort of longs groups them
     windows = F.when(F.col("_n") >= 3, F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<long>"))
-    d = d.select(*keep, "_t", "_n", windows.alias("_wh"))
-    packed = F.sort_array(F.transform("_wh", lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
-    d = d.select(*keep, "_t", "_n", "_wh", packed.alias("_p"))
+    d = d.select(*keep, "_t", "_n", F.length(F.array_join("_w", "")).alias("_c"), windows.alias("_wh"))
+    # most texts repeat no window: they are spared the sort
+    packed = F.when(F.size(F.array_distinct("_wh")) < F.size("_wh"), F.sort_array(F.transform("_wh", lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))))
+    d = d.select(*keep, "_t", "_n", "_c", "_wh", packed.alias("_p"))
     at = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
     same = lambda a, b: F.coalesce((F.shiftright(a, POS_BITS) == F.shiftright(b, POS_BITS)) & (F.get("_wh", at(a)) == F.get("_wh", at(b))), F.lit(False))
     twice = F.filter("_p", lambda x, i: (i > 0) & same(x, F.get("_p", i - 1)) | same(x, F.get("_p", i + 1)))
-    d = d.select(*keep, "_t", "_n", F.sort_array(F.transform(twice, lambda x: at(x).cast("long"))).alias("_r"))
-    d = d.select(*keep, "_t", "_n", _covered(F.col("_r"), 3).alias("n_repeat_words"), _lines(F.col("_t")).alias("_l"))
+    d = d.select(*keep, "_t", "_n", "_c", F.coalesce(F.sort_array(F.transform(twice, lambda x: at(x).cast("long"))), F.array().cast("array<long>")).alias("_r"))
+    d = d.select(*keep, "_t", "_n", "_c", _covered(F.col("_r"), 3).alias("n_repeat_words"), _lines(F.col("_t")).alias("_l"))
     return d.select(
         *keep,
         F.col("_n").cast("long").alias("n_words"),
-        F.length(_drop(F.col("_t"), SPACE_CHARS)).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(_drop(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.col("_c").cast("long").alias("word_chars"),
+        F.regexp_count("_t", F.lit(SYMBOL_RE)).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
     )
@@ -70,8 +66,8 @@ def base_features(docs: DataFrame, text: str, carry: list[Column]) -> DataFrame:
 def _line_rows(docs: DataFrame, text: str, host: str, carry: list[Column]) -> DataFrame:
     """(carried, _host, _pos, _line, _words, _doc): a row for each line with a word; _doc is the least hash of
     the document's other lines, null if it has none."""
-    norm = lambda x: F.translate(F.trim(F.regexp_replace(lower_ascii(x), SPACE_RE + "+", " ")), "123456789", "000000000")
-    lines = F.transform(_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: F.struct(F.xxhash64(norm(x)).alias("h"), F.size(F.split(norm(x), " ")).cast("long").alias("w")))
+    norm = lambda x: F.regexp_replace(F.lower(F.btrim(x, F.lit(SPACE_CHARS))), "[0-9]+", "0")
+    lines = F.transform(_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: F.struct(F.xxhash64(norm(x)).alias("h"), F.regexp_count(x, F.lit(WORD_RE)).cast("long").alias("w")))
     d = docs.select(*carry, _host(host).alias("_host"), lines.alias("_ls"))
     d = d.select("*", F.slice(F.sort_array(F.array_distinct(F.transform("_ls", lambda x: x["h"]))), 1, 2).alias("_least"))
     keep = [c for c in d.columns if c not in ("_ls", "_least")]
@@ -85,10 +81,9 @@ def _host(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
 
 
-def common_lines(docs: DataFrame, text: str, host: str, max_docs: int) -> DataFrame:
+def common_lines(rows: DataFrame, max_docs: int) -> DataFrame:
     """(_host, _line, n_docs) of lines in more than max_docs distinct documents of the host. The rows are
     counted by (host, line, document) first, so a line that a third of all rows hold is spread by document."""
-    rows = _line_rows(docs, text, host, [])
     each = rows.groupBy("_host", "_line", "_doc").agg(F.count("*").cast("double").alias("c"))
     lines = each.groupBy("_host", "_line").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
     return lines.select("_host", "_line", (F.col("s") * F.col("s") / F.col("q")).alias("n_docs")).where(F.col("n_docs") > max_docs)
@@ -104,8 +99,9 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     """
     ident = [F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h")]
     base = base_features(docs, text, [*ident, _host(host).alias("_host")])
-    common = written(common_lines(docs, text, host, max_docs), "common_lines")
-    hit = _line_rows(docs, text, host, ident).join(common.select("_host", "_line"), ["_host", "_line"])
+    rows = written(_line_rows(docs, text, host, ident), "line_rows")
+    common = written(common_lines(rows, max_docs), "common_lines")
+    hit = rows.join(common.select("_host", "_line"), ["_host", "_line"])
     # by position first: a repeated row must not count a line twice
     removed = hit.groupBy("_id", "_h", "_host", "_pos").agg(F.max("_words").alias("w")).groupBy("_id", "_h", "_host").agg(F.sum("w").alias("_gone"))
     removed = removed.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), F.col("_host").alias("_host2"), "_gone")
