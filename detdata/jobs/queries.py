@@ -442,3 +442,284 @@ def _(_conv, facts, src, labels):
 @query("conversion_mismatches", f"{V1} {MISMATCHES}", conv=CONV, **REVIEW_TABLES)
 def _(_conv, facts, src, labels):
     return R.conversion_mismatches(_v1(facts, src, labels))
+
+
+# ---- duplicates and evidence
+
+MEMBERS = """SELECT i.sha256 AS grp, i.image_id, CASE WHEN k % 1009 = 0 THEN 'val' ELSE 'train' END AS split, coalesce(n, 0) AS object_count, concat(CAST(coalesce(n, 0) AS VARCHAR(9)), ':', CAST(k % 2 AS VARCHAR(9))) AS fingerprint, width, height,
+ CAST(k % 31 AS INT) AS label_errors, CAST(0 AS BIGINT) AS zero, k FROM ({images_}) i LEFT JOIN (SELECT image_id AS id, count(*) AS n FROM ({boxes_}) b GROUP BY 1) c ON i.image_id = c.id WHERE i.readable""".replace("{images_}", V.IMAGES).replace("{boxes_}", V.BOXES)
+MEMBERS = MEMBERS.replace("GROUP BY 1", "GROUP BY image_id")
+
+
+@query("attach_duplicate_group", f"SELECT m.*, CASE WHEN g.sha256 IS NOT NULL THEN g.sha256 ELSE duplicate_group_id END AS \"group\" FROM (SELECT image_id, duplicate_group_id FROM m) m JOIN images i USING (image_id) LEFT JOIN ({GROUPS}) g ON g.sha256 = i.sha256", m=V.MANIFEST, images=V.IMAGES)
+def _(m, images):
+    return R.attach_duplicate_group(m.select("image_id", "duplicate_group_id"), images, A.duplicate_groups(images))
+
+
+@query("fingerprint_groups", "SELECT grp AS \"group\", image_id, fingerprint, count(DISTINCT fingerprint) OVER (PARTITION BY grp) = 1 AS identical FROM mem", mem=MEMBERS)
+def _(mem):
+    return R.fingerprint_groups(mem.select(F.col("grp").alias("group"), "image_id", "fingerprint"))
+
+
+@query("compare_duplicate_annotations", """SELECT grp AS "group", count(*) AS members, list_sort(list(DISTINCT split)) AS splits, count(DISTINCT fingerprint) = 1 AS identical_annotations, count(DISTINCT (width, height)) = 1 AS consistent_dimensions, count(DISTINCT split) = 1 AS one_split,
+ string_agg(image_id || ':' || object_count, ';' ORDER BY image_id) AS object_counts FROM mem GROUP BY 1""", mem=MEMBERS)
+def _(mem):
+    out = R.compare_duplicate_annotations(mem.withColumnRenamed("grp", "group"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("object_counts")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ";")
+    return out.withColumn("object_counts", text)
+
+
+def _baseline(mem):
+    return R.group_baseline_compare(mem.select(F.col("grp").alias("group"), "image_id", "split", "fingerprint", "label_errors", F.col("object_count").alias("source_count"), F.col("object_count").alias("converted_count"), F.col("zero").alias("unmatched_source"), F.col("zero").alias("unmatched_converted"), F.lit(None).cast("double").alias("max_delta"), F.lit(None).cast("double").alias("min_iou")))
+
+
+BASE = """b AS (SELECT grp AS "group", image_id, fingerprint = first_value(fingerprint) OVER (PARTITION BY grp ORDER BY image_id) AS same_as_first, label_errors = 0 AS conversion_valid, NOT (label_errors = 0) OR (SELECT count(DISTINCT split) FROM mem x WHERE x.grp = mem.grp) <> 1 AS blocking FROM mem)"""
+
+
+@query("group_baseline_compare", f", {BASE} SELECT * FROM b", mem=MEMBERS)
+def _(mem):
+    return _baseline(mem)
+
+
+@query("duplicate_review_summary", f", {BASE} SELECT count(DISTINCT \"group\") AS groups, count(*) AS images, bool_and(conversion_valid) AS all_valid, bool_and(NOT blocking) AS none_blocking FROM b", mem=MEMBERS)
+def _(mem):
+    return R.duplicate_review_summary(_baseline(mem))
+
+
+FINGER = "SELECT image_id, sha256(string_agg(class_name || ':' || xmin::BIGINT || ',' || ymin::BIGINT || ',' || xmax::BIGINT || ',' || ymax::BIGINT, '|' ORDER BY object_index)) AS fingerprint FROM boxes GROUP BY 1"
+
+
+@query("annotation_fingerprint", FINGER, boxes=V.BOXES)
+def _(boxes):
+    return R.annotation_fingerprint(boxes)
+
+
+REPORT = f"""{V1} SELECT 'status' AS metric, s AS key, count(vd.image_id) AS value FROM (VALUES ('PASS'), ('NEEDS_REVIEW'), ('REJECT')) t(s) LEFT JOIN vd ON status = s GROUP BY 2
+ UNION ALL SELECT 'reason', reason, n FROM ({REASONS}) UNION ALL SELECT 'category', category, n FROM ({CATEGORIES}) UNION ALL SELECT 'conversion_mismatches', '', count(*) FROM ({MISMATCHES})
+ UNION ALL SELECT 'split_leaks', '', count(*) FROM (SELECT duplicate_group_id FROM m WHERE duplicate_group_id <> '' GROUP BY 1 HAVING count(DISTINCT split) > 1)
+ UNION ALL SELECT 'groups_with_differing_counts', '', count(*) FROM (SELECT duplicate_group_id FROM m WHERE duplicate_group_id <> '' GROUP BY 1 HAVING count(DISTINCT object_count) > 1)
+ UNION ALL SELECT 'absolute_paths', '', count(*) FROM m WHERE source_image_path LIKE '/%'"""
+
+
+@query("readiness_report", REPORT, conv=CONV, m=V.MANIFEST, **REVIEW_TABLES)
+def _(_conv, m, facts, src, labels):
+    return R.readiness_report(_v1(facts, src, labels), Q.split_leaks(m, {"group": "duplicate_group_id"}), Q.duplicate_count_differs(m), Q.absolute_manifest_paths(m))
+
+
+PREVIEWS = "SELECT CASE WHEN k % 97 = 0 THEN concat('gone_', image_id) ELSE image_id END AS image_id, CASE WHEN k % 89 = 0 THEN 'other' ELSE split END AS split FROM (" + V.MANIFEST + ") m WHERE k % 5 = 0"
+VERDICTS = "SELECT image_id, CASE WHEN k % 3 = 0 THEN 'PASS' ELSE 'NEEDS_REVIEW' END AS status, CASE WHEN k % 3 = 0 THEN '' ELSE 'contains_very_small_box' END AS reasons FROM (" + V.IMAGES + ") i"
+
+
+@query("join_previews", """SELECT p.image_id, p.split, CASE WHEN m.image_id IS NULL OR m.split <> p.split THEN 'REJECT' ELSE status END AS status, CASE WHEN m.image_id IS NULL THEN 'missing_manifest_record' WHEN m.split <> p.split THEN concat_ws(';', nullif(v.reasons, ''), 'preview_and_manifest_split_differ') ELSE v.reasons END AS reasons
+ FROM p LEFT JOIN m ON m.image_id = p.image_id LEFT JOIN v ON v.image_id = p.image_id""", p=PREVIEWS, v=VERDICTS, m=V.MANIFEST)
+def _(p, v, m):
+    out = R.join_previews(p, v.withColumn("reasons", S.split_reasons(F.col("reasons"))), m)
+    return out.withColumn("reasons", S.reasons_text(F.col("reasons")))
+
+
+PREVIOUS = "SELECT image_id, CASE WHEN k % 2 = 0 THEN 'approved' ELSE '' END AS review_status, concat('note ', CAST(k AS VARCHAR(20))) AS reviewer_notes FROM (" + V.IMAGES + ") i WHERE k % 4 = 0"
+
+
+@query("preserve_human_fields", "SELECT v.image_id, v.status, coalesce(q.review_status, '') AS review_status, coalesce(q.reviewer_notes, '') AS reviewer_notes FROM v LEFT JOIN q ON q.image_id = v.image_id", v=VERDICTS, q=PREVIOUS)
+def _(v, q):
+    return R.preserve_human_fields(v.select("image_id", "status"), q)
+
+
+# ---- samples
+
+RISK = f"SELECT i.image_id, CAST(coalesce(n, 0) AS BIGINT) AS object_count, CAST(coalesce(s, 0) AS BIGINT) AS small_box_count, largest_area, largest_aspect FROM ({V.IMAGES}) i LEFT JOIN (SELECT image_id AS id, count(*) AS n, sum(CASE WHEN {SMALL} THEN 1 ELSE 0 END) AS s, max((xmax - xmin) * (ymax - ymin)) AS largest_area, max(greatest((xmax - xmin) / (ymax - ymin), (ymax - ymin) / (xmax - xmin))) AS largest_aspect FROM ({V.SOURCE}) b GROUP BY image_id) c ON i.image_id = c.id"
+TOP = " UNION ALL ".join(f"SELECT {i} AS rule_no, image_id, '{r}' AS reason, rank FROM (SELECT image_id, {c} AS v, row_number() OVER (ORDER BY {c} DESC NULLS LAST, image_id)::INT AS rank FROM risk) WHERE rank <= {k}{' AND v > 0' if pos else ''}" for i, (r, c, k, pos) in enumerate(P.RISK_RULES))
+
+
+@query("top_by_risk", TOP, risk=RISK)
+def _(risk):
+    return P.top_by_risk(risk)
+
+
+GROUPED = "SELECT image_id, duplicate_group_id AS grp FROM (" + V.MANIFEST + ") m"
+
+
+@query("duplicate_members", "SELECT image_id, grp AS \"group\", 'duplicate_group:' || substr(grp, 1, 12) AS reason FROM g WHERE grp <> ''", g=GROUPED)
+def _(g):
+    return P.duplicate_members(g.withColumnRenamed("grp", "group"))
+
+
+@query("duplicate_members_first", "SELECT image_id, grp AS \"group\", 'duplicate_group:' || substr(grp, 1, 12) AS reason FROM g WHERE grp <> '' ORDER BY grp, image_id LIMIT 12", g=GROUPED)
+def _(g):
+    return P.duplicate_members(g.withColumnRenamed("grp", "group"), 12)
+
+
+LISTS = "SELECT concat('list_', CAST(k % 5 AS VARCHAR(9))) AS list_name, image_id FROM (" + V.IMAGES + ") i UNION ALL SELECT concat('list_', CAST((k + 1) % 5 AS VARCHAR(9))) AS list_name, image_id FROM (" + V.IMAGES + ") i"
+
+
+@query("split_list_representatives", """, n AS (SELECT list_name, row_number() OVER (ORDER BY list_name) AS i FROM (SELECT DISTINCT list_name FROM lists)),
+ p1 AS (SELECT 1 AS i, min(image_id) AS p FROM lists JOIN n USING (list_name) WHERE i = 1),
+ p2 AS (SELECT 2 AS i, min(image_id) AS p FROM lists JOIN n USING (list_name) WHERE n.i = 2 AND image_id NOT IN (SELECT p FROM p1)),
+ p3 AS (SELECT 3 AS i, min(image_id) AS p FROM lists JOIN n USING (list_name) WHERE n.i = 3 AND image_id NOT IN (SELECT p FROM p1 UNION ALL SELECT p FROM p2)),
+ p4 AS (SELECT 4 AS i, min(image_id) AS p FROM lists JOIN n USING (list_name) WHERE n.i = 4 AND image_id NOT IN (SELECT p FROM p1 UNION ALL SELECT p FROM p2 UNION ALL SELECT p FROM p3)),
+ p5 AS (SELECT 5 AS i, min(image_id) AS p FROM lists JOIN n USING (list_name) WHERE n.i = 5 AND image_id NOT IN (SELECT p FROM p1 UNION ALL SELECT p FROM p2 UNION ALL SELECT p FROM p3 UNION ALL SELECT p FROM p4))
+ SELECT list_name, p AS image_id FROM n JOIN (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5) USING (i)""", lists=LISTS)
+def _(lists):
+    return P.split_list_representatives(lists)
+
+
+QUOTA = {"train": 4, "val": 3, "test": 3}
+PASSING = "SELECT m.image_id, split FROM (" + V.MANIFEST + ") m WHERE k % 3 = 0"
+SEEDED = "SELECT image_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('42:' || image_id), image_id) AS r FROM rows_) WHERE r <= CASE split WHEN 'train' THEN 4 WHEN 'val' THEN 3 WHEN 'test' THEN 3 ELSE 0 END"
+
+
+@query("seeded_sample_per_split", SEEDED, rows_=PASSING)
+def _(rows):
+    return P.seeded_sample_per_split(rows, QUOTA, 42, strict=True).select("image_id", "split")
+
+
+@query("fill_sample", f", sel AS ({SEEDED}) SELECT image_id, split FROM rows_ WHERE image_id NOT IN (SELECT image_id FROM sel) ORDER BY md5('7:' || image_id), image_id LIMIT 50", rows_=PASSING)
+def _(rows):
+    return P.fill_sample(rows, P.seeded_sample_per_split(rows, QUOTA, 42), 60, 7)
+
+
+@query("combine_sample_reasons", f", picks AS ({TOP}), f AS (SELECT image_id, reason, min((rule_no, rank)) AS f FROM picks GROUP BY 1, 2), c AS (SELECT image_id, string_agg(reason, ';' ORDER BY f) AS reasons, min(f) AS g FROM f GROUP BY 1) SELECT image_id, reasons FROM (SELECT * FROM c ORDER BY g, image_id LIMIT 20)", risk=RISK)
+def _(risk):
+    out = P.combine_sample_reasons(P.top_by_risk(risk), 20)
+    return out.withColumn("reasons", S.reasons_text(F.col("reasons")))
+
+
+# ---- splits
+
+ITEMS = "SELECT image_id, object_count, small_box_count, duplicate_group_id FROM (" + V.MANIFEST + ") m"
+KEYED = "it AS (SELECT *, CASE WHEN duplicate_group_id = '' THEN 'single:' || image_id ELSE duplicate_group_id END AS key FROM items), gr AS (SELECT key, count(*) AS images, sum(object_count)::BIGINT AS objects, sum(small_box_count)::BIGINT AS small FROM it GROUP BY 1)"
+
+
+@query("form_split_groups", f", {KEYED} SELECT * FROM gr", items=ITEMS)
+def _(items):
+    return G.form_split_groups(items)
+
+
+QUERIES["assign_splits"] = lambda spark, sf_dir: G.assign_splits(V.view(spark, sf_dir, ITEMS), RATIOS)
+
+
+@query("assign_splits_hash", f", {KEYED} SELECT image_id, CASE WHEN u < 0.15 THEN 'test' WHEN u < 0.85 THEN 'train' ELSE 'val' END AS split FROM (SELECT image_id, ('0x' || substr(md5('42:' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM it)", items=ITEMS)
+def _(items):
+    return G.assign_splits_hash(items, RATIOS)
+
+
+@query("assign_splits_stratified", f", {KEYED}, r AS (SELECT key, (row_number() OVER (PARTITION BY objects, images, small ORDER BY md5('42:' || key), key) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY objects, images, small) AS u FROM gr) SELECT image_id, CASE WHEN u < 0.15 THEN 'test' WHEN u < 0.85 THEN 'train' ELSE 'val' END AS split FROM it JOIN r USING (key)", items=ITEMS)
+def _(items):
+    return G.assign_splits_stratified(items, RATIOS)
+
+
+ASSIGNED = "SELECT image_id, split FROM (" + V.MANIFEST + ") m WHERE k % 641 <> 0"
+
+
+@query("split_violations", f", {KEYED} SELECT 'unassigned' AS kind, image_id AS key FROM items WHERE image_id NOT IN (SELECT image_id FROM a) UNION ALL SELECT 'group crosses splits', key FROM it JOIN a USING (image_id) GROUP BY key HAVING count(DISTINCT split) > 1", items=ITEMS, a=ASSIGNED)
+def _(items, a):
+    return G.split_violations(items, a)
+
+
+# ---- metrics
+
+BEST = "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN map50 <> 0 THEN map50 END DESC NULLS LAST, epoch) AS n FROM e) WHERE n = 1"
+
+
+@query("best_epoch", BEST, e=V.EPOCHS)
+def _(e):
+    return X.best_epoch(e, "map50")
+
+
+@query("last_epoch", "SELECT run, max(epoch) AS last_epoch, arg_min(loss, epoch) AS loss_first, arg_max(loss, epoch) AS loss_last, arg_max(loss, epoch) - arg_min(loss, epoch) AS loss_change FROM e GROUP BY 1", e=V.EPOCHS)
+def _(e):
+    return X.last_epoch(e, ["loss"])
+
+
+ODD = V.EPOCHS.replace("value * 2 AS loss", "CASE WHEN epoch % 101 = 0 THEN CAST('NaN' AS DOUBLE) WHEN epoch % 103 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE value END AS loss")
+
+
+@query("finite_metrics_check", "SELECT run, count(*) AS epochs, max(epoch) AS last_epoch, count(*) FILTER (WHERE isnan(loss) OR isinf(loss)) AS not_finite, count(*) = 2000 AND max(epoch) = 2000 AS complete FROM e GROUP BY 1", e=ODD)
+def _(e):
+    return X.finite_metrics_check(e, ["map50", "loss"], 2000)
+
+
+@query("run_comparison", f", b AS ({BEST}), x AS (SELECT run, unnest(['map50', 'loss']) AS metric, unnest([map50, loss]) AS v FROM b) SELECT p.metric, p.v AS base, q.v AS other, round(q.v - p.v, 9) AS change, round((q.v - p.v) / p.v * 100, 6) AS change_percent FROM x p JOIN x q USING (metric) WHERE p.run = (SELECT min(run) FROM e) AND q.run = (SELECT max(run) FROM e)", e=V.EPOCHS)
+def _(e):
+    runs = e.agg(F.min("run").alias("a"), F.max("run").alias("b")).first()
+    out = X.run_comparison(X.best_epoch(e, "map50"), runs["a"], runs["b"], ["map50", "loss"])
+    return out.withColumn("change", F.round("change", 9)).withColumn("change_percent", F.round("change_percent", 6))
+
+
+VALUES = "SELECT run AS metric, max(map50) AS first_value, max(loss) AS second_value FROM (" + V.EPOCHS + ") e GROUP BY run"
+
+
+@query("generalisation_gap", "SELECT metric, first_value AS first, second_value AS second, second_value - first_value AS change, round((second_value - first_value) / first_value * 100, 6) AS change_percent FROM v", v=VALUES)
+def _(v):
+    out = X.generalisation_gap(v.select("metric", F.col("first_value").alias("value")), v.select("metric", F.col("second_value").alias("value")))
+    return out.withColumn("change_percent", F.round("change_percent", 6))
+
+
+RUNS = "SELECT run, CAST(sum(epoch % 1000) AS DOUBLE) AS seconds, count(*) AS epochs FROM (" + V.EPOCHS + ") e GROUP BY run"
+
+
+@query("seconds_per_epoch", "SELECT run, seconds, epochs, seconds / epochs AS seconds_per_epoch, round((seconds / epochs / (SELECT min(seconds / epochs) FROM r) - 1) * 100, 6) AS percent_slower FROM r", r=RUNS)
+def _(r):
+    return X.seconds_per_epoch(r).withColumn("percent_slower", F.round("percent_slower", 6))
+
+
+DET = """RECURSIVE , pr AS (SELECT p.image_id, p.pred_id, p.confidence, s.truth_id, i / ((s.xmax - s.xmin) * (s.ymax - s.ymin) + (p.xmax - p.xmin) * (p.ymax - p.ymin) - i) AS iou FROM
+  (SELECT d.image_id, d.pred_id, d.confidence, s.truth_id, {iou} AS i FROM pred d JOIN tr s ON s.image_id = d.image_id) z JOIN pred p USING (image_id, pred_id) JOIN tr s ON s.image_id = z.image_id AND s.truth_id = z.truth_id WHERE i > 0),
+ th AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS threshold),
+ od AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, pred_id) AS n FROM (SELECT image_id, pred_id, confidence, list({'u': iou, 't': truth_id} ORDER BY iou DESC, truth_id DESC) AS c FROM pr WHERE iou >= 0.5 GROUP BY 1, 2, 3)),
+ fo AS (SELECT image_id, threshold, 0::BIGINT AS n, []::INT[] AS used, NULL::INT AS pid, NULL::INT AS got FROM (SELECT DISTINCT image_id FROM od), th
+  UNION ALL SELECT f.image_id, f.threshold, o.n, CASE WHEN g IS NULL THEN used ELSE list_append(used, g) END, o.pred_id, g FROM (SELECT f.image_id, f.threshold, o.n, f.used, o.pred_id, list_filter(o.c, lambda x: x.u >= f.threshold AND NOT list_contains(f.used, x.t))[1].t AS g FROM fo f JOIN od o ON o.image_id = f.image_id AND o.n = f.n + 1) f JOIN od o ON o.image_id = f.image_id AND o.n = f.n),
+ mh AS (SELECT p.image_id, p.pred_id, p.confidence, th.threshold, coalesce(f.got IS NOT NULL, FALSE) AS hit FROM pred p CROSS JOIN th LEFT JOIN fo f ON f.image_id = p.image_id AND f.threshold = th.threshold AND f.pid = p.pred_id)""".replace("{iou}", IOU)
+CURVE = f"""{DET}, pt AS (SELECT threshold, confidence, count(*) FILTER (WHERE hit) AS t, count(*) FILTER (WHERE NOT hit) AS f FROM mh GROUP BY 1, 2),
+ cu AS (SELECT 0 AS class_id, threshold, confidence, sum(t) OVER w::BIGINT AS tp, sum(f) OVER w::BIGINT AS fp FROM pt WINDOW w AS (PARTITION BY threshold ORDER BY confidence DESC)),
+ cv AS (SELECT *, tp / (tp + fp) AS precision, tp / (SELECT count(*) FROM tr) AS recall FROM cu)""".replace("sum(t) OVER w::BIGINT", "CAST(sum(t) OVER w AS BIGINT)").replace("sum(f) OVER w::BIGINT", "CAST(sum(f) OVER w AS BIGINT)")
+DETECT = {"pred": V.PREDICTIONS, "tr": V.TRUTH}
+
+
+@query("match_predictions", f"{DET} SELECT image_id, 0 AS class_id, pred_id, confidence, threshold, hit FROM mh", **DETECT)
+def _(pred, tr):
+    return X.match_predictions(pred, tr).select("image_id", "class_id", "pred_id", "confidence", "threshold", "hit")
+
+
+@query("precision_recall", f"{CURVE} SELECT class_id, threshold, confidence, tp, fp, precision, recall FROM cv", **DETECT)
+def _(pred, tr):
+    return X.precision_recall(X.match_predictions(pred, tr), tr)
+
+
+AP = f"{CURVE}, gp AS (SELECT threshold, r, coalesce(max(precision), 0) AS p FROM (SELECT DISTINCT threshold FROM cv) CROSS JOIN (SELECT unnest(range(101)) AS r) LEFT JOIN cv USING (threshold) WHERE floor(recall * 100 + 1e-9) >= r GROUP BY 1, 2), ap AS (SELECT 0 AS class_id, threshold, sum(p) / 101 AS ap FROM gp GROUP BY 2)"
+
+
+@query("average_precision", f"{AP} SELECT class_id, threshold, round(ap, 9) AS ap FROM ap", **DETECT)
+def _(pred, tr):
+    return X.average_precision(X.precision_recall(X.match_predictions(pred, tr), tr)).withColumn("ap", F.round("ap", 9))
+
+
+@query("detection_metrics", f"{AP} SELECT 0 AS class_id, round(x.precision, 9) AS precision, round(x.recall, 9) AS recall, round((SELECT ap FROM ap WHERE threshold = 0.5), 9) AS map50, round((SELECT avg(ap) FROM ap), 9) AS map50_95 FROM (SELECT * FROM cv WHERE threshold = 0.5 ORDER BY CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END DESC, confidence DESC LIMIT 1) x", **DETECT)
+def _(pred, tr):
+    out = X.detection_metrics(pred, tr)
+    return out.select("class_id", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "map50", "map50_95")])
+
+
+@query("confusion_counts", f"{DET} SELECT count(*) FILTER (WHERE hit) AS matched, count(*) FILTER (WHERE NOT hit) AS background, (SELECT count(*) FROM tr) - count(*) FILTER (WHERE hit) AS missed FROM (SELECT * FROM mh WHERE threshold = 0.5 AND confidence >= 0.25)", **DETECT)
+def _(pred, tr):
+    return X.confusion_counts(pred, tr, 0.25)
+
+
+# ---- file rows that need no files: texts of annotations and labels made from the tables
+
+XML = f"""SELECT concat('xml/', image_id, '.xml') AS path, concat('<annotation><filename>', image_id, '.jpg</filename><size><width>', CAST(max(width) AS VARCHAR(9)), '</width><height>', CAST(max(height) AS VARCHAR(9)), '</height></size>',
+ '<object><name>fore</name><bndbox><xmin>', CAST(CAST(min(xmin) AS BIGINT) AS VARCHAR(9)), '</xmin><ymin>1</ymin><xmax>', CAST(CAST(max(xmax) AS BIGINT) AS VARCHAR(9)), '</xmax><ymax>9</ymax></bndbox></object></annotation>') AS value,
+ CAST(min(xmin) AS BIGINT) AS x0, CAST(max(xmax) AS BIGINT) AS x1, image_id, max(width) AS width, max(height) AS height FROM ({V.SOURCE}) s GROUP BY image_id"""
+
+
+@query("parse_annotations", "SELECT path AS xml_path, image_id, 1 AS object_index, 'fore' AS class_name, TRUE AS has_box, x0::VARCHAR AS xmin, '1' AS ymin, x1::VARCHAR AS xmax, '9' AS ymax, width::VARCHAR AS xml_width, height::VARCHAR AS xml_height FROM x", x=XML)
+def _(x):
+    return IO.explode_boxes(IO.parse_annotations(x.select("path", "value")))
+
+
+LINES = "SELECT CAST(conv_id AS VARCHAR(20)) AS path, text AS value, conv_id, turn FROM {conversations}"
+
+
+@query("label_rows", "SELECT path, line_no, line, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+'))::INT AS n FROM (SELECT path, unnest(string_split_regex(v, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(string_split_regex(v, '\\r\\n|\\n|\\r'), 1)::INT AS line_no FROM (SELECT path, regexp_replace(value, '(\\r\\n|\\r|\\n)$', '') AS v FROM x WHERE value <> ''))", x=LINES)
+def _(x):
+    return IO.label_rows(x.select("path", "value")).select("path", "line_no", "line", F.size("tokens").alias("n"))
