@@ -7,6 +7,7 @@ each distinct piece once and keeps a bounded number of them. A text with white s
 the string of a special token, is one piece.
 """
 
+import functools
 import os
 
 import numpy as np
@@ -30,6 +31,12 @@ _LEAD = np.zeros(256, dtype=bool)
 _LEAD[list(_LEADS)] = True
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> "Encoder":
+    """The encoder of this Python worker: what one task has learnt serves the worker's next tasks."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of whole texts. Remembered pieces lie one after another in one array."""
 

@@ -8,6 +8,7 @@ document's end, so a document is a run of symbols.
 A shard is a row of a Parquet table (Spark's own writer commits it, so a lost executor costs only its tasks):
 
     part, shard       order of the shards
+    inside            ids of the part's earlier shards
     doc_ids           ids of its documents
     doc_tokens        token ids of each, the end id included
     doc_symbols       symbols of each
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .pieces import Encoder
+from .pieces import encoder
 
 SHARD = 1 << 20
 PAIRS, ROUNDS, LEAST = 2048, 10, 8
@@ -128,9 +129,9 @@ def token_range(shard: dict, doc: int, start: int, stop: int) -> np.ndarray:
 
 
 def _shards(tokenizer: str, end_id: int, id_type: pa.DataType, size: int):
-    names = ["part", "shard", "doc_ids", "doc_tokens", "doc_symbols", "base", "rules", "rule_lengths", "symbols", "n_tokens"]
+    names = ["part", "shard", "inside", "doc_ids", "doc_tokens", "doc_symbols", "base", "rules", "rule_lengths", "symbols", "n_tokens"]
 
-    def row(part, shard, ids, tokens, seq, base):
+    def row(part, shard, inside, ids, tokens, seq, base):
         n = np.array(tokens, np.int64)
         end = np.zeros(len(seq), dtype=bool)
         end[np.cumsum(n) - 1] = True
@@ -140,13 +141,13 @@ def _shards(tokenizer: str, end_id: int, id_type: pa.DataType, size: int):
         for r, (a, b) in enumerate(rules):
             length[base + r] = length[a] + length[b]
         symbols = np.diff(np.append(-1, np.flatnonzero(ends)))
-        values = [[part], [shard], [ids], [n], [symbols], [base], [pairs.tobytes()], [length[base:].astype("<u4").tobytes()], [out.astype("<u4").tobytes()], [len(seq)]]
-        types = [pa.int32(), pa.int32(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        values = [[part], [shard], [inside], [ids], [n], [symbols], [base], [pairs.tobytes()], [length[base:].astype("<u4").tobytes()], [out.astype("<u4").tobytes()], [len(seq)]]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
 
     def run(batches):
-        enc = Encoder(tokenizer)
-        part, shard, ids, tokens, held, total = TaskContext.get().partitionId(), 0, [], [], [], 0
+        enc = encoder(tokenizer)
+        part, shard, inside, ids, tokens, held, total = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
         for b in batches:
             keys = b.column(0).to_pylist()
             for first, flat, at in enc.batch(b.column(1)):
@@ -165,10 +166,10 @@ def _shards(tokenizer: str, end_id: int, id_type: pa.DataType, size: int):
                     total += int(ends[j - 1]) - before
                     i = j
                     if total >= size or i < len(n):
-                        yield row(part, shard, ids, tokens, np.concatenate(held), enc.size)
-                        shard, ids, tokens, held, total = shard + 1, [], [], [], 0
+                        yield row(part, shard, inside, ids, tokens, np.concatenate(held), enc.size)
+                        shard, inside, ids, tokens, held, total = shard + 1, inside + total, [], [], [], 0
         if ids:
-            yield row(part, shard, ids, tokens, np.concatenate(held), enc.size)
+            yield row(part, shard, inside, ids, tokens, np.concatenate(held), enc.size)
 
     return run
 
@@ -181,18 +182,17 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     from pyspark.sql.pandas.types import to_arrow_type
 
     ordered = src.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
-    schema = f"part int, shard int, doc_ids array<{kind.simpleString()}>, doc_tokens array<long>, doc_symbols array<long>, base int, rules binary, rule_lengths binary, symbols binary, n_tokens long"
+    schema = f"part int, shard int, inside long, doc_ids array<{kind.simpleString()}>, doc_tokens array<long>, doc_symbols array<long>, base int, rules binary, rule_lengths binary, symbols binary, n_tokens long"
     ordered.mapInArrow(_shards(tokenizer, end_id, to_arrow_type(kind), size), schema).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
-    """The shards with start, the ids before each: sums per part first, so no task sees all shards' rows."""
+    """The shards with start, the ids before each. Only the parts' sums are broadcast: a row for each range
+    partition that wrote, whatever the data's size."""
     shards = spark.read.parquet(path)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
-    starts = shards.select("part", "shard", "n_tokens").select("part", "shard", inside.alias("_inside")).join(before, "part").select("part", "shard", (F.col("_before") + F.col("_inside")).alias("start"))
-    return shards.join(starts, ["part", "shard"])
+    return shards.join(F.broadcast(before), "part").withColumn("start", F.col("_before") + F.col("inside")).drop("_before")
 
 
 def decoded(shards: DataFrame, doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:

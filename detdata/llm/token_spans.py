@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Encoder
+from .pieces import encoder
 
 RULES = ("first", "last", "most", "split")
 
@@ -73,7 +73,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     kind = src.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
             given = b.column(2).to_pylist() if b.num_columns > 2 else None
             for row, _, at, start, end in enc.batch(b.column(1), spans=True):
