@@ -98,7 +98,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     other columns are ignored; an empty table gives an empty one.
     """
     ident = [F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h")]
-    base = base_features(docs, text, [*ident, _host(host).alias("_host")])
+    # written, so that a later filter on the result is not pushed into, and copied all over, these expressions
+    base = written(base_features(docs, text, [*ident, _host(host).alias("_host")]), "text_features")
     rows = written(_line_rows(docs, text, host, ident), "line_rows")
     common = written(common_lines(rows, max_docs), "common_lines")
     hit = rows.join(common.select("_host", "_line"), ["_host", "_line"])
