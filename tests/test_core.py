@@ -211,3 +211,28 @@ def test_pairs_and_metrics(spark):
     p = spark.createDataFrame([("a", 0, 1, 0.9, 0.0, 0.0, 10.0, 10.0), ("a", 0, 2, 0.8, 200.0, 0.0, 210.0, 10.0)], "image_id string, class_id int, pred_id int, confidence double, xmin double, ymin double, xmax double, ymax double")
     d = X.detection_metrics(p, t).first()
     assert d["precision"] == 1.0 and d["recall"] == 0.5 and round(d["map50"], 6) == round(51 / 101, 6)
+
+
+def test_incoming_labels(spark, tmp_path):
+    from detdata.streaming.labels import write_label_errors
+
+    images = spark.createDataFrame([("a", 100, 100), ("b", 100, 100)], "image_id string, width int, height int")
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", "1 0.5 0.5 0.1 0.1\n"), ("b", "0 0.5 0.5 0.1 0.1\n")):
+        (tmp_path / f"in/{name}.txt").write_text(text)
+        write_label_errors(spark, str(tmp_path / "in"), images, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 1, "invalid_class_id_line_1")]
+
+
+def test_entry_without_llm(tmp_path):
+    """The driver entry still imports and lists the core queries when the subpackage llm is gone."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "detdata", tmp_path / "detdata", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'review_records' in q and not any(k.startswith('op') for k in q); print(len(q))"
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout) > 60
