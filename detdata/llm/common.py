@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+#: Folders of the operators that are at work, the innermost last.
+_SCRATCH: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside go to a folder of their own, which is deleted at the end."""
+    _SCRATCH.append(new_path(spark, "scratch"))
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, up: int = 0) -> DataFrame:
     """df, written as a table in the shared folder and read back: its lineage ends there, so a lost
-    executor costs no recomputation, and the shuffle files it took are freed at once."""
+    executor costs no recomputation, and the shuffle files it took are freed at once. Inside scratch()
+    the table lives as long as the block that is `up` blocks further out."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    folder = _SCRATCH[-1 - up] if len(_SCRATCH) > up else shared_dir(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -12,7 +12,7 @@ over the copies c of each: n unrelated documents count n, n copies of one docume
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, WORD_RE, words, written
+from .common import SPACE_CHARS, WORD_RE, scratch, words, written
 
 SYMBOL_RE = r"[#*$%&|<>]"
 #: A line in more distinct documents of its host than this is boilerplate.
@@ -97,6 +97,11 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     empty and fails; a null host is a host of its own; rows with equal id, host and text get equal results;
     other columns are ignored; an empty table gives an empty one.
     """
+    with scratch(docs.sparkSession):
+        return written(_judged(docs, doc_id, text, host, max_docs, min_share, min_words), "quality", up=1)
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, host: str, max_docs: int, min_share: float, min_words: int) -> DataFrame:
     ident = [F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h")]
     # written, so that a later filter on the result is not pushed into, and copied all over, these expressions
     base = written(base_features(docs, text, [*ident, _host(host).alias("_host")]), "text_features")

@@ -13,12 +13,17 @@ shingles, sets that merely share a common passage seldom meet. They meet less st
 shingles, HOT at most, stay out of the segments and stand last in the order: leaving the same shingles out of
 all sets only lowers their differences, so which ones are left out is free, and the list's size is fixed.
 
+Filter. Each class has a bitmap of BITS parities of its shingles. Two bitmaps differ in no more bits than the
+sets differ in shingles, so pairs whose bitmaps are too far apart are left out inside the join; and a pair is
+compared at the first key that it shares only.
+
 Verification. The sets of candidate pairs are cut into FRAGMENTS segments; each fragment's partial overlap
 is counted by itself and the counts are summed per pair, which gives the exact intersection.
 
 Large groups. Sets that are equal form one class (copies are never expanded). Of those that share a segment,
-each is first compared with the least one only; then components are formed, and only pairs from different
-components that share a segment are compared as well. All pairs of a group of near copies never arise.
+each is first compared with one only, that which meets most others (of near copies, the one they come from);
+then components are formed, and only pairs from different components that share a segment are compared as
+well. All pairs of a group of near copies never arise.
 """
 
 import numpy as np
@@ -27,10 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import written
+from .common import scratch, written
 from .components import components
 
 FRAGMENTS = 16
+#: Parity bits of a class, in 64-bit words.
+WORDS64 = 8
 #: Common shingles that are left out of the segments, and those that a batch of rows may name.
 HOT, HOT_BATCH = 100_000, 4_096
 #: Keys in one Arrow batch that leaves a task.
@@ -90,6 +97,12 @@ def _common(sets: list) -> list:
     return [{"t": t, "c": c} for t, c in zip(value[top].view(np.int64).tolist(), count[top].tolist(), strict=True)]
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by their low bits."""
+    odd = np.bincount((s & np.uint64(64 * WORDS64 - 1)).astype(np.int64), minlength=64 * WORDS64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, text: str, k: int, carry: list[Column]) -> DataFrame:
     """The carried columns, n_shingles and the two halves of a 128-bit signature of the set. Rows without
     words have 0 shingles and null signatures. A batch's last row carries the batch's common shingles."""
@@ -98,17 +111,17 @@ def shingle_sets(docs: DataFrame, text: str, k: int, carry: list[Column]) -> Dat
 
     def run(batches):
         for b in batches:
-            n, a, c, sets = [], [], [], []
+            n, a, c, bits, sets = [], [], [], [], []
             for _, h in H.texts(b.column(b.num_columns - 1)):
                 s = H.distinct(H.shingles(h, k))
                 x, y = _signature(s) if len(s) else (None, None)
-                n.append(len(s)), a.append(x), c.append(y), sets.append(s)
+                n.append(len(s)), a.append(x), c.append(y), bits.append(_bitmap(s)), sets.append(s)
             if n:
                 hot = pa.array([None] * (len(n) - 1) + [_common(sets)], pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), hot], names=[*keep, "n_shingles", "sig", "sig2", "hot"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.list_(pa.int64())), hot], names=[*keep, "n_shingles", "sig", "sig2", "bits", "hot"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{fields}, n_shingles long, sig long, sig2 long, hot array<struct<t: long, c: long>>")
+    return src.mapInArrow(run, f"{fields}, n_shingles long, sig long, sig2 long, bits array<long>, hot array<struct<t: long, c: long>>")
 
 
 def segment_keys(docs: DataFrame, text: str, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
@@ -168,20 +181,28 @@ def _segments(docs: DataFrame, k: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
     """Of pairs(a, b, na, nb) those with den*|intersection| >= num*|union|."""
-    used = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    ids = classes.join(used, "sig").select(F.col("first_id").alias("_id"), "sig", F.col("first_h").alias("_h"))
-    body = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_h"))
-    both = body.join(ids, body["_id"].eqNullSafe(ids["_id"]) & (body["_h"] == ids["_h"])).select("sig", "_text")
-    segs = written(_segments(both, k).dropDuplicates(["sig", "fragment"]), "segments")
-    left = segs.select(F.col("sig").alias("a"), "fragment", F.col("segment").alias("sa"))
-    right = segs.select(F.col("sig").alias("b"), "fragment", F.col("segment").alias("sb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("x"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("x").alias("both"))
-    return total.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    with scratch(docs.sparkSession):
+        used = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        ids = classes.join(used, "sig").select(F.col("first_id").alias("_id"), "sig", F.col("first_h").alias("_h"))
+        body = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_h"))
+        both = body.join(ids, body["_id"].eqNullSafe(ids["_id"]) & (body["_h"] == ids["_h"])).select("sig", "_text")
+        segs = written(_segments(both, k).dropDuplicates(["sig", "fragment"]), "segments")
+        left = segs.select(F.col("sig").alias("a"), "fragment", F.col("segment").alias("sa"))
+        right = segs.select(F.col("sig").alias("b"), "fragment", F.col("segment").alias("sb"))
+        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("x"))
+        total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("x").alias("both"))
+        links = total.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+        return written(links, "links", up=1)
+
 
+_BITS = [f"b{i}" for i in range(WORDS64)]
 
-def _near(na: Column, nb: Column, num: int, den: int) -> Column:
-    return (den * F.least(na, nb)) >= (num * F.greatest(na, nb))
+
+def _near(x: str, y: str, num: int, den: int) -> Column:
+    """Sizes and bitmaps of x and y allow the similarity."""
+    na, nb = F.col(x + ".n"), F.col(y + ".n")
+    apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS)
+    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & (apart * (den + num) <= (den - num) * (na + nb))
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -193,33 +214,39 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links and itself as component. Equal rows or copies share a class; a null id never names a component
     unless all its members' ids are null. Other columns are ignored; an empty table gives an empty one.
     """
+    with scratch(docs.sparkSession):
+        return written(_joined(docs, doc_id, text, k, num, den), "components", up=1)
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
     sets = written(shingle_sets(docs, text, k, [F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h")]), "sets")
     # the struct's least value has null ids last, so that a class is named by a real one
-    classes = written(sets.where("n_shingles > 0").groupBy("sig").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_h")).alias("m"), F.max("n_shingles").alias("n")).select("sig", "n", F.col("m._id").alias("first_id"), F.col("m._h").alias("first_h")), "classes")
+    classes = written(sets.where("n_shingles > 0").groupBy("sig").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_h")).alias("m"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")).select("sig", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(WORDS64)], F.col("m._id").alias("first_id"), F.col("m._h").alias("first_h")), "classes")
     common = sets.select(F.explode("hot").alias("x")).groupBy("x.t").agg(F.sum("x.c").alias("c")).orderBy(F.desc("c"), "t").limit(HOT)
     hot = np.sort(np.array([r["t"] for r in common.collect()], np.int64).view(np.uint64))
     keys = segment_keys(docs, text, k, num, den, hot)
     w = Window.partitionBy("key")
-    met = keys.select("key", "sig", "n", F.min("sig").over(w).alias("low"), F.max("sig").over(w).alias("high")).where("low != high").select("key", "sig", F.col("n").cast("long").alias("n"), "low")
-    met = written(met.distinct(), "met")
-
-    sized = classes.select("sig", "n")
-    first = met.where("sig != low").select(F.col("low").alias("a"), F.col("sig").alias("b"), F.col("n").alias("nb")).distinct()
-    first = first.join(sized.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").where(_near(F.col("na"), F.col("nb"), num, den)).select("a", "b", "na", "nb")
+    met = keys.select("key", "sig", F.col("n").cast("long").alias("n"), F.min("sig").over(w).alias("low"), F.max("sig").over(w).alias("high"), F.count("*").over(w).alias("size")).where("low != high").groupBy("key", "sig").agg(F.max("n").alias("n"), F.max("size").alias("size"))
+    met = written(met, "met")
+
+    sized = classes.select("sig", F.col("n").cast("long").alias("n"), *_BITS)
+    central = met.groupBy("sig").agg(F.sum("size").alias("meets"))
+    centre = met.select("key", "sig").join(central, "sig").groupBy("key").agg(F.max(F.struct("meets", "sig")).alias("m")).select("key", F.col("m.sig").alias("a"))
+    first = met.join(centre, "key").where("sig != a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
+    first = first.join(sized.alias("x"), F.col("a") == F.col("x.sig")).join(sized.alias("y"), F.col("b") == F.col("y.sig")).where(_near("x", "y", num, den)).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     first = written(first, "pairs")
-    edges = written(_verified(first, classes, docs, doc_id, text, k, num, den), "links")
+    edges = _verified(first, classes, docs, doc_id, text, k, num, den)
     labels = written(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
 
     # pairs of different components that share a key
     labelled = met.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key")
-    mixed = written(labelled.join(mixed, "key"), "mixed")
-    groups = mixed.select("key", "c").distinct()
-    cross = groups.select("key", F.col("c").alias("ca")).join(groups.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
-    left = mixed.select("key", F.col("c").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na"))
-    right = mixed.select("key", F.col("c").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb"))
-    rest = cross.join(left, ["key", "ca"]).join(right, ["key", "cb"]).where(_near(F.col("na"), F.col("nb"), num, den))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    mixed = labelled.select("key", "sig", "c").join(mixed, "key")
+    # a set's keys in order, those before each key with it: a pair counts where none of these is shared
+    order = F.collect_list("key").over(Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    mixed = written(mixed.withColumn("before", order).join(sized, "sig"), "mixed")
+    pair = (F.col("x.key") == F.col("y.key")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", num, den) & ~F.arrays_overlap("x.before", "y.before")
+    rest = mixed.alias("x").join(mixed.alias("y"), pair).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     rest = written(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         edges = written(edges.unionByName(_verified(rest, classes, docs, doc_id, text, k, num, den)), "links")
