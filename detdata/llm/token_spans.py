@@ -25,9 +25,12 @@ RULES = ("first", "last", "most", "split")
 
 def line_sections(text: str) -> np.ndarray:
     """Starts and ends of the lines of a text, line feeds with the line they end."""
-    ends = [i + 1 for i, c in enumerate(text) if c == "\n"]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
+    parts = text.split("\n")
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    if len(parts) > 1 and not parts[-1]:
+        ends = ends[:-1]
+    else:
+        ends[-1] -= 1  # no line feed ends it
     return np.array([[0, *ends[:-1]], ends], np.int64)
 
 
