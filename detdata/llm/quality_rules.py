@@ -4,9 +4,9 @@ Built-in functions only. Per document: word and character counts, repeated 3-wor
 Across documents: each line with a word is normalised (lower-cased, stripped, runs of digits as 0) and hashed; per host, the distinct documents that hold it are counted; lines above a limit are
 boilerplate, and a document that keeps too small a share of its words without them is depleted.
 
-Exact and near copies of one text share lines that are no boilerplate. So documents are told apart by the
-least hash of their other lines, and the count is the effective number of distinct ones, (sum c)^2 / sum c^2
-over the copies c of each: n unrelated documents count n, n copies of one document 1.
+Copies of one text share lines that are no boilerplate. So documents are told apart by a signature of the whole
+text, the hash of its sorted distinct normalised lines: documents with the same set of lines count once, all
+others, near copies included, one each.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -64,16 +64,15 @@ def base_features(docs: DataFrame, text: str, carry: list[Column]) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame, text: str, host: str, carry: list[Column]) -> DataFrame:
-    """(carried, _host, _pos, _line, _words, _doc): a row for each line with a word; _doc is the least hash of
-    the document's other lines, null if it has none."""
+    """(carried, _host, _pos, _line, _words, _doc): a row for each line with a word; _doc is the signature of
+    the document's distinct lines."""
     norm = lambda x: F.regexp_replace(F.lower(F.btrim(x, F.lit(SPACE_CHARS))), "[0-9]+", "0")
     lines = F.transform(_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: F.struct(F.xxhash64(norm(x)).alias("h"), F.regexp_count(x, F.lit(WORD_RE)).cast("long").alias("w")))
     d = docs.select(*carry, _host(host).alias("_host"), lines.alias("_ls"))
-    d = d.select("*", F.slice(F.sort_array(F.array_distinct(F.transform("_ls", lambda x: x["h"]))), 1, 2).alias("_least"))
-    keep = [c for c in d.columns if c not in ("_ls", "_least")]
-    d = d.select(*keep, "_least", F.posexplode("_ls").alias("_pos", "_x"))
-    other = F.when(F.get("_least", F.lit(0)) == F.col("_x.h"), F.get("_least", F.lit(1))).otherwise(F.get("_least", F.lit(0)))
-    return d.select(*keep, "_pos", F.col("_x.h").alias("_line"), F.col("_x.w").alias("_words"), other.alias("_doc"))
+    d = d.select("*", F.xxhash64(F.sort_array(F.array_distinct(F.transform("_ls", lambda x: x["h"])))).alias("_doc"))
+    keep = [c for c in d.columns if c not in ("_ls", "_doc")]
+    d = d.select(*keep, "_doc", F.posexplode("_ls").alias("_pos", "_x"))
+    return d.select(*keep, "_pos", F.col("_x.h").alias("_line"), F.col("_x.w").alias("_words"), "_doc")
 
 
 def _host(host: str) -> Column:
@@ -83,10 +82,9 @@ def _host(host: str) -> Column:
 
 def common_lines(rows: DataFrame, max_docs: int) -> DataFrame:
     """(_host, _line, n_docs) of lines in more than max_docs distinct documents of the host. The rows are
-    counted by (host, line, document) first, so a line that a third of all rows hold is spread by document."""
-    each = rows.groupBy("_host", "_line", "_doc").agg(F.count("*").cast("double").alias("c"))
-    lines = each.groupBy("_host", "_line").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return lines.select("_host", "_line", (F.col("s") * F.col("s") / F.col("q")).alias("n_docs")).where(F.col("n_docs") > max_docs)
+    made distinct by (host, line, document) first, so a line that a third of all rows hold is spread by document."""
+    each = rows.select("_host", "_line", "_doc").distinct()
+    return each.groupBy("_host", "_line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_KEPT_SHARE, min_words: int = 50) -> DataFrame:

@@ -232,6 +232,22 @@ def test_quality_rules(spark):
     assert quality_rules(table(spark, [])).count() == 0
 
 
+def test_quality_rules_count_distinct_documents(spark):
+    rnd = random.Random(4)
+    body = lambda n: " ".join(rnd.choice(VOCAB) + rnd.choice(VOCAB) + rnd.choice(VOCAB) for _ in range(n))
+    block = "\n".join(body(6) for _ in range(10))
+    rows = [(i, block + "\n" + "\n".join(body(12) for _ in range(3)), "h") for i in range(30)]  # unrelated but for ten lines
+    held = body(8)
+    rows += [(100 + i, held + "\n" + body(60), "g") for i in range(30)]
+    copied = held + "\n" + body(60)
+    rows += [(200 + i, copied.upper() if i % 2 else copied, "g") for i in range(400)]  # one more document, 400 times
+    rows += [(700 + i, held + "\n" + body(60), "f") for i in range(19)] + [(800 + i, held + "\n" + copied, "f") for i in range(50)]  # 20 distinct ones: the limit
+    got = {r["doc_id"]: r["n_boilerplate_words"] for r in quality_rules(table(spark, rows)).collect()}
+    assert all(got[i] == 60 for i in range(30))
+    assert all(got[100 + i] == 8 for i in range(30)) and all(got[200 + i] == 8 for i in range(400))
+    assert all(got[700 + i] == 0 for i in range(19)) and all(got[800 + i] == 0 for i in range(50))
+
+
 def brute_lines(rows, least):
     key = lambda x: x.strip(" \t\n\x0b\f\r").translate(LOW)
     held = Counter(k for _, t, _ in rows for k in {key(x) for x in (t or "").split("\n")} if k)
