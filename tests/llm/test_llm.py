@@ -352,6 +352,24 @@ def test_url_verdicts(spark):
     assert url_trust.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_trust_converges(spark):
+    link = '<a href="http://{}/">x</a>'.format
+    hosts = ["evil.net", *(f"h{i}.test" for i in range(14))]
+    chain = [(i, f"http://{h}/", link(hosts[i - 1]) if i else None) for i, h in enumerate(hosts)]
+    got = {r["host"]: r for r in url_trust.judge_urls(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()}
+    for i, h in enumerate(hosts[1:], 1):  # one link more each
+        assert got[h]["distrust"] == pytest.approx(0.15 * 0.85**i) and got[h]["verdict"] == "block"
+    edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("c", "b", 3), ("d", "a", 1)]
+    names, w = "abcd", np.zeros((4, 4))
+    for s, d, n in edges:
+        w[names.index(d), names.index(s)] = n / sum(x for f, _, x in edges if f == s)
+    p = np.array([0, 0, 0.25, 0.75])
+    want = np.linalg.solve(np.eye(4) - 0.85 * w, 0.15 * p) - 0.15 * p
+    seeds = spark.createDataFrame([("trust", "c", 1.0), ("trust", "d", 3.0)], "kind string, host string, mass double")
+    score = {r["host"]: r["score"] for r in url_trust.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), seeds, tolerance=1e-3).collect()}
+    assert sum(abs(want[i] - score.get(h, 0)) for i, h in enumerate(names)) <= 1e-3
+
+
 def test_html_extraction(spark):
     body = '<nav><a href="/x">menu</a></nav><header>site</header><div class="cookie-notice">we use</div>{}<aside>side</aside><form><p>q</p></form><footer>foot</footer><script>var a="<p>no</p>";</script>'
     pages = [
