@@ -149,17 +149,14 @@ def fingerprint_groups(members: DataFrame) -> DataFrame:
     return members.join(per, "group")
 
 
-def compare_duplicate_annotations(members: DataFrame, cap: int = 1_000) -> DataFrame:
+def compare_duplicate_annotations(members: DataFrame) -> DataFrame:
     """members(group, image_id, split, object_count, fingerprint, width, height) → per group: members, splits, counts
-    of the first `cap` ids as a map, and whether annotations, sizes and splits agree.
+    of all ids as a map, and whether annotations, sizes and splits agree.
 
-    The agreement flags count all members; only the listing is capped, since a group may be any size.
+    A group's map is one value, some 50 bytes a member, so it holds groups of millions at most; where they may be
+    larger, the counts are the rows of members.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("group").orderBy("image_id")
-    listed = members.select("group", "image_id", "object_count", F.row_number().over(w).alias("n")).where(F.col("n") <= cap)
-    maps = listed.groupBy("group").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("image_id", "object_count")))).alias("object_counts"))
+    maps = members.groupBy("group").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("image_id", "object_count")))).alias("object_counts"))
     flags = members.groupBy("group").agg(F.count("*").alias("members"), F.array_sort(F.collect_set("split")).alias("splits"), (F.count_distinct("fingerprint") == 1).alias("identical_annotations"), (F.count_distinct("width", "height") == 1).alias("consistent_dimensions"), (F.count_distinct("split") == 1).alias("one_split"))
     return flags.join(maps, "group")
 

@@ -9,6 +9,9 @@ from ..functions.scalars import seeded_order
 #: Rows of each risk rule: (reason, column, rows, only positive values).
 RISK_RULES = (("highest_object_count", "object_count", 10, False), ("contains_very_small_box", "small_box_count", 10, True), ("unusual_large_box", "largest_area", 5, False), ("unusual_aspect_ratio", "largest_aspect", 5, False))
 
+#: Lists that split_list_representatives takes: their first ids reach the driver.
+MAX_LISTS = 100_000
+
 
 def top_by_risk(images: DataFrame, rules: tuple = RISK_RULES) -> DataFrame:
     """(rule_no, image_id, reason, rank): the top rows of each rule, ties by image_id, images without boxes last. The
@@ -30,18 +33,33 @@ def duplicate_members(members: DataFrame, limit: int | None = None) -> DataFrame
     return rows if limit is None else rows.orderBy("group", "image_id").limit(limit)
 
 
-def split_list_representatives(lists: DataFrame) -> DataFrame:
-    """(list_name, image_id): per list, in name order, its first id that no earlier list took, else its first id."""
-    names = [r["list_name"] for r in lists.select("list_name").distinct().orderBy("list_name").limit(1000).collect()]  # a handful of lists
-    taken: list[str] = []
-    picks = []
-    for name in names:
-        rows = lists.where(F.col("list_name") == name)
-        free = rows.where(~F.col("image_id").isin(taken)) if taken else rows
-        pick = free.agg(F.min("image_id").alias("i")).first()["i"] or rows.agg(F.min("image_id").alias("i")).first()["i"]
-        picks.append((name, pick))
-        taken.append(pick)
-    return lists.sparkSession.createDataFrame(picks, "list_name string, image_id string")
+def split_list_representatives(lists: DataFrame, head: int = 32, max_lists: int = MAX_LISTS) -> DataFrame:
+    """(list_name, image_id): per list, in name order, its first id that no earlier list took, else its first id.
+
+    The first `head` ids of each list come in one job and are dealt out in order; a list whose first ids are all taken
+    is read on in blocks. More than max_lists lists are an error.
+    """
+    n = lists.select("list_name").distinct().count()
+    if n > max_lists:
+        raise ValueError(f"{n} lists, more than {max_lists}")
+    ids = lists.select("list_name", "image_id").distinct()
+    w = Window.partitionBy("list_name").orderBy(F.col("image_id").asc_nulls_last())
+    heads: dict[str, list] = {}
+    for r in ids.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= head).orderBy("list_name", "_n").collect():
+        heads.setdefault(r["list_name"], []).append(r["image_id"])
+    picks: dict[str, str] = {}
+    taken: set[str] = set()
+    for name, block in heads.items():
+        first, size = block[0], head
+        pick = next((i for i in block if i is not None and i not in taken), None)
+        while pick is None and len(block) == size and block[-1] is not None:
+            size = 10_000
+            rest = ids.where(F.col("list_name").eqNullSafe(F.lit(name)) & (F.col("image_id") > F.lit(block[-1])))
+            block = [r["image_id"] for r in rest.orderBy("image_id").limit(size).collect()]
+            pick = next((i for i in block if i not in taken), None)
+        picks[name] = first if pick is None else pick
+        taken.add(picks[name])
+    return lists.sparkSession.createDataFrame(list(picks.items()), "list_name string, image_id string")
 
 
 def seeded_sample_per_split(rows: DataFrame, quota: dict[str, int], seed: int, strict: bool = False) -> DataFrame:

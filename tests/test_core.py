@@ -122,6 +122,33 @@ def test_pass_sample(spark):
         P.seeded_sample_per_split(df, {"train": 9}, 1, strict=True)
 
 
+def test_duplicate_listing_is_whole(spark):
+    rows = [("g", f"i{k:05d}", "train", k, "f", 640, 480) for k in range(2500)] + [("h", "a", "val", 1, "f", 640, 480)]
+    members = spark.createDataFrame(rows, "group string, image_id string, split string, object_count long, fingerprint string, width int, height int")
+    got = {r["group"]: r for r in R.compare_duplicate_annotations(members).collect()}
+    assert got["g"]["object_counts"] == {r[1]: r[3] for r in rows if r[0] == "g"} and got["g"]["members"] == 2500
+    assert got["h"]["object_counts"] == {"a": 1}
+
+
+def test_list_representatives(spark):
+    lists = {f"l{k:04d}": [f"i{(k * 7 + j * j) % 1300:04d}" for j in range(3)] for k in range(1200)}  # more than 1000 lists
+    lists |= {f"m{k}": [f"j{j}" for j in range(5)] for k in range(7)}  # all taken in the end
+    df = spark.createDataFrame([(n, i) for n, ids in lists.items() for i in ids], "list_name string, image_id string")
+
+    def want(names):
+        taken, out = set(), {}
+        for n in sorted(names):
+            out[n] = min([i for i in lists[n] if i not in taken] or lists[n])
+            taken.add(out[n])
+        return out
+
+    assert dict(P.split_list_representatives(df).collect()) == want(lists)
+    few = df.where("list_name like 'm%'")
+    assert dict(P.split_list_representatives(few, head=2).collect()) == want([n for n in lists if n[0] == "m"])
+    with pytest.raises(ValueError):
+        P.split_list_representatives(few, max_lists=6)
+
+
 def test_audit_references(spark):
     images = spark.createDataFrame([("x/lesion.png",), ("x/orphan.jpg",)], "path string")
     refs = spark.createDataFrame([("Annotations/sample.xml", "lesion.jpg", "/unused/lesion.jpg"), ("b.xml", "", None)], "xml_path string, filename string, path string")
