@@ -387,6 +387,13 @@ def test_html_extraction(spark):
     assert html_template.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_copies_are_one_page(spark):
+    pages = ["<div>Own text</div><div><p>of a copied page</p></div>"] * 5 + [f"<div>Home</div><div><p>{i}</p></div>" for i in range(3)]
+    df = spark.createDataFrame([(i, f"http://{'c' if i < 5 else 'n'}/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.extract_text(df).collect()}
+    assert got == {**dict.fromkeys(range(5), "Own text\nof a copied page"), 5: "0", 6: "1", 7: "2"}
+
+
 def test_ordinal_quality(spark):
     rnd = random.Random(8)
     rows, labels = [], []
