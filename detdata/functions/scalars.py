@@ -73,10 +73,9 @@ def split_reasons(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda r: F.trim(r) != "")
 
 
-def six_decimals(value: Column) -> Column:
-    """Report text of a number: six decimals, blank for null."""
-    return F.coalesce(F.format_string("%.6f", value), F.lit(""))
-
+def six_decimals(x: Column) -> Column:
+    """Report text of a number; empty for null, which format_string writes as a word."""
+    return F.when(x.isNull(), "").otherwise(F.format_string("%.6f", x))
 
 def seeded_order(seed: int, key: Column) -> Column:
     """A repeatable random order: md5 of seed and key."""

@@ -13,6 +13,8 @@ from ..operators import review as R
 from ..operators import sampling as P
 from ..operators import split as G
 from ..sources import files as IO
+from ..sources import sinks as K
+from ..storage import new_path, written
 from . import views as V
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -139,21 +141,23 @@ def _(images, boxes):
 
 
 def audit_findings(images, ann, boxes):
-    resolved = A.resolve_images(_references(ann), images.select("path"))
+    resolved = written(A.resolve_images(_references(ann), images.select("path")), "resolved")
     reference = ann.withColumn("reference", F.when(F.col("filename") != "", F.col("filename")).otherwise(F.col("ref_path")))
     paths = boxes.withColumn("path", F.concat(F.lit("xml/"), "image_id", F.lit(".xml")))
     return A.union([A.find_missing_images(resolved), A.find_missing_annotations(images.select("path"), resolved), A.find_extension_mismatches(resolved), A.find_invalid_annotations(reference, paths), A.find_invalid_boxes(boxes), A.find_small_boxes(boxes, 10.0), A.find_corrupt_images(images), A.find_duplicate_images(images)])
 
 
-SUMMARY = f""", {RESOLVED} SELECT 'missing_images' AS metric, count(*) AS value FROM rz WHERE image_path IS NULL UNION ALL SELECT 'missing_xml', count(*) FROM images WHERE path NOT IN (SELECT image_path FROM rz WHERE image_path IS NOT NULL)
- UNION ALL SELECT 'extension_mismatches', count(*) FROM rz WHERE mismatch UNION ALL SELECT 'invalid_annotations', count(*) FROM ({INVALID_ANN}) UNION ALL SELECT 'invalid_boxes', count(*) FROM boxes WHERE NOT ({VALID})
- UNION ALL SELECT 'small_boxes', count(*) FROM boxes WHERE {VALID} AND {SMALL} UNION ALL SELECT 'corrupt_images', count(*) FROM images WHERE NOT readable UNION ALL SELECT 'duplicate_images', count(*) FROM images WHERE readable AND sha256 IN (SELECT sha256 FROM ({GROUPS}))
- UNION ALL SELECT 'images', count(*) FROM images UNION ALL SELECT 'annotations', count(*) FROM ann UNION ALL SELECT 'objects', count(*) FROM boxes UNION ALL SELECT 'classes', count(DISTINCT class_name) FROM boxes WHERE class_name <> ''"""
+SUMMARY = f""", {RESOLVED} SELECT 'missing_images' AS metric, '' AS key, count(*) AS value FROM rz WHERE image_path IS NULL UNION ALL SELECT 'missing_xml', '', count(*) FROM images WHERE path NOT IN (SELECT image_path FROM rz WHERE image_path IS NOT NULL)
+ UNION ALL SELECT 'extension_mismatches', '', count(*) FROM rz WHERE mismatch UNION ALL SELECT 'invalid_annotations', '', count(*) FROM ({INVALID_ANN}) UNION ALL SELECT 'invalid_boxes', '', count(*) FROM boxes WHERE NOT ({VALID})
+ UNION ALL SELECT 'small_boxes', '', count(*) FROM boxes WHERE {VALID} AND {SMALL} UNION ALL SELECT 'corrupt_images', '', count(*) FROM images WHERE NOT readable UNION ALL SELECT 'duplicate_images', '', count(*) FROM images WHERE readable AND sha256 IN (SELECT sha256 FROM ({GROUPS}))
+ UNION ALL SELECT 'images', '', count(*) FROM images UNION ALL SELECT 'annotations', '', count(*) FROM ann UNION ALL SELECT 'objects', '', count(*) FROM boxes UNION ALL SELECT 'classes', '', count(DISTINCT class_name) FROM boxes WHERE class_name <> ''
+ UNION ALL SELECT 'object_class', class_name, count(*) FROM boxes WHERE class_name <> '' GROUP BY 2 UNION ALL SELECT 'very_small_box_definition', 'width or height <= 10 pixels', NULL"""
 
 
 @query("audit_summary", SUMMARY, images=V.IMAGES, ann=V.ANNOTATIONS, boxes=V.BOXES)
 def _(images, ann, boxes):
-    return A.audit_summary(audit_findings(images, ann, boxes), images, ann, boxes)
+    boxes = written(boxes.select("image_id", "object_index", "class_name", "xmin", "ymin", "xmax", "ymax", "width", "height"), "boxes")
+    return A.audit_summary(audit_findings(images, ann, boxes), images, ann, boxes, 10.0)
 
 
 # ---- scalars
@@ -261,10 +265,13 @@ def _(m):
     return Q.absolute_manifest_paths(m)
 
 
-SCAN = "SELECT CAST(page_id AS VARCHAR(20)) AS path, concat(html, chr(10), CASE WHEN page_id % 7 = 0 THEN 'see /home/user/x.png' WHEN page_id % 11 = 0 THEN '<b>src=/tmp/a' ELSE 'b/home/c' END) AS content FROM {pages}"
+SCAN = "SELECT CAST(page_id AS VARCHAR(20)) AS path, concat(html, chr(10), CASE WHEN page_id % 7 = 0 THEN 'see /home/user/x.png now' WHEN page_id % 11 = 0 THEN '<b>src=/tmp/a' WHEN page_id % 13 = 0 THEN '/opt/data/y \"/var/z\"' WHEN page_id % 17 = 0 THEN '/root/x a-/mnt/b' ELSE 'b/home/c' END) AS content FROM {pages}"
+# no look-behind there: what stands before is matched too
+MACHINE = r"""(?:^|[^A-Za-z0-9_.-])((?:/(?:Users|home|private|tmp|var|opt|mnt)/[^\s"'']*|[A-Za-z]:\\[^\s"'']*))"""
+BREAK = r"\r\n|\n|\r"
 
 
-@query("scan_absolute_paths", "SELECT path, line_no, regexp_extract(line, '(?:^|[^a-zA-Z0-9_./])((?:/(?:Users|home|root|tmp|var|mnt|Volumes|private)/)|[A-Za-z]:\\\\)', 1) AS detail FROM (SELECT path, unnest(string_split_regex(content, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(string_split_regex(content, '\\r\\n|\\n|\\r'), 1)::INT AS line_no FROM s) WHERE regexp_matches(line, '(?:^|[^a-zA-Z0-9_./])((?:/(?:Users|home|root|tmp|var|mnt|Volumes|private)/)|[A-Za-z]:\\\\)')", s=SCAN)
+@query("scan_absolute_paths", f"SELECT path, line_no, regexp_extract(line, '{MACHINE}', 1) AS detail FROM (SELECT path, unnest(string_split_regex(content, '{BREAK}')) AS line, generate_subscripts(string_split_regex(content, '{BREAK}'), 1)::INT AS line_no FROM s) WHERE regexp_matches(line, '{MACHINE}')", s=SCAN)
 def _(s):
     return Q.scan_absolute_paths(s.withColumn("content", F.col("content").cast("binary")))
 
@@ -395,7 +402,7 @@ def _verdict_sql(before: str, after: str, review: str, small: str) -> str:
 
 
 V1 = _verdict_sql("xml source src_xml src_bad conv xml_conv label", "counts unmatched crosses several", "delta iou small differs", "coalesce(small_n, 0)")
-V2 = _verdict_sql("xml label conv source src_conv src_xml src_bad xml_conv", "counts unmatched several crosses", "delta iou differs small", "small_box_count")
+V2 = _verdict_sql("xml label conv source src_conv src_xml src_bad xml_conv", "counts unmatched several crosses", "delta iou differs small", "small_box_count").replace("'REJECT'", "'Reject'").replace("'NEEDS_REVIEW'", "'Needs review'").replace("'PASS'", "'Pass'")
 SHOWN = "image_id, split, source_count, converted_count, max_delta, min_iou, status, array_to_string(reasons, ';') AS reasons"
 REVIEW_TABLES = {"facts": FACTS, "src": V.SOURCE, "labels": V.LABELS}
 
@@ -446,7 +453,7 @@ def _(_conv, facts, src, labels):
 
 # ---- duplicates and evidence
 
-MEMBERS = """SELECT i.sha256 AS grp, i.image_id, CASE WHEN k % 1009 = 0 THEN 'val' ELSE 'train' END AS split, coalesce(n, 0) AS object_count, concat(CAST(coalesce(n, 0) AS VARCHAR(9)), ':', CAST(k % 2 AS VARCHAR(9))) AS fingerprint, width, height,
+MEMBERS = """SELECT i.sha256 AS grp, i.image_id, CASE WHEN k % 1009 = 0 THEN 'val' ELSE 'train' END AS split, coalesce(n, 0) AS object_count, concat(CAST(coalesce(n, 0) AS VARCHAR(9)), ':', CAST(k % 2 AS VARCHAR(9))) AS fingerprint, width, height, width AS xml_width, CAST(height + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS INT) AS xml_height,
  CAST(k % 31 AS INT) AS label_errors, CAST(0 AS BIGINT) AS zero, k FROM ({images_}) i LEFT JOIN (SELECT image_id AS id, count(*) AS n FROM ({boxes_}) b GROUP BY 1) c ON i.image_id = c.id WHERE i.readable""".replace("{images_}", V.IMAGES).replace("{boxes_}", V.BOXES)
 MEMBERS = MEMBERS.replace("GROUP BY 1", "GROUP BY image_id")
 
@@ -461,19 +468,22 @@ def _(mem):
     return R.fingerprint_groups(mem.select(F.col("grp").alias("group"), "image_id", "fingerprint"))
 
 
-@query("compare_duplicate_annotations", """SELECT grp AS "group", count(*) AS members, list_sort(list(DISTINCT split)) AS splits, count(DISTINCT fingerprint) = 1 AS identical_annotations, count(DISTINCT (width, height)) = 1 AS consistent_dimensions, count(DISTINCT split) = 1 AS one_split,
- string_agg(image_id || ':' || object_count, ';' ORDER BY image_id) AS object_counts FROM mem GROUP BY 1""", mem=MEMBERS)
+@query("compare_duplicate_annotations", """SELECT grp AS "group", string_agg(image_id, ';' ORDER BY image_id) AS image_ids, list_sort(list(DISTINCT split)) AS splits, string_agg(image_id || ':' || object_count, ';' ORDER BY image_id) AS object_counts,
+ string_agg(image_id || ':' || xml_width || ',' || xml_height, ';' ORDER BY image_id) AS xml_dimensions, string_agg(image_id || ':' || width || ',' || height, ';' ORDER BY image_id) AS image_dimensions, count(DISTINCT fingerprint) = 1 AS identical_annotations,
+ count(DISTINCT (xml_width, xml_height)) = 1 AS xml_dimensions_consistent, count(DISTINCT (width, height)) = 1 AS image_dimensions_consistent, count(DISTINCT split) = 1 AS one_split FROM mem GROUP BY 1""", mem=MEMBERS)
 def _(mem):
     out = R.compare_duplicate_annotations(mem.withColumnRenamed("grp", "group"))
-    text = F.array_join(F.transform(F.array_sort(F.map_entries("object_counts")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ";")
-    return out.withColumn("object_counts", text)
+    text = lambda c, of: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(":"), of(e["value"]))), ";").alias(c)
+    size = lambda v: F.array_join(v.cast("array<string>"), ",")
+    return out.select("group", F.array_join("image_ids", ";").alias("image_ids"), "splits", text("object_counts", lambda v: v.cast("string")), text("xml_dimensions", size), text("image_dimensions", size), "identical_annotations", "xml_dimensions_consistent", "image_dimensions_consistent", "one_split")
 
 
 def _baseline(mem):
     return R.group_baseline_compare(mem.select(F.col("grp").alias("group"), "image_id", "split", "fingerprint", "label_errors", F.col("object_count").alias("source_count"), F.col("object_count").alias("converted_count"), F.col("zero").alias("unmatched_source"), F.col("zero").alias("unmatched_converted"), F.lit(None).cast("double").alias("max_delta"), F.lit(None).cast("double").alias("min_iou")))
 
 
-BASE = """b AS (SELECT grp AS "group", image_id, fingerprint = first_value(fingerprint) OVER (PARTITION BY grp ORDER BY image_id) AS same_as_first, label_errors = 0 AS conversion_valid, NOT (label_errors = 0) OR (SELECT count(DISTINCT split) FROM mem x WHERE x.grp = mem.grp) <> 1 AS blocking FROM mem)"""
+BASE = f"""b0 AS (SELECT grp AS "group", image_id, split, object_count AS source_count, object_count AS converted_count, fingerprint = first_value(fingerprint) OVER (PARTITION BY grp ORDER BY image_id) AS same_as_first, label_errors = 0 AS conversion_valid, NOT (label_errors = 0) OR (SELECT count(DISTINCT split) FROM mem x WHERE x.grp = mem.grp) <> 1 AS blocking FROM mem),
+ b AS (SELECT *, CASE WHEN blocking THEN '{R.EXPLAIN_FAILED}' ELSE '{R.EXPLAIN_VALID.replace("'", "''")}' END AS explanation FROM b0)"""
 
 
 @query("group_baseline_compare", f", {BASE} SELECT * FROM b", mem=MEMBERS)
@@ -481,43 +491,62 @@ def _(mem):
     return _baseline(mem)
 
 
+@query("duplicate_review_rows", f", {BASE} SELECT *, (SELECT string_agg(x.image_id || ':' || x.source_count, ';' ORDER BY x.image_id) FROM b x WHERE x.\"group\" = b.\"group\") AS group_object_counts FROM b", mem=MEMBERS)
+def _(mem):
+    return R.with_group_object_counts(_baseline(mem))
+
+
 @query("duplicate_review_summary", f", {BASE} SELECT count(DISTINCT \"group\") AS groups, count(*) AS images, bool_and(conversion_valid) AS all_valid, bool_and(NOT blocking) AS none_blocking FROM b", mem=MEMBERS)
 def _(mem):
     return R.duplicate_review_summary(_baseline(mem))
 
 
-FINGER = "SELECT image_id, sha256(string_agg(class_name || ':' || xmin::BIGINT || ',' || ymin::BIGINT || ',' || xmax::BIGINT || ',' || ymax::BIGINT, '|' ORDER BY object_index)) AS fingerprint FROM boxes GROUP BY 1"
+#: Corners with fractions, very small and very large ones too.
+FRACTIONS = "SELECT image_id, object_index, class_name, xmin / 7 AS xmin, ymin * 3001.25 AS ymin, xmax * 0.000001 AS xmax, ymax AS ymax FROM ({boxes_}) q".replace("{boxes_}", V.BOXES)
+FINGER = "SELECT image_id, sha256(string_agg(class_name || ':' || printf('%g,%g,%g,%g', xmin, ymin, xmax, ymax), '|' ORDER BY object_index)) AS fingerprint FROM boxes GROUP BY 1"
 
 
-@query("annotation_fingerprint", FINGER, boxes=V.BOXES)
+@query("annotation_fingerprint", FINGER, boxes=FRACTIONS)
 def _(boxes):
     return R.annotation_fingerprint(boxes)
 
 
-REPORT = f"""{V1} SELECT 'status' AS metric, s AS key, count(vd.image_id) AS value FROM (VALUES ('PASS'), ('NEEDS_REVIEW'), ('REJECT')) t(s) LEFT JOIN vd ON status = s GROUP BY 2
- UNION ALL SELECT 'reason', reason, n FROM ({REASONS}) UNION ALL SELECT 'category', category, n FROM ({CATEGORIES}) UNION ALL SELECT 'conversion_mismatches', '', count(*) FROM ({MISMATCHES})
- UNION ALL SELECT 'split_leaks', '', count(*) FROM (SELECT duplicate_group_id FROM m WHERE duplicate_group_id <> '' GROUP BY 1 HAVING count(DISTINCT split) > 1)
+_SPLITS = "(VALUES ('test'), ('train'), ('val')) t(s) LEFT JOIN vd ON split = s GROUP BY 2"
+REPORT = f"""{V1}, ct AS ({CATEGORIES}), {BASE}, bs AS (SELECT * FROM b) SELECT 'status' AS metric, s AS key, count(vd.image_id) AS value FROM (VALUES ('PASS'), ('NEEDS_REVIEW'), ('REJECT')) t(s) LEFT JOIN vd ON status = s GROUP BY 2
+ UNION ALL SELECT 'images_checked', '', count(*) FROM vd UNION ALL SELECT 'source_objects_checked', '', sum(source_count)::BIGINT FROM vd UNION ALL SELECT 'objects_checked', '', sum(converted_count)::BIGINT FROM vd
+ UNION ALL SELECT 'split_images', s, count(vd.image_id) FROM {_SPLITS} UNION ALL SELECT 'split_objects', s, coalesce(sum(converted_count), 0)::BIGINT FROM {_SPLITS} UNION ALL SELECT 'split_source_objects', s, coalesce(sum(source_count), 0)::BIGINT FROM {_SPLITS}
+ UNION ALL SELECT 'reason', reason, n FROM ({REASONS}) UNION ALL SELECT 'category', category, n FROM ct WHERE category <> 'both_reasons' UNION ALL SELECT 'both_reasons', '', coalesce(sum(n), 0)::BIGINT FROM ct WHERE category = 'both_reasons'
+ UNION ALL SELECT 'conversion_mismatches', '', count(*) FROM ({MISMATCHES})
+ UNION ALL SELECT 'groups_crossing_splits', '', count(*) FROM (SELECT duplicate_group_id FROM m WHERE duplicate_group_id <> '' GROUP BY 1 HAVING count(DISTINCT split) > 1)
  UNION ALL SELECT 'groups_with_differing_counts', '', count(*) FROM (SELECT duplicate_group_id FROM m WHERE duplicate_group_id <> '' GROUP BY 1 HAVING count(DISTINCT object_count) > 1)
- UNION ALL SELECT 'absolute_paths', '', count(*) FROM m WHERE source_image_path LIKE '/%'"""
+ UNION ALL SELECT 'filenames_in_multiple_splits', '', count(*) FROM facts WHERE in_several_splits
+ UNION ALL SELECT 'absolute_paths', '', count(*) FROM m WHERE source_image_path LIKE '/%' UNION ALL SELECT 'duplicate_hash_groups', '', count(*) FROM ({GROUPS}) UNION ALL SELECT 'unreadable_source_hashes', '', count(*) FROM images WHERE NOT readable
+ UNION ALL SELECT 'duplicate_reviews', '', count(*) FROM bs UNION ALL SELECT 'duplicate_reviews_blocking', '', count(*) FROM bs WHERE blocking"""
 
 
-@query("readiness_report", REPORT, conv=CONV, m=V.MANIFEST, **REVIEW_TABLES)
-def _(_conv, m, facts, src, labels):
-    return R.readiness_report(_v1(facts, src, labels), Q.split_leaks(m, {"group": "duplicate_group_id"}), Q.duplicate_count_differs(m), Q.absolute_manifest_paths(m))
+@query("readiness_report", REPORT, conv=CONV, m=V.MANIFEST, images=V.IMAGES, mem=MEMBERS, **REVIEW_TABLES)
+def _(_conv, m, images, mem, facts, src, labels):
+    compared = _baseline(mem)
+    return R.readiness_report(written(_v1(facts, src, labels), "reviews"), {
+        "groups_crossing_splits": Q.split_leaks(m, {"group": "duplicate_group_id"}), "groups_with_differing_counts": Q.duplicate_count_differs(m), "filenames_in_multiple_splits": facts.where("in_several_splits"),
+        "absolute_paths": Q.absolute_manifest_paths(m), "duplicate_hash_groups": A.duplicate_groups(images), "unreadable_source_hashes": images.where("not readable"),
+        "duplicate_reviews": compared, "duplicate_reviews_blocking": compared.where("blocking"),
+    })
 
 
-PREVIEWS = "SELECT CASE WHEN k % 97 = 0 THEN concat('gone_', image_id) ELSE image_id END AS image_id, CASE WHEN k % 89 = 0 THEN 'other' ELSE split END AS split FROM (" + V.MANIFEST + ") m WHERE k % 5 = 0"
-VERDICTS = "SELECT image_id, CASE WHEN k % 3 = 0 THEN 'PASS' ELSE 'NEEDS_REVIEW' END AS status, CASE WHEN k % 3 = 0 THEN '' ELSE 'contains_very_small_box' END AS reasons FROM (" + V.IMAGES + ") i"
+PREVIEWS = "SELECT CASE WHEN k % 97 = 0 THEN concat('gone_', image_id) ELSE image_id END AS image_id, CASE WHEN k % 89 = 0 THEN 'other' ELSE split END AS split FROM (" + V.MANIFEST + ") m"
+VERDICTS = "SELECT image_id, CASE WHEN k % 3 = 0 THEN 'Pass' ELSE 'Needs review' END AS status, CASE WHEN k % 3 = 0 THEN '' ELSE 'contains_very_small_box' END AS reasons FROM (" + V.IMAGES + ") i"
 
 
-@query("join_previews", """SELECT p.image_id, p.split, CASE WHEN m.image_id IS NULL OR m.split <> p.split THEN 'REJECT' ELSE status END AS status, CASE WHEN m.image_id IS NULL THEN 'missing_manifest_record' WHEN m.split <> p.split THEN concat_ws(';', nullif(v.reasons, ''), 'preview_and_manifest_split_differ') ELSE v.reasons END AS reasons
+@query("join_previews", """SELECT p.image_id, p.split, CASE WHEN m.image_id IS NULL OR m.split <> p.split THEN 'Reject' ELSE status END AS status, CASE WHEN m.image_id IS NULL THEN 'missing_manifest_record' WHEN m.split <> p.split THEN concat_ws(';', nullif(v.reasons, ''), 'preview_and_manifest_split_differ') ELSE v.reasons END AS reasons
  FROM p LEFT JOIN m ON m.image_id = p.image_id LEFT JOIN v ON v.image_id = p.image_id""", p=PREVIEWS, v=VERDICTS, m=V.MANIFEST)
 def _(p, v, m):
     out = R.join_previews(p, v.withColumn("reasons", S.split_reasons(F.col("reasons"))), m)
     return out.withColumn("reasons", S.reasons_text(F.col("reasons")))
 
 
-PREVIOUS = "SELECT image_id, CASE WHEN k % 2 = 0 THEN 'approved' ELSE '' END AS review_status, concat('note ', CAST(k AS VARCHAR(20))) AS reviewer_notes FROM (" + V.IMAGES + ") i WHERE k % 4 = 0"
+#: An earlier review of all images, some of which have other ids now.
+PREVIOUS = "SELECT CASE WHEN k % 4 = 0 THEN image_id ELSE concat('old_', image_id) END AS image_id, CASE WHEN k % 2 = 0 THEN 'approved' ELSE '' END AS review_status, concat('note ', CAST(k AS VARCHAR(20))) AS reviewer_notes FROM (" + V.IMAGES + ") i"
 
 
 @query("preserve_human_fields", "SELECT v.image_id, v.status, coalesce(q.review_status, '') AS review_status, coalesce(q.reviewer_notes, '') AS reviewer_notes FROM v LEFT JOIN q ON q.image_id = v.image_id", v=VERDICTS, q=PREVIOUS)
@@ -564,17 +593,24 @@ def _(lists):
 
 
 QUOTA = {"train": 4, "val": 3, "test": 3}
-PASSING = "SELECT m.image_id, split FROM (" + V.MANIFEST + ") m WHERE k % 3 = 0"
 SEEDED = "SELECT image_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('42:' || image_id), image_id) AS r FROM rows_) WHERE r <= CASE split WHEN 'train' THEN 4 WHEN 'val' THEN 3 WHEN 'test' THEN 3 ELSE 0 END"
 
 
-@query("seeded_sample_per_split", SEEDED, rows_=PASSING)
-def _(rows):
-    return P.seeded_sample_per_split(rows, QUOTA, 42, strict=True).select("image_id", "split")
+PASSED = ", rows_ AS (SELECT image_id, split FROM vd WHERE status = 'PASS')"
+
+
+def _passed(facts, src, labels):
+    return written(_v1(facts, src, labels).where(F.col("status") == R.PASS).select("image_id", "split"), "passed")
+
+
+@query("seeded_sample_per_split", f"{V1}{PASSED} {SEEDED}", conv=CONV, **REVIEW_TABLES)
+def _(_conv, facts, src, labels):
+    return P.seeded_sample_per_split(_passed(facts, src, labels), QUOTA, 42, strict=True).select("image_id", "split")
 
 
-@query("fill_sample", f", sel AS ({SEEDED}) SELECT image_id, split FROM rows_ WHERE image_id NOT IN (SELECT image_id FROM sel) ORDER BY md5('7:' || image_id), image_id LIMIT 50", rows_=PASSING)
-def _(rows):
+@query("fill_sample", f"{V1}{PASSED}, sel AS ({SEEDED}) SELECT image_id, split FROM rows_ WHERE image_id NOT IN (SELECT image_id FROM sel) ORDER BY md5('7:' || image_id), image_id LIMIT 50", conv=CONV, **REVIEW_TABLES)
+def _(_conv, facts, src, labels):
+    rows = _passed(facts, src, labels)
     return P.fill_sample(rows, P.seeded_sample_per_split(rows, QUOTA, 42), 60, 7)
 
 
@@ -723,3 +759,58 @@ LINES = "SELECT CAST(conv_id AS VARCHAR(20)) AS path, text AS value, conv_id, tu
 @query("label_rows", "SELECT path, line_no, line, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+'))::INT AS n FROM (SELECT path, unnest(string_split_regex(v, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(string_split_regex(v, '\\r\\n|\\n|\\r'), 1)::INT AS line_no FROM (SELECT path, regexp_replace(value, '(\\r\\n|\\r|\\n)$', '') AS v FROM x WHERE value <> ''))", x=LINES)
 def _(x):
     return IO.label_rows(x.select("path", "value")).select("path", "line_no", "line", F.size("tokens").alias("n"))
+
+
+# ---- round trips: what the sinks write below the shared folder and the sources read again
+
+@query("manifest_round_trip", "SELECT image_id, split, image_path, label_path, source_image_path, source_xml_path, width::VARCHAR AS image_width, height::VARCHAR AS image_height, object_count::VARCHAR AS object_count, small_box_count::VARCHAR AS small_box_count, duplicate_group_id FROM m JOIN (SELECT image_id, width, height FROM images) i USING (image_id)", m=V.MANIFEST, images=V.IMAGES)
+def _(m, images):
+    path = new_path(m.sparkSession, "manifest")
+    K.write_manifest(m.join(images.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height")), "image_id"), path)
+    return IO.read_manifest(m.sparkSession, path, ("image_id", "split"))
+
+
+@query("labels_round_trip", "SELECT m.image_id, m.split, coalesce(n, 0) AS n_lines FROM m LEFT JOIN (SELECT image_id, count(*) AS n FROM labels GROUP BY 1) l ON l.image_id = m.image_id", m=V.MANIFEST, labels=V.LABELS)
+def _(m, labels):
+    path = new_path(m.sparkSession, "labels")
+    K.write_labels(labels, m, path)
+    return m.sparkSession.read.parquet(path).select("image_id", "split", F.regexp_count("label_text", F.lit("\n")).cast("long").alias("n_lines"))
+
+
+@query("findings_round_trip", f"""SELECT category, path, detail FROM (SELECT 'invalid_boxes' AS category, image_id AS path, {PROBLEMS} AS detail FROM boxes WHERE NOT ({VALID})
+ UNION ALL SELECT 'corrupt_images', path, 'image cannot be read' FROM images WHERE NOT readable)""", boxes=V.BOXES, images=V.IMAGES)
+def _(boxes, images):
+    path = new_path(boxes.sparkSession, "findings")
+    K.write_findings(A.union([A.find_invalid_boxes(boxes), A.find_corrupt_images(images)]), path)
+    return A.union([boxes.sparkSession.read.schema("path string, detail string").csv(f"{path}/{c}", header=True).select(F.lit(c).alias("category"), "path", "detail") for c in A.FINDING_CATEGORIES])
+
+
+@query("reviews_round_trip", f"{V1} SELECT image_id, split, source_count::VARCHAR AS source_object_count, status AS automated_status, array_to_string(reasons, ';') AS automated_reasons, coalesce(printf('%.6f', max_delta), '') AS max_coordinate_delta_px, coalesce(printf('%.6f', min_iou), '') AS minimum_matched_iou FROM vd WHERE status <> 'PASS'", conv=CONV, **REVIEW_TABLES)
+def _(_conv, facts, src, labels):
+    path = new_path(facts.sparkSession, "reviews")
+    K.write_reviews(_v1(facts, src, labels), path)
+    rows = [facts.sparkSession.read.csv(f"{path}/{part}", header=True) for part in ("needs_review", "rejected")]
+    assert rows[0].columns == list(K.REVIEW_COLUMNS)
+    names = ("image_id", "split", "source_object_count", "automated_status", "automated_reasons", "max_coordinate_delta_px", "minimum_matched_iou")
+    return rows[0].unionByName(rows[1]).select(*[F.coalesce(c, F.lit("")).alias(c) for c in names])
+
+
+@query("epochs_round_trip", "SELECT epoch, map50 FROM e", e=V.EPOCHS)
+def _(e):
+    path = new_path(e.sparkSession, "epochs")
+    e.select("epoch", F.coalesce(F.col("map50").cast("string"), F.lit("n/a")).alias("metrics/mAP50(B)")).write.csv(path, header=True)
+    return IO.read_epoch_results(e.sparkSession, path, {"map50": ("mAP50", "metrics/mAP50(B)")})
+
+
+@query("previous_review_round_trip", "SELECT image_id, review_status, reviewer_notes FROM q", q=PREVIOUS)
+def _(q):
+    path = new_path(q.sparkSession, "previous")
+    q.write.csv(path, header=True)
+    return IO.read_previous_review(q.sparkSession, path)
+
+
+@query("summary_round_trip", "SELECT split, count(*) AS images FROM m GROUP BY 1", m=V.MANIFEST)
+def _(m):
+    path = new_path(m.sparkSession, "summary")
+    K.write_summary(m.groupBy("split").agg(F.count("*").alias("images")), path)
+    return m.sparkSession.read.schema("split string, images long").json(path)

@@ -138,12 +138,18 @@ def box_counts_per_image(images: DataFrame, boxes: DataFrame, side: float) -> Da
     return images.select("image_id").join(per, "image_id", "left").fillna(0, ["object_count", "small_box_count"])
 
 
-def audit_summary(findings: DataFrame, images: DataFrame, annotations: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(metric, value): counts per category with zeros, and totals of images, annotations, objects and classes."""
+def audit_summary(findings: DataFrame, images: DataFrame, annotations: DataFrame, boxes: DataFrame, side: float) -> DataFrame:
+    """(metric, key, value): counts per category with zeros; totals of images, annotations, objects and classes; a row
+    for each class with its count; and the definition of a small box as a row without a value."""
     spark = findings.sparkSession
     base = spark.createDataFrame([(c,) for c in FINDING_CATEGORIES], "metric string")
     per = findings.groupBy(F.col("category").alias("metric")).agg(F.count("*").alias("n"))
-    counts = base.join(per, "metric", "left").select("metric", F.coalesce("n", F.lit(0)).alias("value"))
-    one = lambda df, name, what=None: df.agg((what if what is not None else F.count("*")).alias("value")).select(F.lit(name).alias("metric"), "value")
-    named = F.count_distinct(F.when(F.coalesce("class_name", F.lit("")) != "", F.col("class_name")))
-    return union([counts, one(images, "images"), one(annotations, "annotations"), one(boxes, "objects"), one(boxes, "classes", named)])
+    counts = base.join(per, "metric", "left").select("metric", F.lit("").alias("key"), F.coalesce("n", F.lit(0)).alias("value"))
+    one = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), F.lit("").alias("key"), "value")
+    # one pass over the boxes; a row per class is left of it
+    classes = boxes.groupBy(F.coalesce("class_name", F.lit("")).alias("key")).agg(F.count("*").alias("value"))
+    rows = classes.select(F.explode(F.array(F.struct(F.lit("objects").alias("metric"), F.lit("").alias("key"), F.col("value").alias("value")), F.struct(F.lit("classes").alias("metric"), F.lit("").alias("key"), (F.col("key") != "").cast("long").alias("value")), F.struct(F.lit("object_class").alias("metric"), F.col("key").alias("key"), F.col("value").alias("value")))).alias("r")).select("r.*")
+    rows = rows.where("metric != 'object_class' or key != ''").groupBy("metric", "key").agg(F.sum("value").alias("value"))
+    totals = spark.createDataFrame([("objects", ""), ("classes", "")], "metric string, key string").join(rows.where("metric != 'object_class'"), ["metric", "key"], "left").fillna(0, ["value"])
+    small = spark.createDataFrame([("very_small_box_definition", f"width or height <= {side:g} pixels", None)], "metric string, key string, value long")
+    return union([counts, one(images, "images"), one(annotations, "annotations"), totals, rows.where("metric = 'object_class'"), small])

@@ -61,22 +61,27 @@ def match_predictions(predictions: DataFrame, truth: DataFrame, thresholds: tupl
     p = predictions.select(*key, "pred_id", "confidence", *[F.col(c).alias("p_" + c) for c in ("xmin", "ymin", "xmax", "ymax")])
     t = truth.select(*key, "truth_id", *[F.col(c).alias("t_" + c) for c in ("xmin", "ymin", "xmax", "ymax")])
     corners = lambda x: tuple(F.col(x + c) for c in ("xmin", "ymin", "xmax", "ymax"))
-    pairs = p.join(t, key).where((F.col("p_xmin") < F.col("t_xmax")) & (F.col("t_xmin") < F.col("p_xmax")) & (F.col("p_ymin") < F.col("t_ymax")) & (F.col("t_ymin") < F.col("p_ymax")))
-    pairs = pairs.withColumn("iou", iou(corners("p_"), corners("t_"))).where(F.col("iou") >= min(thresholds))
-    cands = pairs.groupBy(*key, "pred_id", "confidence").agg(F.sort_array(F.collect_list(F.struct("iou", "truth_id")), asc=False).alias("c"))
-    per = cands.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "pred_id", "c"))).alias("ps"))
-    per = per.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
-    kind = predictions.schema["pred_id"].dataType.simpleString()
-    truth_kind = truth.schema["truth_id"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<p: {kind}, t: {truth_kind}>>")
+    overlap = (F.col("p_xmin") < F.col("t_xmax")) & (F.col("t_xmin") < F.col("p_xmax")) & (F.col("p_ymin") < F.col("t_ymax")) & (F.col("t_ymin") < F.col("p_ymax"))
+    reach = iou(corners("p_"), corners("t_"))
+    t = t.select(*[F.col(c).alias("t_" + c if c in key else c) for c in t.columns])
+    pairs = p.join(t, (F.col("image_id") == F.col("t_image_id")) & (F.col("class_id") == F.col("t_class_id")) & overlap & (reach >= min(thresholds)), "left")
+    # a prediction with all its candidates, also without any; then all of an image and class in order
+    some = F.sort_array(F.collect_list(F.when(F.col("truth_id").isNotNull(), F.struct(reach.alias("iou"), "truth_id"))), asc=False)
+    cands = pairs.groupBy(*key, "pred_id", "confidence").agg(some.alias("c"))
+    per = cands.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "pred_id", "confidence", "c"))).alias("ps"))
+    per = per.select(*key, "ps", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
+    kind = truth.schema["truth_id"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("used"), F.array().cast("array<boolean>").alias("hits"))
 
     def take(acc, x):
-        free = F.filter(x["c"], lambda c: (c["iou"] >= F.col("threshold")) & ~F.exists(acc, lambda m: m["t"] == c["truth_id"]))
-        return F.when(F.size(free) > 0, F.concat(acc, F.array(F.struct(x["pred_id"].alias("p"), F.get(free, F.lit(0))["truth_id"].alias("t"))))).otherwise(acc)
-
-    hits = per.select(*key, "threshold", F.explode(F.aggregate("ps", empty, take)).alias("m")).select(*key, "threshold", F.col("m.p").alias("pred_id"), F.lit(True).alias("hit"))
-    rows = predictions.select(*key, "pred_id", "confidence").withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
-    return rows.join(hits, [*key, "threshold", "pred_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+        free = F.filter(x["c"], lambda c: (c["iou"] >= F.col("threshold")) & ~F.array_contains(acc["used"], c["truth_id"]))
+        hit = F.size(free) > 0
+        used = F.when(hit, F.concat(acc["used"], F.array(F.get(free, F.lit(0))["truth_id"]))).otherwise(acc["used"])
+        return F.struct(used.alias("used"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+
+    hits = per.select(*key, "threshold", "ps", F.aggregate("ps", start, take)["hits"].alias("hits"))
+    rows = hits.select(*key, "threshold", F.explode(F.zip_with("ps", "hits", lambda x, h: F.struct(x["pred_id"].alias("pred_id"), x["confidence"].alias("confidence"), h.alias("hit")))).alias("m"))
+    return rows.select(*key, "m.pred_id", "m.confidence", "threshold", "m.hit")
 
 
 def precision_recall(matched: DataFrame, truth: DataFrame) -> DataFrame:

@@ -69,17 +69,18 @@ def absolute_manifest_paths(manifest: DataFrame, fields: tuple = ("image_path",
     return manifest.select("image_id", F.explode(pairs).alias("p")).select("image_id", "p.field", "p.value").where(is_absolute_path(F.col("value")))
 
 
-#: Roots of machine-dependent paths.
-MACHINE_PATH = r"(?<![\w./])(/(Users|home|root|tmp|var|mnt|Volumes|private)/|[A-Za-z]:\\)"
+#: What may not stand before a machine-dependent path, its roots, and what it goes on with.
+MACHINE_PATH = r"""(?<![A-Za-z0-9_.-])(?:/(?:Users|home|private|tmp|var|opt|mnt)/[^\s"']*|[A-Za-z]:\\[^\s"']*)"""
 
 
 def scan_absolute_paths(files: DataFrame, path: str = "path", content: str = "content", pattern: str = MACHINE_PATH) -> DataFrame:
-    """files(path, content bytes) → (path, line_no, detail): lines with a machine path, and files that are not UTF-8."""
+    """files(path, content bytes) → (path, line_no, detail): lines with a machine path, the first of each, and files that are
+    not UTF-8."""
     text = F.col(content).cast("string")
     good = F.is_valid_utf8(text)
     bad = files.where(~good).select(F.col(path).alias("path"), F.lit(0).alias("line_no"), F.lit("not UTF-8").alias("detail"))
     lines = files.where(good).select(F.col(path).alias("path"), F.posexplode(F.split(text, r"\R")).alias("p", "line"))
-    return lines.where(F.col("line").rlike(pattern)).select("path", (F.col("p") + 1).alias("line_no"), F.regexp_extract("line", pattern, 1).alias("detail")).unionByName(bad)
+    return lines.where(F.col("line").rlike(pattern)).select("path", (F.col("p") + 1).alias("line_no"), F.regexp_extract("line", pattern, 0).alias("detail")).unionByName(bad)
 
 
 def manifest_file_diff(manifest: DataFrame, files: DataFrame, column: str) -> DataFrame:

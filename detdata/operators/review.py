@@ -1,10 +1,11 @@
 """Verdicts on images: the full review, the preview review and what is derived from them."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, is_small_box
-from ..schemas import NEEDS_REVIEW, PASS, REJECT
+from ..schemas import NEEDS_REVIEW, PASS, PREVIEW_WORDS, REJECT, SPLITS
 from .matching import match_boxes, match_stats, pair_boxes
 from .quality import label_row_errors
 
@@ -79,12 +80,14 @@ def review_records(facts: DataFrame, source: DataFrame, label_rows: DataFrame, s
 
 
 def review_previews(facts: DataFrame, source: DataFrame, label_rows: DataFrame, side: float) -> DataFrame:
-    """The preview review: as review_records, with a source/converted size check, the manifest's small_box_count and
-    another order of reasons."""
+    """The preview review: as review_records, with a source/converted size check, the manifest's small_box_count,
+    another order of reasons and the words of previews (Pass, Needs review, Reject)."""
     rows = facts.join(box_evidence(facts, source, label_rows, side), "image_id").withColumn("small", F.col("small_box_count"))
     r, v = _common(rows)
     order = [r[k] for k in ("xml", "label", "conv", "source", "conv_bad", "src_conv", "src_xml", "src_bad", "xml_conv")] + [r[k] for k in ("counts", "unmatched", "several", "crosses")]
-    return _verdict(rows, order, 9, [v[k] for k in ("delta", "iou", "differs", "small")])
+    out = _verdict(rows, order, 9, [v[k] for k in ("delta", "iou", "differs", "small")])
+    words = F.create_map(*[F.lit(x) for pair in PREVIEW_WORDS.items() for x in pair])
+    return out.withColumn("status", words[F.col("status")])
 
 
 def status_counts(reviews: DataFrame) -> DataFrame:
@@ -98,18 +101,32 @@ def reason_breakdown(reviews: DataFrame) -> DataFrame:
     return reviews.where(F.col("status") == NEEDS_REVIEW).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _coordinate_concern() -> Column:
+    return F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in COORDINATE_REASONS]))
+
+
+def _category() -> Column:
+    differs, small = F.array_contains("reasons", COUNTS_DIFFER), F.array_contains("reasons", SMALL)
+    return F.when(_coordinate_concern(), "coordinate_or_iou_concern").when(differs, "duplicate_annotation_count_difference").when(small & (F.size(F.array_distinct("reasons")) == 1), "very_small_box_only").otherwise("other_reason")
+
+
+def _both_reasons() -> Column:
+    return F.array_contains("reasons", COUNTS_DIFFER) & F.array_contains("reasons", SMALL)
+
+
 def review_categories(reviews: DataFrame) -> DataFrame:
     """(category, n): exclusive categories of the rows that need review, and both_reasons, which overlaps."""
     rows = reviews.where(F.col("status") == NEEDS_REVIEW)
-    coordinate = F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in COORDINATE_REASONS]))
-    differs, small = F.array_contains("reasons", COUNTS_DIFFER), F.array_contains("reasons", SMALL)
-    category = F.when(coordinate, "coordinate_or_iou_concern").when(differs, "duplicate_annotation_count_difference").when(small & (F.size(F.array_distinct("reasons")) == 1), "very_small_box_only").otherwise("other_reason")
-    both = rows.where(differs & small).select(F.lit("both_reasons").alias("category"))
-    return rows.select(category.alias("category")).unionByName(both).groupBy("category").agg(F.count("*").alias("n"))
+    names = F.array_compact(F.array(_category(), F.when(_both_reasons(), "both_reasons")))
+    return rows.select(F.explode(names).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
 def conversion_mismatches(reviews: DataFrame) -> DataFrame:
-    return reviews.where(F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in MISMATCH_REASONS]))).select("image_id", "status")
+    return reviews.where(_mismatch()).select("image_id", "status")
+
+
+def _mismatch() -> Column:
+    return F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in MISMATCH_REASONS]))
 
 
 def attach_duplicate_group(manifest: DataFrame, images: DataFrame, groups: DataFrame) -> DataFrame:
@@ -125,7 +142,7 @@ def join_previews(previews: DataFrame, reviews: DataFrame, manifest: DataFrame)
     out = previews.join(known, "image_id", "left").join(reviews.select("image_id", "status", "reasons"), "image_id", "left")
     gone, moved = F.col("_split").isNull(), F.col("_split") != F.col("split")
     reasons = F.when(gone, F.array(F.lit("missing_manifest_record"))).when(moved, F.concat(F.coalesce("reasons", F.array().cast("array<string>")), F.array(F.lit("preview_and_manifest_split_differ")))).otherwise(F.col("reasons"))
-    return out.withColumn("reasons", reasons).withColumn("status", F.when(gone | moved, REJECT).otherwise(F.col("status"))).drop("_split")
+    return out.withColumn("reasons", reasons).withColumn("status", F.when(gone | moved, PREVIEW_WORDS[REJECT]).otherwise(F.col("status"))).drop("_split")
 
 
 def preserve_human_fields(reviews: DataFrame, previous: DataFrame, fields: tuple = ("review_status", "reviewer_notes")) -> DataFrame:
@@ -135,11 +152,17 @@ def preserve_human_fields(reviews: DataFrame, previous: DataFrame, fields: tuple
     return out.withColumns({f: F.when(F.col("_was"), F.col("_" + f)).otherwise(F.col(f) if f in reviews.columns else F.lit("")) for f in fields}).drop("_was", *["_" + f for f in fields])
 
 
+@F.pandas_udf("string")
+def _corner_text(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+    """Four numbers with six significant digits each, as %g writes them; Spark has no such format."""
+    return pd.Series(["%g,%g,%g,%g" % t for t in zip(x0, y0, x1, y1, strict=True)], dtype=object)
+
+
 def annotation_fingerprint(boxes: DataFrame) -> DataFrame:
-    """(image_id, fingerprint): SHA-256 of class:xmin,ymin,xmax,ymax of the boxes in document order, joined by |."""
-    number = lambda c: F.regexp_replace(F.format_string("%.6f", F.col(c)), r"\.?0+$", "")
-    text = F.concat(F.col("class_name"), F.lit(":"), F.concat_ws(",", *[number(c) for c in ("xmin", "ymin", "xmax", "ymax")]))
-    per = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("object_index", text.alias("t")))).alias("ts"))
+    """(image_id, fingerprint): SHA-256 of class:xmin,ymin,xmax,ymax of the boxes in document order, joined by |, numbers
+    as %g writes them."""
+    text = F.concat(F.col("class_name"), F.lit(":"), _corner_text("xmin", "ymin", "xmax", "ymax"))
+    per = boxes.select("image_id", "object_index", text.alias("t")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("object_index", "t"))).alias("ts"))
     return per.select("image_id", F.sha2(F.array_join(F.transform("ts", lambda x: x["t"]), "|"), 256).alias("fingerprint"))
 
 
@@ -150,37 +173,69 @@ def fingerprint_groups(members: DataFrame) -> DataFrame:
 
 
 def compare_duplicate_annotations(members: DataFrame) -> DataFrame:
-    """members(group, image_id, split, object_count, fingerprint, width, height) → per group: members, splits, counts
-    of all ids as a map, and whether annotations, sizes and splits agree.
+    """members(group, image_id, split, object_count, fingerprint, xml_width, xml_height, width, height) → per group: the
+    ids, splits, and maps from id to object count, XML size and image size; and whether annotations, XML sizes, image
+    sizes and splits agree.
 
-    A group's map is one value, some 50 bytes a member, so it holds groups of millions at most; where they may be
-    larger, the counts are the rows of members.
+    A group's maps are values of some 50 bytes a member, so they hold groups of millions at most; where groups may be
+    larger, the same facts are the rows of members.
     """
-    maps = members.groupBy("group").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("image_id", "object_count")))).alias("object_counts"))
-    flags = members.groupBy("group").agg(F.count("*").alias("members"), F.array_sort(F.collect_set("split")).alias("splits"), (F.count_distinct("fingerprint") == 1).alias("identical_annotations"), (F.count_distinct("width", "height") == 1).alias("consistent_dimensions"), (F.count_distinct("split") == 1).alias("one_split"))
-    return flags.join(maps, "group")
+    rows = F.array_sort(F.collect_list(F.struct("image_id", "object_count", F.array("xml_width", "xml_height").alias("xml"), F.array("width", "height").alias("image"))))
+    one = lambda c: F.min(c) == F.max(c)
+    per = members.groupBy("group").agg(rows.alias("_m"), F.array_sort(F.collect_set("split")).alias("splits"), one("fingerprint").alias("identical_annotations"), one(F.struct("xml_width", "xml_height")).alias("xml_dimensions_consistent"), one(F.struct("width", "height")).alias("image_dimensions_consistent"), one("split").alias("one_split"))
+    map_of = lambda field: F.map_from_entries(F.transform("_m", lambda x: F.struct(x["image_id"], x[field])))
+    return per.select("group", F.transform("_m", lambda x: x["image_id"]).alias("image_ids"), "splits", map_of("object_count").alias("object_counts"), map_of("xml").alias("xml_dimensions"), map_of("image").alias("image_dimensions"), "identical_annotations", "xml_dimensions_consistent", "image_dimensions_consistent", "one_split")
+
+
+#: What a reviewed duplicate says of itself.
+EXPLAIN_VALID = "Identical SHA-256 image files have different source XML annotation counts and coordinates; the converted YOLO boxes exactly preserve this image's own source XML annotations."
+EXPLAIN_FAILED = "Conversion or split integrity check failed; inspect this record."
 
 
 def group_baseline_compare(members: DataFrame) -> DataFrame:
     """members(group, image_id, split, fingerprint, label_errors, source_count, converted_count, unmatched_source,
     unmatched_converted, max_delta, min_iou) with same_as_first (the member of the least image_id), conversion_valid,
-    blocking."""
-    per = members.groupBy("group").agg(F.min_by("fingerprint", "image_id").alias("_first"), F.count_distinct("split").alias("_splits"))
+    blocking, explanation."""
+    per = members.groupBy("group").agg(F.min_by("fingerprint", "image_id").alias("_first"), (F.min("split") == F.max("split")).alias("_one"))
     valid = (F.col("label_errors") == 0) & (F.col("source_count") == F.col("converted_count")) & (F.col("unmatched_source") == 0) & (F.col("unmatched_converted") == 0) & F.coalesce(F.col("max_delta") <= MAX_DELTA, F.lit(True)) & F.coalesce(F.col("min_iou") >= MIN_IOU, F.lit(True))
-    out = members.join(per, "group").withColumn("conversion_valid", valid)
-    return out.select("group", "image_id", (F.col("fingerprint") == F.col("_first")).alias("same_as_first"), "conversion_valid", (~F.col("conversion_valid") | (F.col("_splits") != 1)).alias("blocking"))
+    out = members.join(per, "group").withColumn("conversion_valid", valid).withColumn("blocking", ~F.col("conversion_valid") | ~F.col("_one"))
+    return out.select("group", "image_id", "split", "source_count", "converted_count", (F.col("fingerprint") == F.col("_first")).alias("same_as_first"), "conversion_valid", "blocking", F.when(F.col("blocking"), EXPLAIN_FAILED).otherwise(EXPLAIN_VALID).alias("explanation"))
+
+
+def with_group_object_counts(compared: DataFrame) -> DataFrame:
+    """compared with group_object_counts, `id:count` of all members of its group in order. Each member carries its whole
+    group, as the report does that people read; for machines, object_counts of compare_duplicate_annotations has it once."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "source_count"))), lambda x: F.concat(x["image_id"], F.lit(":"), x["source_count"].cast("string"))), ";")
+    return compared.join(compared.groupBy("group").agg(text.alias("group_object_counts")), "group")
 
 
 def duplicate_review_summary(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count_distinct("group").alias("groups"), F.count("*").alias("images"), F.coalesce(F.bool_and("conversion_valid"), F.lit(True)).alias("all_valid"), F.coalesce(F.bool_and(~F.col("blocking")), F.lit(True)).alias("none_blocking"))
 
 
-def readiness_report(reviews: DataFrame, leaks: DataFrame, differing: DataFrame, path_findings: DataFrame) -> DataFrame:
-    """(metric, key, value): status counts, reasons, categories, mismatches, leaks, differing groups, path findings."""
-    row = lambda df, metric, key: df.select(F.lit(metric).alias("metric"), F.col(key).alias("key"), F.col("n").alias("value"))
-    one = lambda df, metric: df.agg(F.count("*").alias("value")).select(F.lit(metric).alias("metric"), F.lit("").alias("key"), "value")
-    parts = [row(status_counts(reviews), "status", "status"), row(reason_breakdown(reviews), "reason", "reason"), row(review_categories(reviews), "category", "category"), one(conversion_mismatches(reviews), "conversion_mismatches"), one(leaks, "split_leaks"), one(differing, "groups_with_differing_counts"), one(path_findings, "absolute_paths")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def readiness_report(reviews: DataFrame, counted: dict[str, DataFrame]) -> DataFrame:
+    """(metric, key, value): totals, status counts, per-split images and objects, reasons, categories, both reasons and
+    mismatches of reviews(status, reasons, split, source_count, converted_count), zeros kept; and the number of rows of
+    each counted table.
+
+    Each review is worked out once: it gives its (metric, key, amount) entries, which one aggregation sums.
+    """
+    spark = reviews.sparkSession
+    needs = F.col("status") == NEEDS_REVIEW
+    entry = lambda metric, key, n: F.struct(F.lit(metric).alias("metric"), key.alias("key"), n.cast("long").alias("value"))
+    none, one = F.lit(""), F.lit(1)
+    own = F.col("split").isin(*SPLITS)
+    entries = F.array_compact(F.array(
+        entry("images_checked", none, one), entry("source_objects_checked", none, F.col("source_count")), entry("objects_checked", none, F.col("converted_count")), entry("status", F.col("status"), one),
+        F.when(own, entry("split_images", F.col("split"), one)), F.when(own, entry("split_objects", F.col("split"), F.col("converted_count"))), F.when(own, entry("split_source_objects", F.col("split"), F.col("source_count"))),
+        F.when(needs, entry("category", _category(), one)), F.when(needs & _both_reasons(), entry("both_reasons", none, one)), F.when(_mismatch(), entry("conversion_mismatches", none, one)),
+    ))
+    reasons = F.when(needs, F.transform("reasons", lambda r: entry("reason", r, one))).otherwise(F.array().cast("array<struct<metric: string, key: string, value: bigint>>"))
+    summed = reviews.select(F.explode(F.concat(entries, reasons)).alias("e")).groupBy("e.metric", "e.key").agg(F.sum("e.value").alias("value"))
+    always = [("images_checked", ""), ("source_objects_checked", ""), ("objects_checked", ""), ("both_reasons", ""), ("conversion_mismatches", "")]
+    always += [("status", s) for s in (PASS, NEEDS_REVIEW, REJECT)] + [(m, s) for m in ("split_images", "split_objects", "split_source_objects") for s in SPLITS]
+    zeros = spark.createDataFrame([(*m, 0) for m in always], "metric string, key string, value long")
+    out = summed.unionByName(zeros).groupBy("metric", "key").agg(F.sum("value").alias("value"))
+    for name, df in counted.items():
+        out = out.unionByName(df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), F.lit("").alias("key"), "value"))
     return out

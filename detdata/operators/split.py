@@ -10,7 +10,7 @@ from ..functions.scalars import seeded_order
 from ..schemas import SPLITS
 from ..storage import written
 
-#: Groups whose choices travel in one row.
+#: Groups of a profile that are dealt out together, and whose choices travel in one row.
 CHUNK = 65_536
 #: Weights of images, objects and small boxes in a split's utilisation.
 WEIGHTS = (4.0, 1.0, 1.0)
@@ -39,58 +39,123 @@ def require_items(items: DataFrame) -> None:
         raise ValueError("an image id occurs twice")
 
 
-def _fold(targets: dict[str, tuple[float, float, float]]):
-    """Walks the profiles in order and puts each whole group where the targets are used least; ties by name."""
+class _Filling:
+    """How far each split is used while a run of equal groups (a profile) is dealt out.
+
+    The rule puts each group where `used` is least, ties by name. `used` of a split depends only on how many of the
+    run it holds, so the picks are the merge of one rising sequence per split, and the state after any number of
+    picks is found by bisection, without walking there."""
+
+    def __init__(self, target: dict, held: dict, step: tuple[int, int, int]):
+        self.target, self.held, self.step = target, held, step
+
+    def used(self, s: str, n: int) -> float:
+        """Utilisation of split s with n groups of the run."""
+        return sum(w * (h + n * d) / t for w, h, d, t in zip(WEIGHTS, self.held[s], self.step, self.target[s], strict=True))
+
+    def _before(self, t: str, s: str, value: float, most: int) -> int:
+        """Picks of t that come before a pick of s at this value, `most` at most."""
+        lo, hi = 0, most
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if (self.used(t, mid), t) < (value, s):
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+    def after(self, n: int) -> dict[str, int]:
+        """Groups of each split after n picks."""
+        out = {}
+        for s in SPLITS:
+            lo, hi = 0, n
+            while lo < hi:  # the first pick of s that is not among the first n
+                mid = (lo + hi) // 2
+                value = self.used(s, mid)
+                if mid + sum(self._before(t, s, value, n) for t in SPLITS if t != s) < n:
+                    lo = mid + 1
+                else:
+                    hi = mid
+            out[s] = lo
+        return out
+
+
+def _at_least_one(targets: dict[str, tuple[float, float, float]]) -> dict:
+    return {s: tuple(max(t, 1.0) for t in targets[s]) for s in SPLITS}
+
+
+#: Of a chunk of a profile: its number, its groups, and what each split holds before it (images, objects, small boxes).
+_CHUNKS = "objects long, images long, small long, chunk long, size long, held array<long>"
+
+
+def _chunk_states(targets: dict[str, tuple[float, float, float]], size: int):
+    """Walks the profiles in order and tells the state before each chunk of `size` of their groups."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rate = {s: tuple(w / max(t, 1.0) for w, t in zip(WEIGHTS, targets[s], strict=True)) for s in SPLITS}
-        used = dict.fromkeys(SPLITS, 0.0)
-        held = {s: [0, 0, 0] for s in SPLITS}
+        target, held = _at_least_one(targets), {s: (0, 0, 0) for s in SPLITS}
         for pdf in batches:
             for objects, images, small, n in pdf[["objects", "images", "small", "n"]].itertuples(index=False):
-                choices, chunk = [], 0
-                for _ in range(n):
-                    i = min(range(len(SPLITS)), key=lambda k: (used[SPLITS[k]], SPLITS[k]))
+                step, rows = (int(images), int(objects), int(small)), []
+                filling = _Filling(target, held, step)
+                moved = lambda k: {s: tuple(h + c * d for h, d in zip(held[s], step, strict=True)) for s, c in filling.after(k).items()}  # noqa: B023, E731
+                for chunk in range(-(-n // size)):
+                    now = moved(chunk * size) if chunk else held
+                    rows.append((objects, images, small, chunk, min(size, n - chunk * size), [x for s in SPLITS for x in now[s]]))
+                held = moved(int(n))
+                yield pd.DataFrame(rows, columns=["objects", "images", "small", "chunk", "size", "held"])
+
+    return run
+
+
+def _chunk_choices(targets: dict[str, tuple[float, float, float]]):
+    """The choices of each chunk, from its own state."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target = _at_least_one(targets)
+        for pdf in batches:
+            for objects, images, small, chunk, size, flat in pdf.itertuples(index=False):
+                held = {s: tuple(int(x) for x in flat[3 * i : 3 * i + 3]) for i, s in enumerate(SPLITS)}
+                filling, count, choices = _Filling(target, held, (int(images), int(objects), int(small))), dict.fromkeys(SPLITS, 0), []
+                used = {s: filling.used(s, 0) for s in SPLITS}
+                for _ in range(size):
+                    i = min(range(len(SPLITS)), key=lambda k: (used[SPLITS[k]], SPLITS[k]))  # noqa: B023
                     s = SPLITS[i]
-                    held[s][0] += images
-                    held[s][1] += objects
-                    held[s][2] += small
-                    used[s] = sum(h * r for h, r in zip(held[s], rate[s], strict=True))
+                    count[s] += 1
+                    used[s] = filling.used(s, count[s])
                     choices.append(i)
-                    if len(choices) == CHUNK:
-                        yield pd.DataFrame({"objects": [objects], "images": [images], "small": [small], "chunk": [chunk], "choices": [choices]})
-                        choices, chunk = [], chunk + 1
-                if choices:
-                    yield pd.DataFrame({"objects": [objects], "images": [images], "small": [small], "chunk": [chunk], "choices": [choices]})
+                yield pd.DataFrame({"objects": [objects], "images": [images], "small": [small], "chunk": [chunk], "choices": [choices]})
 
     return run
 
 
-def assign_splits(items: DataFrame, ratios: dict[str, float]) -> DataFrame:
+def assign_splits(items: DataFrame, ratios: dict[str, float], chunk: int = CHUNK) -> DataFrame:
     """(image_id, split) by the exact greedy rule: groups by descending objects, images and small boxes, then key; each
     goes to the split whose targets are used least. A seed has no effect, since the order is total.
 
-    A group's effect depends only on its profile (objects, images, small), so only the table of profiles and their
-    counts passes one task; the groups are ranked inside their profile in parallel, by range partitions and offsets,
-    and pick up their choice by an equi-join on (profile, chunk).
+    A group's effect depends only on its profile (objects, images, small). One task walks the table of profiles with
+    their counts and finds, by bisection, what each split holds before every `chunk` groups; the chunks are dealt out in
+    parallel from there. The groups are ranked inside their profile in parallel, by range partitions and offsets, and
+    pick up their choice by an equi-join on (profile, chunk). No images, or an image id twice, is an error.
     """
     validate_ratios(ratios)
+    require_items(items)
     groups = form_split_groups(items)
     profile = ["objects", "images", "small"]
     t = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("images", "objects", "small")]).first()
     targets = {s: tuple(float(t[c]) * r for c in ("images", "objects", "small")) for s, r in ratios.items()}
     order = [F.col(c).desc() for c in profile]
     counts = groups.groupBy(*profile).agg(F.count("*").alias("n")).repartition(1).sortWithinPartitions(*order)
-    chosen = counts.mapInPandas(_fold(targets), "objects long, images long, small long, chunk long, choices array<int>")
+    chunks = written(counts.mapInPandas(_chunk_states(targets, chunk), _CHUNKS), "split_chunks")
+    chosen = chunks.repartition(*profile, "chunk").mapInPandas(_chunk_choices(targets), "objects long, images long, small long, chunk long, choices array<int>")
 
     parts = written(groups.repartitionByRange(*profile, "key").withColumn("_part", F.spark_partition_id()), "split_groups")
     offsets = parts.groupBy("_part", *profile).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*profile).orderBy("_part")) - F.col("_n")
     inside = F.row_number().over(Window.partitionBy("_part", *profile).orderBy("key")) - 1
     ranked = parts.withColumn("_inside", inside).join(offsets.withColumn("_before", before).drop("_n"), ["_part", *profile])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside")).withColumn("chunk", F.floor(F.col("_rank") / CHUNK))
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside")).withColumn("chunk", F.floor(F.col("_rank") / chunk))
     names = F.array(*[F.lit(s) for s in SPLITS])
-    split = F.get(names, F.get("choices", (F.col("_rank") % CHUNK).cast("int")))
+    split = F.get(names, F.get("choices", (F.col("_rank") % chunk).cast("int")))
     assigned = ranked.join(chosen, [*profile, "chunk"]).select("key", split.alias("split"))
     return with_group_key(items).join(assigned, "key").select("image_id", "split")
 

@@ -13,3 +13,11 @@ SOURCE_CLASS, SMALL_SIDE = "fore", 10.0
 #: Status words of the full review and of the preview review.
 PASS, NEEDS_REVIEW, REJECT = "PASS", "NEEDS_REVIEW", "REJECT"
 PREVIEW_WORDS = {PASS: "Pass", NEEDS_REVIEW: "Needs review", REJECT: "Reject"}
+#: Columns of a review report, and what of the reviews they hold.
+REVIEW_COLUMNS = {
+    "image_id": "image_id", "split": "split", "source_image_path": "source_image_path", "source_xml_path": "source_xml_path", "yolo_label_path": "label_path",
+    "source_object_count": "source_count", "converted_object_count": "converted_count", "max_coordinate_delta_px": "max_delta",
+    "minimum_matched_iou": "min_iou", "mean_matched_iou": "mean_iou", "unmatched_source_boxes": "unmatched_source",
+    "unmatched_converted_boxes": "unmatched_converted", "very_small_box_count": "small", "duplicate_group_id": "group",
+    "duplicate_crosses_split": "duplicate_crosses_split", "automated_status": "status", "automated_reasons": "reasons",
+}

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import parse_number, parse_strict_int, path_stem, path_suffix
+from ..functions.scalars import parse_number, parse_strict_int, path_name, path_stem, path_suffix
 from ..schemas import ANNOTATION_XML, AUDIT_SUFFIXES
 
 
@@ -82,13 +82,23 @@ def read_split_lists(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("t != ''").select("list_name", path_stem(F.col("t")).alias("image_id"))
 
 
-def read_audit_duplicates(spark: SparkSession, path: str) -> DataFrame:
-    """(path, duplicate_group_id) from an audit's JSON report; a finding without a 64-digit group is an error."""
-    report = spark.read.json(path, multiLine=True)
-    rows = report.select(F.explode("duplicate_images").alias("f")).select("f.path", F.regexp_extract("f.detail", r"\b([0-9a-f]{64})\b", 1).alias("duplicate_group_id"))
-    bad = rows.where("duplicate_group_id = ''").count()
-    if bad:
-        raise ValueError(f"{bad} duplicate findings name no group")
+#: The part of an audit report that names duplicates, and how their findings name the group.
+AUDIT_REPORT = "findings STRUCT<duplicate_images: ARRAY<STRUCT<path: STRING, detail: STRING>>>"
+DUPLICATE_DETAIL = r"^Duplicate SHA-256 group: ([0-9a-f]{64})\.$"
+
+
+def read_audit_duplicates(spark: SparkSession, path: str, images: DataFrame) -> DataFrame:
+    """(image_id, path, duplicate_group_id) from an audit's JSON report, with images(image_id, path) joined by file name.
+    A finding of another form, or of an image that is not there, is an error."""
+    report = spark.read.schema(AUDIT_REPORT).json(path, multiLine=True)
+    rows = report.select(F.explode("findings.duplicate_images").alias("f")).select("f.path", F.regexp_extract("f.detail", DUPLICATE_DETAIL, 1).alias("duplicate_group_id"))
+    names = images.groupBy(path_name(F.col("path")).alias("_name")).agg(F.max("image_id").alias("image_id"))
+    rows = rows.join(names, path_name(F.col("path")) == F.col("_name"), "left").select("image_id", "path", "duplicate_group_id")
+    bad = rows.agg(F.count_if(F.coalesce("duplicate_group_id", F.lit("")) == "").alias("form"), F.count_if(F.col("image_id").isNull()).alias("lost")).first()
+    if bad["form"]:
+        raise ValueError(f"{bad['form']} duplicate findings have an unexpected form")
+    if bad["lost"]:
+        raise ValueError(f"{bad['lost']} duplicate findings name an image that is not there")
     return rows
 
 

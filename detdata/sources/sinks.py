@@ -4,15 +4,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import reasons_text, six_decimals
-from ..schemas import FINDING_CATEGORIES, MANIFEST_COLUMNS, NEEDS_REVIEW, REJECT
+from ..schemas import FINDING_CATEGORIES, MANIFEST_COLUMNS, NEEDS_REVIEW, REJECT, REVIEW_COLUMNS
+from ..storage import written
 
 SAFE, REPLACE = "errorifexists", "overwrite"
 
 
 def write_findings(findings: DataFrame, path: str, mode: str = SAFE) -> None:
-    """A CSV folder per category with columns path, detail; written also for categories without a finding."""
+    """A CSV folder per category with columns path, detail; written also for categories without a finding. The findings
+    are worked out once and dealt into a table by category, from which each folder is written."""
+    dealt = written(findings.select("category", "path", "detail"), "findings", by="category")
     for category in FINDING_CATEGORIES:
-        findings.where(F.col("category") == category).select("path", "detail").orderBy("path", "detail").write.mode(mode).csv(f"{path}/{category}", header=True)
+        dealt.where(F.col("category") == category).select("path", "detail").orderBy("path", "detail").write.mode(mode).csv(f"{path}/{category}", header=True)
 
 
 def label_texts(labels: DataFrame, images: DataFrame) -> DataFrame:
@@ -32,15 +35,18 @@ def write_manifest(manifest: DataFrame, path: str, mode: str = SAFE) -> None:
 
 
 def review_texts(reviews: DataFrame) -> DataFrame:
-    """Reviews with report text for numbers, booleans and reasons."""
-    texts = {c: six_decimals(F.col(c)) for c in ("max_delta", "min_iou", "mean_iou")}
-    return reviews.withColumns({**texts, "duplicate_crosses_split": F.col("duplicate_crosses_split").cast("string"), "reasons": reasons_text(F.col("reasons"))})
+    """The columns of a review report, in their order, with report text for numbers, booleans and reasons. Paths and group
+    are empty where the reviews have none."""
+    text = {c: six_decimals(F.col(c)) for c in ("max_delta", "min_iou", "mean_iou")} | {"reasons": reasons_text(F.col("reasons"))}
+    of = lambda c: text[c] if c in text else F.coalesce(F.col(c).cast("string"), F.lit("")) if c in reviews.columns else F.lit("")
+    return reviews.select(*[of(c).alias(name) for name, c in REVIEW_COLUMNS.items()])
 
 
 def write_reviews(reviews: DataFrame, path: str, mode: str = SAFE) -> None:
     """All reviews, those that need review, and the rejected ones."""
-    rows = review_texts(reviews)
-    for name, part in (("all", rows), ("needs_review", rows.where(F.col("status") == NEEDS_REVIEW)), ("rejected", rows.where(F.col("status") == REJECT))):
+    rows = written(review_texts(reviews), "reviews")
+    status = F.col("automated_status")
+    for name, part in (("all", rows), ("needs_review", rows.where(status == NEEDS_REVIEW)), ("rejected", rows.where(status == REJECT))):
         part.orderBy("image_id").write.mode(mode).csv(f"{path}/{name}", header=True)
 
 

@@ -3,17 +3,23 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir, read back. Its lineage ends there, so what is
-    not repeatable (partition numbers, say) is fixed, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder of spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:  # a local session that set none
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the folder of spark.checkpoint.dir, read back, in folders by a column if one is given. Its lineage ends there, so what is
+    not repeatable (partition numbers, say) is fixed, and a lost executor costs no recomputation."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 """Unit cases of the reference's behaviour and hand-made edges."""
 
+import random
 import struct
 import zlib
 
@@ -91,8 +92,6 @@ def test_split_trace(spark):
 
 
 def test_split_exact_against_plain_fold(spark):
-    import random
-
     rnd = random.Random(5)
     rows = [(f"i{k}", rnd.randrange(6), rnd.randrange(3), f"g{rnd.randrange(60)}" if k % 3 == 0 else "") for k in range(400)]
     ratios, names = {"train": 0.7, "val": 0.15, "test": 0.15}, ("test", "train", "val")
@@ -109,8 +108,24 @@ def test_split_exact_against_plain_fold(spark):
         held[best] = [h + x for h, x in zip(held[best], v, strict=True)]
         want[key] = best
     items = spark.createDataFrame(rows, "image_id string, object_count long, small_box_count long, duplicate_group_id string")
-    got = {r["image_id"]: r["split"] for r in G.assign_splits(items, ratios).collect()}
-    assert got == {i: want[g or f"single:{i}"] for i, _, _, g in rows}
+    for chunk in (G.CHUNK, 7):  # all groups of a profile at once, or in several chunks
+        got = {r["image_id"]: r["split"] for r in G.assign_splits(items, ratios, chunk).collect()}
+        assert got == {i: want[g or f"single:{i}"] for i, _, _, g in rows}
+    with pytest.raises(ValueError):
+        G.assign_splits(items.unionByName(items), ratios)
+
+
+def test_filling_against_picks_one_by_one():
+    rnd = random.Random(6)
+    for _ in range(30):
+        held = {s: tuple(rnd.randrange(2000) for _ in range(3)) for s in G.SPLITS}
+        target, step = G._at_least_one({s: tuple(rnd.choice((0.0, 700.0, 1e4, 1e9)) for _ in range(3)) for s in G.SPLITS}), (rnd.randrange(1, 4), rnd.randrange(9), rnd.randrange(2))
+        f, count = G._Filling(target, held, step), dict.fromkeys(G.SPLITS, 0)
+        for n in range(150):
+            assert f.after(n) == count
+            count[min(G.SPLITS, key=lambda s: (f.used(s, count[s]), s))] += 1  # noqa: B023
+    big = G._Filling(G._at_least_one(dict.fromkeys(G.SPLITS, (1e9, 1e9, 1e9))), dict.fromkeys(G.SPLITS, (0, 0, 0)), (1, 3, 1))
+    assert sum(big.after(10**9).values()) == 10**9  # without walking there
 
 
 def test_pass_sample(spark):
@@ -123,10 +138,11 @@ def test_pass_sample(spark):
 
 
 def test_duplicate_listing_is_whole(spark):
-    rows = [("g", f"i{k:05d}", "train", k, "f", 640, 480) for k in range(2500)] + [("h", "a", "val", 1, "f", 640, 480)]
-    members = spark.createDataFrame(rows, "group string, image_id string, split string, object_count long, fingerprint string, width int, height int")
+    rows = [("g", f"i{k:05d}", "train", k, "f", 640, 480, 640, 480 + k % 2) for k in range(2500)] + [("h", "a", "val", 1, "f", 640, 480, 640, 480)]
+    members = spark.createDataFrame(rows, "group string, image_id string, split string, object_count long, fingerprint string, width int, height int, xml_width int, xml_height int")
     got = {r["group"]: r for r in R.compare_duplicate_annotations(members).collect()}
-    assert got["g"]["object_counts"] == {r[1]: r[3] for r in rows if r[0] == "g"} and got["g"]["members"] == 2500
+    assert got["g"]["object_counts"] == {r[1]: r[3] for r in rows if r[0] == "g"} and got["g"]["image_ids"] == [r[1] for r in rows[:-1]]
+    assert got["g"]["xml_dimensions"]["i00003"] == [640, 481] and got["g"]["image_dimensions_consistent"] and not got["g"]["xml_dimensions_consistent"] and got["h"]["xml_dimensions_consistent"]
     assert got["h"]["object_counts"] == {"a": 1}
 
 
@@ -203,8 +219,14 @@ def test_files(spark, tmp_path):
     (tmp_path / "lists").mkdir()
     (tmp_path / "lists/NNEW_test_0.txt").write_text("a.jpg 1 2\n\nb.jpg 0\n")
     assert sorted(r["image_id"] for r in IO.read_split_lists(spark, str(tmp_path / "lists")).collect()) == ["a", "b"]
-    (tmp_path / "audit.json").write_text('{"duplicate_images": [{"path": "a", "detail": "SHA-256 group ' + "ab" * 32 + '"}]}')
-    assert IO.read_audit_duplicates(spark, str(tmp_path / "audit.json")).first()["duplicate_group_id"] == "ab" * 32
+    found = spark.createDataFrame([("a", "img/a.png")], "image_id string, path string")
+    (tmp_path / "audit.json").write_text('{"summary": {}, "findings": {"duplicate_images": [{"path": "x/a.png", "detail": "Duplicate SHA-256 group: ' + "ab" * 32 + '."}]}}')
+    r = IO.read_audit_duplicates(spark, str(tmp_path / "audit.json"), found).first()
+    assert (r["image_id"], r["duplicate_group_id"]) == ("a", "ab" * 32)
+    for wrong, what in (("x/b.png", "Duplicate SHA-256 group: " + "ab" * 32 + "."), ("x/a.png", "group " + "ab" * 32)):
+        (tmp_path / "audit.json").write_text('{"findings": {"duplicate_images": [{"path": "' + wrong + '", "detail": "' + what + '"}]}}')
+        with pytest.raises(ValueError):
+            IO.read_audit_duplicates(spark, str(tmp_path / "audit.json"), found)
     (tmp_path / "e.csv").write_text("epoch, metrics/mAP50(B)\n1,0.5\n2,x\n")
     e = IO.read_epoch_results(spark, str(tmp_path / "e.csv"), {"map50": ("mAP50", "metrics/mAP50(B)")}).collect()
     assert [r["map50"] for r in e] == [0.5, None]
