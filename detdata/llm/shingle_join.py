@@ -14,16 +14,19 @@ shingles, HOT at most, stay out of the segments and stand last in the order: lea
 all sets only lowers their differences, so which ones are left out is free, and the list's size is fixed.
 
 Filter. Each class has a bitmap of BITS parities of its shingles. Two bitmaps differ in no more bits than the
-sets differ in shingles, so pairs whose bitmaps are too far apart are left out inside the join; and a pair is
-compared at the first key that it shares only.
+sets differ in shingles, so pairs whose bitmaps are too far apart are left out inside the join.
 
 Verification. The sets of candidate pairs are cut into FRAGMENTS segments; each fragment's partial overlap
-is counted by itself and the counts are summed per pair, which gives the exact intersection.
+is counted by itself and the counts are summed per pair, which gives the exact intersection. Only the texts of
+candidate pairs are read again, and of a pair only one set travels to the other.
 
 Large groups. Sets that are equal form one class (copies are never expanded). Of those that share a segment,
 each is first compared with one only, that which meets most others (of near copies, the one they come from);
 then components are formed, and only pairs from different components that share a segment are compared as
-well. All pairs of a group of near copies never arise.
+well: of a key, the sets outside its largest component with all others. All pairs of a group of near copies never
+arise. Two sets that share many keys meet at few of them: each knows the SKETCH least of its keys, and a key at
+which both could have met at a lesser one, that both know, is passed over. That bounds what a row carries,
+whatever the length of its text.
 """
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import scratch, written
+from .common import scratch, within, written
 from .components import components
 
 FRAGMENTS = 16
@@ -40,8 +43,10 @@ FRAGMENTS = 16
 WORDS64 = 8
 #: Common shingles that are left out of the segments, and those that a batch of rows may name.
 HOT, HOT_BATCH = 100_000, 4_096
-#: Keys in one Arrow batch that leaves a task.
-OUT = 400_000
+#: Least keys of a set that its rows carry.
+SKETCH = 8
+#: Keys in one Arrow batch that leaves a task, and signatures that a task remembers to skip copies.
+OUT, SEEN = 400_000, 200_000
 
 
 class Plan:
@@ -125,7 +130,7 @@ def shingle_sets(docs: DataFrame, text: str, k: int, carry: list[Column]) -> Dat
 
 
 def segment_keys(docs: DataFrame, text: str, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """(key, sig, n): one row for each key of each set; sets met before in the same task are left out."""
+    """(key, sig): one row for each key of each set; sets met before in the same task are left out."""
 
     def run(batches):
         plan, seen, out, size = Plan(num, den), set(), [], 0
@@ -137,11 +142,11 @@ def segment_keys(docs: DataFrame, text: str, k: int, num: int, den: int, hot: np
                 sig, _ = _signature(s)
                 if sig in seen:
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < SEEN:
                     seen.add(sig)
                 keys = plan.keys(s, hot)
                 if len(keys):
-                    out.append((keys, sig, len(s)))
+                    out.append((keys, sig))
                     size += len(keys)
                 if size >= OUT:
                     yield _rows(out)
@@ -149,50 +154,56 @@ def segment_keys(docs: DataFrame, text: str, k: int, num: int, den: int, hot: np
         if out:
             yield _rows(out)
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "key long, sig long, n int")
+    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "key long, sig long")
 
 
 def _rows(out) -> pa.RecordBatch:
-    lens = [len(x) for x, _, _ in out]
+    lens = [len(x) for x, _ in out]
     return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([x for x, _, _ in out]).view(np.int64)),
-        pa.array(np.repeat(np.array([s for _, s, _ in out], np.int64), lens)),
-        pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), lens)),
-    ], names=["key", "sig", "n"])
+        pa.array(np.concatenate([x for x, _ in out]).view(np.int64)),
+        pa.array(np.repeat(np.array([s for _, s in out], np.int64), lens)),
+    ], names=["key", "sig"])
 
 
-def _segments(docs: DataFrame, k: int) -> DataFrame:
-    """docs(sig, _text) → (sig, fragment, segment)."""
+def _segments(rows: DataFrame, k: int, names: list[str]) -> DataFrame:
+    """rows(names..., _text) → (names..., fragment, segment); what a task has sent before is left out."""
 
     def run(batches):
+        cuts = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS)
+        seen = set()
         for b in batches:
-            sig, frag, seg = [], [], []
-            ids = b.column(0).to_pylist()
-            for i, h in H.texts(b.column(1)):
+            ids = list(zip(*[c.to_pylist() for c in b.columns[:-1]], strict=True))
+            at, frag, seg = [], [], []
+            for i, h in H.texts(b.column(b.num_columns - 1)):
+                if ids[i] in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(ids[i])
                 s = H.distinct(H.shingles(h, k))
-                cut = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS))
-                for f, part in enumerate(np.split(s.view(np.int64), cut)):
+                for f, part in enumerate(np.split(s.view(np.int64), np.searchsorted(s, cuts))):
                     if len(part):
-                        sig.append(ids[i]), frag.append(f), seg.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], names=["sig", "fragment", "segment"])
+                        at.append(i), frag.append(f), seg.append(part)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:-1]], pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], names=[*names, "fragment", "segment"])
 
-    return docs.mapInArrow(run, "sig long, fragment int, segment array<long>")
+    return rows.select(*names, "_text").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", fragment int, segment array<long>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs(a, b, na, nb) those with den*|intersection| >= num*|union|."""
-    with scratch(docs.sparkSession):
-        used = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-        ids = classes.join(used, "sig").select(F.col("first_id").alias("_id"), "sig", F.col("first_h").alias("_h"))
-        body = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_h"))
-        both = body.join(ids, body["_id"].eqNullSafe(ids["_id"]) & (body["_h"] == ids["_h"])).select("sig", "_text")
-        segs = written(_segments(both, k).dropDuplicates(["sig", "fragment"]), "segments")
-        left = segs.select(F.col("sig").alias("a"), "fragment", F.col("segment").alias("sa"))
-        right = segs.select(F.col("sig").alias("b"), "fragment", F.col("segment").alias("sb"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("x"))
-        total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("x").alias("both"))
-        links = total.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-        return written(links, "links", up=1)
+    """Of pairs(a, b, na, nb), each once, those with den*|intersection| >= num*|union|. The set of b travels to a,
+    fragment by fragment."""
+    body = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    place = classes.select("sig", F.col("first_id").alias("_at"), F.col("first_h").alias("_hash"))
+    at = {"_at": F.col("_id"), "_hash": F.xxhash64("_text")}
+    movers = written(pairs.select("a", "b").join(place, F.col("b") == F.col("sig")).drop("sig"), "movers")
+    hosts = written(pairs.select("a").distinct().join(place, F.col("a") == F.col("sig")).drop("sig"), "hosts")
+    sent = _segments(within(body, at, movers), k, ["a", "b"]).withColumnRenamed("segment", "sb")
+    held = _segments(within(body, at, hosts), k, ["a"]).withColumnRenamed("segment", "sa")
+    partial = sent.join(held, ["a", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("sa", "sb")).cast("long").alias("x"))
+    # rows that repeat both id and text give a fragment more than once
+    total = partial.groupBy("a", "b", "fragment").agg(F.max("x").alias("x")).groupBy("a", "b").agg(F.sum("x").alias("both"))
+    links = total.join(pairs, ["a", "b"]).where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return written(links, "links")
 
 
 _BITS = [f"b{i}" for i in range(WORDS64)]
@@ -207,12 +218,13 @@ def _near(x: str, y: str, num: int, den: int) -> Column:
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Links documents whose sets of k-word shingles (A-Z lower-cased) have Jaccard >= num/den and returns
-    (row's doc_id, n_shingles, component_id, n_links) for each row of docs.
+    (row's doc_id, n_shingles, component_id, text_hash, is_first) for each row of docs.
 
-    component_id is the least doc_id reached; n_links counts the linked sets that differ from the row's own
-    and were compared (see the module). A row without words (null, empty or blank text) has 0 shingles, no
-    links and itself as component. Equal rows or copies share a class; a null id never names a component
-    unless all its members' ids are null. Other columns are ignored; an empty table gives an empty one.
+    component_id is the least doc_id reached. text_hash is xxhash64 of the text; is_first holds for the component's
+    first row by (doc_id, text_hash), null ids last, and for rows equal to it. A row without words (null, empty or
+    blank text) has 0 shingles, no links, itself as component and is first. Equal rows or copies share a class; a null
+    id never names a component unless all its members' ids are null. Other columns are ignored; an empty table gives
+    an empty one.
     """
     with scratch(docs.sparkSession):
         return written(_joined(docs, doc_id, text, k, num, den), "components", up=1)
@@ -226,35 +238,46 @@ def _joined(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int)
     hot = np.sort(np.array([r["t"] for r in common.collect()], np.int64).view(np.uint64))
     keys = segment_keys(docs, text, k, num, den, hot)
     w = Window.partitionBy("key")
-    met = keys.select("key", "sig", F.col("n").cast("long").alias("n"), F.min("sig").over(w).alias("low"), F.max("sig").over(w).alias("high"), F.count("*").over(w).alias("size")).where("low != high").groupBy("key", "sig").agg(F.max("n").alias("n"), F.max("size").alias("size"))
+    met = keys.select("key", "sig", F.min("sig").over(w).alias("low"), F.max("sig").over(w).alias("high"), F.count("*").over(w).alias("size")).where("low != high").groupBy("key", "sig").agg(F.max("size").alias("size"))
     met = written(met, "met")
 
     sized = classes.select("sig", F.col("n").cast("long").alias("n"), *_BITS)
     central = met.groupBy("sig").agg(F.sum("size").alias("meets"))
     centre = met.select("key", "sig").join(central, "sig").groupBy("key").agg(F.max(F.struct("meets", "sig")).alias("m")).select("key", F.col("m.sig").alias("a"))
-    first = met.join(centre, "key").where("sig != a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
+    first = met.join(centre, "key").where("sig != a").select("a", F.col("sig").alias("b")).distinct()
     first = first.join(sized.alias("x"), F.col("a") == F.col("x.sig")).join(sized.alias("y"), F.col("b") == F.col("y.sig")).where(_near("x", "y", num, den)).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     first = written(first, "pairs")
     edges = _verified(first, classes, docs, doc_id, text, k, num, den)
     labels = written(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
 
     # pairs of different components that share a key
-    labelled = met.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key")
-    mixed = labelled.select("key", "sig", "c").join(mixed, "key")
-    # a set's keys in order, those before each key with it: a pair counts where none of these is shared
-    order = F.collect_list("key").over(Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    mixed = written(mixed.withColumn("before", order).join(sized, "sig"), "mixed")
-    pair = (F.col("x.key") == F.col("y.key")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", num, den) & ~F.arrays_overlap("x.before", "y.before")
-    rest = mixed.alias("x").join(mixed.alias("y"), pair).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    rest = written(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    labelled = met.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("c"))
+    per = labelled.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count("*").alias("cs")).where("cs > 1")
+    mixed = written(labelled.join(per.select("key", "major"), "key"), "mixed")
+    least = mixed.select("sig", "key").withColumn("i", F.row_number().over(Window.partitionBy("sig").orderBy("key"))).where(F.col("i") <= SKETCH)
+    known = least.groupBy("sig").agg(F.array_sort(F.collect_list("key")).alias("known")).join(sized, "sig")
+    mixed = mixed.join(known, "sig")
+    x, y = mixed.where("c != major").alias("x"), mixed.alias("y")
+    once = (F.col("y.c") == F.col("y.major")) | (F.col("x.sig") < F.col("y.sig"))
+    before = F.get(F.array_intersect("x.known", "y.known"), F.lit(0)) < F.col("x.key")
+    pair = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & once & _near("x", "y", num, den) & ~F.coalesce(before, F.lit(False))
+    of_less = lambda a, b: F.when(F.col("x.sig") < F.col("y.sig"), F.col(a)).otherwise(F.col(b))
+    rest = x.join(y, pair).select(of_less("x.sig", "y.sig").alias("a"), of_less("y.sig", "x.sig").alias("b"), of_less("x.n", "y.n").alias("na"), of_less("y.n", "x.n").alias("nb")).distinct()
+    rest = written(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        edges = written(edges.unionByName(_verified(rest, classes, docs, doc_id, text, k, num, den)), "links")
-        labels = written(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-
-    degree = edges.select(F.col("a").alias("sig")).unionByName(edges.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count("*").alias("n_links"))
-    named = classes.join(labels.withColumnRenamed("node", "sig"), "sig").join(degree, "sig", "left")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select("sig", "component_id", "n_links")
-    known = classes.select("sig", "first_id").join(named, "sig", "left").select("sig", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return sets.join(known, "sig", "left").select(F.col("_id").alias(doc_id), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        more = _verified(rest, classes, docs, doc_id, text, k, num, den)
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias("_" + c))
+        more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("u"), F.coalesce("_b", "b").alias("v"))
+        joined = written(components(more).select("node", F.col("component").alias("_to")), "labels")
+        # components that were joined, and sets that were alone until now
+        old = labels.join(joined, F.col("component") == joined["node"], "left").select(labels["node"], F.coalesce("_to", "component").alias("component"))
+        new = joined.join(labels.select("node"), "node", "left_anti").select("node", F.col("_to").alias("component"))
+        labels = written(old.unionByName(new), "labels")
+
+    named = classes.select("sig", F.struct(F.col("first_id").isNull().alias("z"), "first_id", "first_h").alias("f")).join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    least = named.groupBy("component").agg(F.min("f").alias("f"))
+    known = named.select("sig", "component").join(least, "component").select("sig", F.col("f.first_id").alias("component_id"), F.col("f.first_h").alias("first_h"))
+    out = sets.join(known, "sig", "left")
+    alone = F.col("n_shingles") == 0
+    is_first = alone | (F.col("_id").eqNullSafe(F.col("component_id")) & F.col("_h").eqNullSafe(F.col("first_h")))
+    return out.select(F.col("_id").alias(doc_id), "n_shingles", F.when(alone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("_h").alias("text_hash"), is_first.alias("is_first"))
