@@ -93,4 +93,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_trust": sql.OP2,
     "op3_ngram_jaccard_join": sql.OP3,
     "op4_line_dedup": sql.OP4,
+    "op6_quality_rules": sql.OP6,
 }

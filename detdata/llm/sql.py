@@ -18,18 +18,21 @@ r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e
 SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id)
 """
 
-# a line is "with a word" if something is left without white space; positions of windows found twice cover three words each
-BASE6 = rf"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
-win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 3),
-win2 AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p+1], w[p+2]) AS c FROM win),
-cov AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM win2, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY 1),
-base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})))::BIGINT - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD}))))::BIGINT AS n_dup_lines FROM d),
-ls AS (SELECT doc_id, source, unnest(list_filter(string_split({LOWERED.replace('text', 't')}, chr(10)), lambda x: regexp_matches(x, {WORD}))) AS x FROM d),
-ln AS (SELECT doc_id, source, translate(array_to_string(regexp_extract_all(x, {WORD}), ' '), '123456789', '000000000') AS l, len(regexp_extract_all(x, {WORD})) AS nw FROM ls)
-SELECT * FROM (SELECT b.*, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM base b LEFT JOIN cov USING (doc_id))
+# lines with a word, normalised; a document's signature is its sorted distinct lines
+OP6 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+l AS (SELECT r, host, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})) AS l FROM d),
+win AS (SELECT r, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS x FROM d),
+pos AS (SELECT r, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM win),
+twice AS (SELECT r, p FROM pos JOIN (SELECT r, x FROM pos GROUP BY 1, 2 HAVING count(*) > 1) USING (r, x)),
+cov AS (SELECT r, count(DISTINCT p + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+k AS (SELECT r, host, list_transform(l, lambda x: regexp_replace(lower(trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), '[0-9]+', '0', 'g')) AS k, list_transform(l, lambda x: len(regexp_extract_all(x, {WORD}))) AS n FROM l),
+ln AS (SELECT r, host, array_to_string(list_sort(list_distinct(k)), chr(10)) AS sig, unnest(k) AS k, unnest(n) AS n FROM k),
+cm AS (SELECT host, k FROM ln GROUP BY 1, 2 HAVING count(DISTINCT sig) > 20),
+gone AS (SELECT r, sum(n)::BIGINT AS g FROM ln JOIN cm USING (host, k) GROUP BY 1),
+base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(g, 0)::BIGINT AS n_boilerplate_words FROM d JOIN l USING (r) LEFT JOIN cov USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_boilerplate_words >= n_words * 0.3::DOUBLE AS kept FROM base
 """
 
 OP4 = rf"""
