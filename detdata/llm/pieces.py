@@ -1,13 +1,15 @@
 """Encoding whole texts with a tokenizer file, each distinct piece once.
 
-A byte-level BPE of this kind never lets a token cross from a character that is no white space to one that
+A byte-level BPE that splits by its usual pattern never lets a token cross from a character that is no white space to one that
 is, nor from an ASCII letter or digit to a punctuation mark. So a text is the sequence of its pieces, cut
 there, and encoding the pieces one by one gives the ids of the whole text. Words repeat, so a task encodes
 each distinct piece once and keeps a bounded number of them. A text with white space beyond ASCII, or with
-the string of a special token, is one piece.
+the string of a special token, is one piece. With a tokenizer file of another kind, each text is one piece, and nothing
+is remembered.
 """
 
 import functools
+import json
 import os
 
 import numpy as np
@@ -17,7 +19,8 @@ from . import hashing as H
 
 #: Pieces that a task remembers.
 REMEMBERED = 500_000
-SLICE = 4 << 20
+#: Bytes of text that are cut and encoded at once; half of it where spans are kept beside.
+SLICE = 8 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WORD = np.zeros(256, dtype=bool)
@@ -37,6 +40,14 @@ def encoder(path: str) -> "Encoder":
     return Encoder(path)
 
 
+def splits_as_known(spec: dict) -> bool:
+    """Is this a byte-level BPE without normalizer that splits by its usual pattern?"""
+    split = spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", False)
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
+    return plain and added and spec["model"]["type"] == "BPE"
+
+
 class Encoder:
     """Ids of whole texts. Remembered pieces lie one after another in one array."""
 
@@ -45,6 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.by_piece = splits_as_known(json.loads(self.tok.to_str()))
         self.size = self.tok.get_vocab_size()
         special = {i: t.content.encode() for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special = list(special.values())
@@ -70,7 +82,7 @@ class Encoder:
         at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.array(sizes, np.int64))])
         n = len(self.at) - 1
         which[new] = n + np.arange(len(new))
-        keep = min(len(new), REMEMBERED - n)
+        keep = min(len(new), REMEMBERED - n) if self.by_piece else 0
         if keep > 0:
             for i, j in enumerate(new[:keep].tolist()):
                 self.known[pieces[j]] = n + i
@@ -81,9 +93,11 @@ class Encoder:
         """For runs of rows: (first row, ids, first id of each row and the end). With spans also the start and
         end character of each id in its row; an id that holds part of a character's bytes has all of it."""
         data, offsets = H.utf8(column)
+        if spans and not self.by_piece:
+            raise ValueError("spans need a byte-level BPE without normalizer")
         i, n = 0, len(offsets) - 1
         while i < n:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (SLICE // 2 if spans else SLICE), side="right")) - 1)
             yield (i, *self._slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], spans))
             i = j
 
@@ -117,6 +131,8 @@ class Encoder:
             whole.append(lead[odd])
         for r in np.unique(np.searchsorted(rows, np.concatenate(whole), side="right") - 1):
             first[rows[r] : rows[r + 1]] = False
+        if not self.by_piece:
+            first[:] = False
         first[rows[:-1][rows[1:] > rows[:-1]]] = True
         cut = np.append(np.flatnonzero(first), len(data)).astype(np.int64)
         column = pa.Array.from_buffers(pa.large_utf8(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))])

@@ -1,9 +1,12 @@
 """Token ids in a binary file format, compressed by Re-Pair per shard.
 
 Documents are encoded in ascending id order and dealt into shards of about SHARD ids. In a shard, frequent
-pairs of neighbouring symbols are replaced by nonterminals, round after round, until few are left. A round
-takes the PAIRS most frequent pairs at once; where replacements overlap, the left one wins. No pair crosses a
-document's end, so a document is a run of symbols.
+pairs of neighbouring symbols are replaced by nonterminals, round after round. A rule takes three words of the file (two
+symbols and a length) and saves one a place; compressed as the file is, pairs in fewer than LEAST places make it longer
+(measured). The rounds end when a round's rules save less than a share GAIN of the symbols. A round takes all pairs at
+least 1 / DROP as frequent as the most frequent one; where replacements overlap, the left one wins, and a pair that
+then keeps fewer than LEAST places waits for a later round. No pair crosses a document's end, so a document is a run
+of symbols.
 
 A shard is a row of a Parquet table (Spark's own writer commits it, so a lost executor costs only its tasks):
 
@@ -34,48 +37,69 @@ from .common import new_path
 from .pieces import encoder
 
 SHARD = 1 << 20
-PAIRS, ROUNDS, LEAST = 2048, 10, 8
-_BITS = 18
+LEAST, DROP, GAIN = 8, 16, 1e-2
+_BITS = 19
+
+
+def _cells(pair: np.ndarray) -> np.ndarray:
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
+
+
+def _frequent(pair: np.ndarray, cell: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, counts, places): those that LEAST places hold, in order, and where they may stand."""
+    # a pair's cell holds at least as many places: cells that are too empty need no sorting
+    full = np.bincount(cell[ok], minlength=1 << _BITS) >= LEAST
+    at = np.flatnonzero(full[cell] & ok)
+    s = np.sort(pair[at])
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(s)))
+    value = s[first]
+    return value[count >= LEAST], count[count >= LEAST], at
+
+
+def _places(pair: np.ndarray, cell: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, pair numbers) of the chosen pairs without overlaps; a pair that keeps too few places, or shares its cell
+    with another chosen one, is left out."""
+    number = np.full(1 << _BITS, -1, np.int32)
+    number[_cells(chosen)] = np.arange(len(chosen))
+    which = number[cell[at]]
+    hit = which >= 0
+    at, which = at[hit], which[hit]
+    hit = chosen[which] == pair[at]
+    at, which = at[hit], which[hit]
+    run = np.flatnonzero(np.append(True, np.diff(at) > 1))
+    odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2
+    at, which = at[odd == 0], which[odd == 0]
+    stay = np.bincount(which, minlength=len(chosen))[which] >= LEAST
+    return at[stay], which[stay]
 
 
 def compress(seq: np.ndarray, end: np.ndarray, base: int):
     """(symbols, end, rules): seq with frequent pairs replaced; end marks the last symbol of each document."""
     rules = []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
+    while len(seq) > 1:
+        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
+        cell = _cells(pair)
+        value, count, at = _frequent(pair, cell, ~end[:-1])
+        if not len(value):
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
-        cell = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
-        ok = ~end[:-1]
-        count = np.bincount(cell[ok], minlength=1 << _BITS)
-        top = np.flatnonzero(count >= LEAST)
-        if len(top) > PAIRS:
-            top = top[np.argpartition(count[top], len(top) - PAIRS)[-PAIRS:]]
-        if not len(top):
+        places, which = _places(pair, cell, at, value[count * DROP >= count.max()])
+        name = np.full(len(value), -1, np.int64)
+        used = np.unique(which)
+        if len(places) - 3 * len(used) < GAIN * len(seq):
             break
-        chosen = np.zeros(1 << _BITS, dtype=bool)
-        chosen[top] = True
-        at = np.flatnonzero(chosen[cell] & ok)
-        one = np.zeros(1 << _BITS, dtype=np.uint64)  # a cell may hold several pairs: one of them is taken
-        one[cell[at]] = key[at]
-        at = at[one[cell[at]] == key[at]]
-        new = np.append(True, np.diff(at) > 1)
-        run = np.flatnonzero(new)
-        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
-        count = np.bincount(cell[at], minlength=1 << _BITS)
-        at = at[count[cell[at]] >= LEAST]
-        if len(at) < len(seq) // 100 + 1:
-            break
-        used = np.unique(cell[at])
-        name = np.zeros(1 << _BITS, dtype=np.int64)
-        name[used] = base + len(rules) + np.arange(len(used))
-        rules.extend((int(k >> np.uint64(32)), int(k & np.uint64(0xFFFFFFFF))) for k in one[used])
+        name[used] = np.arange(len(used))
+        number = name[which]
+        first = np.zeros(len(used), np.int64)
+        first[number] = places
+        number += base + len(rules)
+        rules.extend(zip(seq[first].tolist(), seq[first + 1].tolist(), strict=True))
         seq = seq.copy()
-        seq[at] = name[cell[at]]
+        seq[places] = number
         end = end.copy()
-        end[at] |= end[at + 1]
+        end[places] |= end[places + 1]
         keep = np.ones(len(seq), dtype=bool)
-        keep[at + 1] = False
+        keep[places + 1] = False
         seq, end = seq[keep], end[keep]
     return seq, end, rules
 
