@@ -77,6 +77,7 @@ def six_decimals(x: Column) -> Column:
     """Report text of a number; empty for null, which format_string writes as a word."""
     return F.when(x.isNull(), "").otherwise(F.format_string("%.6f", x))
 
+
 def seeded_order(seed: int, key: Column) -> Column:
     """A repeatable random order: md5 of seed and key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key))
