@@ -152,7 +152,6 @@ def preserve_human_fields(reviews: DataFrame, previous: DataFrame, fields: tuple
     return out.withColumns({f: F.when(F.col("_was"), F.col("_" + f)).otherwise(F.col(f) if f in reviews.columns else F.lit("")) for f in fields}).drop("_was", *["_" + f for f in fields])
 
 
-@F.pandas_udf("string")
 def _corner_text(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """Four numbers with six significant digits each, as %g writes them; Spark has no such format."""
     return pd.Series(["%g,%g,%g,%g" % t for t in zip(x0, y0, x1, y1, strict=True)], dtype=object)
@@ -161,7 +160,7 @@ def _corner_text(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) ->
 def annotation_fingerprint(boxes: DataFrame) -> DataFrame:
     """(image_id, fingerprint): SHA-256 of class:xmin,ymin,xmax,ymax of the boxes in document order, joined by |, numbers
     as %g writes them."""
-    text = F.concat(F.col("class_name"), F.lit(":"), _corner_text("xmin", "ymin", "xmax", "ymax"))
+    text = F.concat(F.col("class_name"), F.lit(":"), F.pandas_udf(_corner_text, "string")("xmin", "ymin", "xmax", "ymax"))
     per = boxes.select("image_id", "object_index", text.alias("t")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("object_index", "t"))).alias("ts"))
     return per.select("image_id", F.sha2(F.array_join(F.transform("ts", lambda x: x["t"]), "|"), 256).alias("fingerprint"))
 
