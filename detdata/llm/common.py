@@ -126,14 +126,15 @@ def _same(rows: DataFrame, table: DataFrame, names: list[str]) -> Column:
 
 def within(df: DataFrame, columns: dict[str, Column], table: DataFrame) -> DataFrame:
     """df joined with the rows of table (its columns behind df's) that have equal keys, null equal to null. columns are
-    the keys, expressions over df, by their names in table. Of df only rows that a key filter lets pass are shuffled."""
+    the keys, expressions over df, by their names in table. Of df only rows that a key filter lets pass are shuffled; they
+    are joined so at every size, since they are few while the table is small."""
     rows = _may_hold(df, list(columns.values()), table, list(columns)).where("_may")
-    return rows.join(table, _same(rows, table, list(columns))).select("_whole.*", *[table[c] for c in table.columns])
+    return rows.join(table.hint("merge"), _same(rows, table, list(columns))).select("_whole.*", *[table[c] for c in table.columns])
 
 
 def without(df: DataFrame, columns: dict[str, Column], table: DataFrame) -> DataFrame:
     """Rows of df whose keys no row of table has, as in within."""
     rows = _may_hold(df, list(columns.values()), table, list(columns))
     may = rows.where("_may")
-    rest = may.join(table, _same(may, table, list(columns)), "left_anti")
+    rest = may.join(table.hint("merge"), _same(may, table, list(columns)), "left_anti")
     return rows.where("not _may").select("_whole.*").unionByName(rest.select("_whole.*"))
