@@ -19,8 +19,8 @@ from . import hashing as H
 
 #: Pieces that a task remembers.
 REMEMBERED = 500_000
-#: Bytes of text that are cut and encoded at once; half of it where spans are kept beside.
-SLICE = 8 << 20
+#: Bytes of text that are cut and encoded at once.
+SLICE = 4 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WORD = np.zeros(256, dtype=bool)
@@ -97,7 +97,7 @@ class Encoder:
             raise ValueError("spans need a byte-level BPE without normalizer")
         i, n = 0, len(offsets) - 1
         while i < n:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (SLICE // 2 if spans else SLICE), side="right")) - 1)
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
             yield (i, *self._slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], spans))
             i = j
 

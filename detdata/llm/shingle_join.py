@@ -6,7 +6,7 @@ document's sorted set with it, into one segment per fragment.
 Candidates. Two sets with Jaccard >= t differ in at most D = floor((1-t)/(1+t) * (|a|+|b|)) shingles. Cut
 into more than D fragments, one segment at least is the same in both. Sizes fall into classes so that
 similar sets are in the same class or in neighbouring ones; a group is a class with the one below, and
-has one number of fragments, 6/5 of D+1 for its largest sets. A set with more than D non-empty segments
+has one number of fragments, 11/10 of D+1 for its largest sets. A set with more than D non-empty segments
 sends the hashes of its non-empty segments; a set with fewer (few shingles, unevenly spread) sends its
 prefix besides, so that two such sets meet there. No link is lost, and since a segment holds several
 shingles, sets that merely share a common passage seldom meet. They meet less still because the most common
@@ -45,7 +45,7 @@ WORDS64 = 8
 HOT, HOT_BATCH = 100_000, 4_096
 #: Least keys of a set that its rows carry.
 SKETCH = 8
-#: Keys in one Arrow batch that leaves a task, and signatures that a task remembers to skip copies.
+#: Keys or shingles that a task holds before it sends them on, and signatures that it remembers to skip copies.
 OUT, SEEN = 400_000, 200_000
 
 
@@ -75,7 +75,7 @@ class Plan:
             apart = self.most_apart(group)
             if not apart:
                 continue
-            count = (apart + 1) * 6 // 5 + 1
+            count = (apart + 1) * 11 // 10 + 1
             cell = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
             first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(s) else []
             if len(first):
@@ -94,8 +94,8 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 def _common(sets: list) -> list:
     """(shingle, count) of those in many of these sets: 4 and 1 in 200 at least."""
     least, s = max(4, len(sets) // 200), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    cell = (s >> np.uint64(42)).astype(np.int32)
-    s = s[np.bincount(cell, minlength=1 << 22)[cell] >= least]
+    cell = (s >> np.uint64(44)).astype(np.int32)
+    s = s[np.bincount(cell, minlength=1 << 20)[cell] >= least]
     value, count = np.unique(s, return_counts=True)
     top = np.flatnonzero(count >= least)
     top = top[np.argsort(-count[top], kind="stable")[:HOT_BATCH]]
@@ -110,20 +110,24 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 def shingle_sets(docs: DataFrame, text: str, k: int, carry: list[Column]) -> DataFrame:
     """The carried columns, n_shingles and the two halves of a 128-bit signature of the set. Rows without
-    words have 0 shingles and null signatures. A batch's last row carries the batch's common shingles."""
+    words have 0 shingles and null signatures. Of the rows that leave a task together, the last carries their common
+    shingles."""
     src = docs.select(*carry, F.col(text).alias("_text"))
     keep = src.columns[:-1]
 
     def run(batches):
         for b in batches:
-            n, a, c, bits, sets = [], [], [], [], []
-            for _, h in H.texts(b.column(b.num_columns - 1)):
+            first, n, a, c, bits, sets, size = 0, [], [], [], [], [], 0
+            for i, h in H.texts(b.column(b.num_columns - 1)):
                 s = H.distinct(H.shingles(h, k))
                 x, y = _signature(s) if len(s) else (None, None)
                 n.append(len(s)), a.append(x), c.append(y), bits.append(_bitmap(s)), sets.append(s)
-            if n:
-                hot = pa.array([None] * (len(n) - 1) + [_common(sets)], pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.list_(pa.int64())), hot], names=[*keep, "n_shingles", "sig", "sig2", "bits", "hot"])
+                size += len(s)
+                if size >= OUT or i + 1 == b.num_rows:
+                    hot = pa.array([None] * (len(n) - 1) + [_common(sets)], pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())])))
+                    rows = b.slice(first, len(n))
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.list_(pa.int64())), hot], names=[*keep, "n_shingles", "sig", "sig2", "bits", "hot"])
+                    first, n, a, c, bits, sets, size = i + 1, [], [], [], [], [], 0
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     return src.mapInArrow(run, f"{fields}, n_shingles long, sig long, sig2 long, bits array<long>, hot array<struct<t: long, c: long>>")
@@ -171,9 +175,14 @@ def _segments(rows: DataFrame, k: int, names: list[str]) -> DataFrame:
     def run(batches):
         cuts = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS)
         seen = set()
+
+        def packed(b, at, frag, seg):
+            take = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:-1]], pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], names=[*names, "fragment", "segment"])
+
         for b in batches:
             ids = list(zip(*[c.to_pylist() for c in b.columns[:-1]], strict=True))
-            at, frag, seg = [], [], []
+            at, frag, seg, size = [], [], [], 0
             for i, h in H.texts(b.column(b.num_columns - 1)):
                 if ids[i] in seen:
                     continue
@@ -183,8 +192,12 @@ def _segments(rows: DataFrame, k: int, names: list[str]) -> DataFrame:
                 for f, part in enumerate(np.split(s.view(np.int64), np.searchsorted(s, cuts))):
                     if len(part):
                         at.append(i), frag.append(f), seg.append(part)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:-1]], pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], names=[*names, "fragment", "segment"])
+                size += len(s)
+                if size >= OUT:
+                    yield packed(b, at, frag, seg)
+                    at, frag, seg, size = [], [], [], 0
+            if at:
+                yield packed(b, at, frag, seg)
 
     return rows.select(*names, "_text").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", fragment int, segment array<long>")
 
