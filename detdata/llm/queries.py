@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from . import repair_codec, sql
 from .common import read
 from .decontam import contaminated
+from .fill_in_middle import fill_in_middle, restored
 from .html_template import extract_text
+from .language_masks import identify_held_out
 from .line_dedup import dedup_lines
 from .ordinal_quality import grade_documents
 from .quality_rules import quality_rules
 from .shingle_join import similar_components
+from .source_divergence import source_divergence
 from .source_mix import mix_sources
 from .token_spans import section_tokens
 from .url_trust import judge_urls
@@ -69,6 +72,20 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_documents(read(spark, sf_dir, "documents"), labels)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(read(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("form"), F.col("output")), 256)}
+    return out.withColumns(digests).drop("output")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ordinal_quality": op10_ordinal_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_language_masks": op13_language_masks,
     "pipeline": pipeline,
 }
 
@@ -94,4 +114,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": sql.OP3,
     "op4_line_dedup": sql.OP4,
     "op6_quality_rules": sql.OP6,
+    "op11_fill_in_middle": sql.OP11,
+    "op12_source_divergence": sql.OP12,
 }
