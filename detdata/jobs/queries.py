@@ -361,6 +361,23 @@ def _(src, conv):
     return M.match_boxes(M.pair_boxes(src, conv))
 
 
+# few images with hundreds of boxes each, whose sides go from 4 to 40,000 pixels
+CROWD = """SELECT concat('crowd_', l_suppkey % {n}) AS image_id, CAST(row_number() OVER (PARTITION BY l_suppkey % {n} ORDER BY l_orderkey, l_linenumber, l_partkey) AS INT) AS object_index, CAST(l_orderkey * 7919 % 60000 AS DOUBLE) AS x, CAST(l_partkey * 104729 % 50000 AS DOUBLE) AS y,
+ CAST(CASE WHEN l_partkey % 150 = 0 THEN 40000 WHEN l_partkey % 20 = 1 THEN 2500 WHEN l_partkey % 4 = 2 THEN 150 ELSE 4 END AS DOUBLE) AS side, l_linenumber AS ln, l_partkey AS pk FROM {lineitem}""".replace("{n}", "83")
+CROWD_S = f"SELECT image_id, object_index, x AS xmin, y AS ymin, x + side AS xmax, y + side * 0.75D AS ymax FROM ({CROWD}) c"
+CROWD_D = f"SELECT image_id, object_index, x + ln * side / 16 AS xmin, y AS ymin, x + side + ln * side / 16 AS xmax, y + side * 0.75D AS ymax FROM ({CROWD}) c WHERE pk % 7 <> 0"
+
+
+@query("pair_boxes_crowded", PAIRS, src=CROWD_S, conv=CROWD_D)
+def _(src, conv):
+    return M.pair_boxes(src, conv).select("image_id", "s_index", "d_index", "iou", "delta")
+
+
+@query("match_boxes_crowded", f"{MATCH} SELECT * FROM mt", src=CROWD_S, conv=CROWD_D)
+def _(src, conv):
+    return M.match_image_boxes(src, conv)
+
+
 STATS = """st AS (SELECT i.image_id, coalesce(s, 0) AS source_count, coalesce(d, 0) AS converted_count, min_iou, mean_iou, max_delta, coalesce(s, 0) - coalesce(n, 0) AS unmatched_source, coalesce(d, 0) - coalesce(n, 0) AS unmatched_converted FROM images i
  LEFT JOIN (SELECT image_id, count(*) AS s FROM src GROUP BY 1) a USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS d FROM conv GROUP BY 1) b USING (image_id)
  LEFT JOIN (SELECT image_id, count(*) AS n, min(iou) AS min_iou, round(avg(iou), 6) AS mean_iou, max(delta) AS max_delta FROM mt GROUP BY 1) c USING (image_id))"""
@@ -368,7 +385,7 @@ STATS = """st AS (SELECT i.image_id, coalesce(s, 0) AS source_count, coalesce(d,
 
 @query("match_stats", f"{MATCH}, {STATS} SELECT * FROM st", src=V.SOURCE, conv=CONV, images=V.IMAGES)
 def _(src, conv, images):
-    return M.match_stats(images, src, conv, M.match_boxes(M.pair_boxes(src, conv))).withColumn("mean_iou", F.round("mean_iou", 6))
+    return M.match_stats(images, src, conv, M.match_image_boxes(src, conv)).withColumn("mean_iou", F.round("mean_iou", 6))
 
 
 # ---- verdicts
@@ -719,7 +736,7 @@ def _(pred, tr):
 
 @query("precision_recall", f"{CURVE} SELECT class_id, threshold, confidence, tp, fp, precision, recall FROM cv", **DETECT)
 def _(pred, tr):
-    return X.precision_recall(X.match_predictions(pred, tr), tr)
+    return X.precision_recall_of_masks(X.match_masks(pred, tr), tr)
 
 
 AP = f"{CURVE}, gp AS (SELECT threshold, r, coalesce(max(precision), 0) AS p FROM (SELECT DISTINCT threshold FROM cv) CROSS JOIN (SELECT unnest(range(101)) AS r) LEFT JOIN cv USING (threshold) WHERE floor(recall * 100 + 1e-9) >= r GROUP BY 1, 2), ap AS (SELECT 0 AS class_id, threshold, sum(p) / 101 AS ap FROM gp GROUP BY 2)"
@@ -727,7 +744,7 @@ AP = f"{CURVE}, gp AS (SELECT threshold, r, coalesce(max(precision), 0) AS p FRO
 
 @query("average_precision", f"{AP} SELECT class_id, threshold, round(ap, 9) AS ap FROM ap", **DETECT)
 def _(pred, tr):
-    return X.average_precision(X.precision_recall(X.match_predictions(pred, tr), tr)).withColumn("ap", F.round("ap", 9))
+    return X.average_precision(X.precision_recall_of_masks(X.match_masks(pred, tr), tr)).withColumn("ap", F.round("ap", 9))
 
 
 @query("detection_metrics", f"{AP} SELECT 0 AS class_id, round(x.precision, 9) AS precision, round(x.recall, 9) AS recall, round((SELECT ap FROM ap WHERE threshold = 0.5), 9) AS map50, round((SELECT avg(ap) FROM ap), 9) AS map50_95 FROM (SELECT * FROM cv WHERE threshold = 0.5 ORDER BY CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END DESC, confidence DESC LIMIT 1) x", **DETECT)
@@ -761,6 +778,39 @@ def _(x):
     return IO.label_rows(x.select("path", "value")).select("path", "line_no", "line", F.size("tokens").alias("n"))
 
 
+def _image_bytes(images):
+    """Images of eight kinds as bytes, made of sizes and numbers: whole ones, ones broken off after 20 bytes, PNGs with a
+    wrong checksum, JPEGs whose frame stands behind segments that hold frames of other sizes."""
+    digits = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    w, h, k = F.col("width"), F.col("height"), F.col("k")
+    little = lambda x, n: F.concat(*[digits(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)), 1) for i in range(n)])
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def chunk(kind: str, data):
+        body = text(kind.encode().hex(), data)
+        return text(digits((F.length(data) / 2).cast("int"), 4), body, digits(F.crc32(F.unhex(body)) + F.when(k % 89 == 0, 1).otherwise(0), 4))
+
+    decoys = F.repeat(F.lit("FFC00011080001000103"), (k % 997).cast("int"))
+    kinds = [
+        text("89504E470D0A1A0A", chunk("IHDR", text(digits(w, 4), digits(h, 4), "0802000000")), chunk("IDAT", F.lit("00")), "0000000049454E44AE426082"),
+        text("FFD8FFE000104A46494600010101004800480000FFE1", digits((F.length(decoys) / 2).cast("int") + 2, 2), decoys, "FFFFC2001108", digits(h, 2), digits(w, 2), "03012200021101031101FFDA0002"),
+        text("474946383961", little(w - 1, 2), little(h, 2), "800000", "000000FFFFFF", "21F9040000000000", "2C00000000", little(w, 2), little(h, 2), "00"),
+        text("424D00000000000000003600000028000000", little(w, 4), little(-h, 4), "0100180000000000"),
+        text("49492A0008000000", "0200", "0001030001000000", little(w, 4), "0101030001000000", little(h, 4), "00000000"),
+        text("4D4D002A00000010", "0000000000000000", "0003", "00FE00040000000100000000", "0100000400000001", digits(w, 4), "0101000400000001", digits(h, 4)),
+        text("52494646000000005745425056503858", "0A00000000000000", little(w - 1, 3), little(h - 1, 3)),
+        text("5249464600000000574542505650384C", "050000002F", little((w - 1).bitwiseOR(F.shiftleft(h - 1, 14)), 4)),
+    ]
+    whole = F.element_at(F.array(*kinds), (k % len(kinds) + 1).cast("int"))
+    return images.select("path", F.unhex(F.when(F.col("readable"), whole).otherwise(F.substring(whole, 1, 40))).alias("content"))
+
+
+@query("image_facts", """SELECT path, CASE WHEN ok THEN (['png', 'jpeg', 'gif', 'bmp', 'tiff', 'tiff', 'webp', 'webp'])[k % 8 + 1] END AS format, CASE WHEN ok THEN width::BIGINT END AS width, CASE WHEN ok THEN height::BIGINT END AS height, ok AS readable
+ FROM (SELECT *, readable AND NOT (k % 8 = 0 AND k % 89 = 0) AS ok FROM images)""", images=V.IMAGES)
+def _(images):
+    return IO.header_facts(_image_bytes(images)).drop("sha256")
+
+
 # ---- round trips: what the sinks write below the shared folder and the sources read again
 
 @query("manifest_round_trip", "SELECT image_id, split, image_path, label_path, source_image_path, source_xml_path, width::VARCHAR AS image_width, height::VARCHAR AS image_height, object_count::VARCHAR AS object_count, small_box_count::VARCHAR AS small_box_count, duplicate_group_id FROM m JOIN (SELECT image_id, width, height FROM images) i USING (image_id)", m=V.MANIFEST, images=V.IMAGES)

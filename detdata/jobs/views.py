@@ -50,7 +50,7 @@ TABLES = ("orders", "lineitem", "events", "documents", "pages", "conversations",
 
 
 def duck(text: str) -> str:
-    return text.format(**{t: t for t in TABLES}, sha="sha256(", end=")").replace("1000.0D", "1000.0::DOUBLE")
+    return text.format(**{t: t for t in TABLES}, sha="sha256(", end=")").replace("1000.0D", "1000.0::DOUBLE").replace("0.75D", "0.75::DOUBLE")
 
 
 def spark_sql(text: str, sf_dir: str) -> str:

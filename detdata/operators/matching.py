@@ -1,12 +1,25 @@
-"""Joins of source and converted boxes of one image."""
+"""Joins of source and converted boxes of one image, and their greedy one-to-one matching.
 
-from pyspark.sql import DataFrame
+Images of usual size take the direct way: an equi-join on the image, and a fold over an image's pairs in order. Images
+whose boxes would make more than DENSE candidate pairs are told by two counts and go another way, in which no task
+depends on one image: a grid of levels finds the pairs, and rounds of dominant pairs match them.
+"""
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, coordinate_delta, iou
+from ..storage import written
 
-#: Side of a grid cell in pixels.
+#: Side of a cell in pixels on the grid's lowest level.
 CELL = 64.0
+#: Candidate pairs (boxes of one side times boxes of the other) from which on an image is dense.
+DENSE = 1 << 16
+#: Beyond this a coordinate is not put on a grid.
+FAR = float(1 << 50)
+#: Rounds go on while each takes this part of the pairs away; what then is left is matched in order, an image a task.
+LEAST_PROGRESS = 0.1
 
 _CORNERS = ("xmin", "ymin", "xmax", "ymax")
 
@@ -16,37 +29,105 @@ def _side(boxes: DataFrame, prefix: str) -> DataFrame:
     return boxes.select("image_id", F.col("object_index").alias(prefix + "index"), *[F.col(c).alias(prefix + c) for c in _CORNERS])
 
 
-def pair_boxes(source: DataFrame, converted: DataFrame) -> DataFrame:
-    """(image_id, s_index, d_index, iou, delta, boxes) of overlapping pairs within an image.
+def _measured(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("iou", iou(box("s_"), box("d_"))).withColumn("delta", coordinate_delta(box("s_"), box("d_"))).where("iou > 0 and not isnan(iou)")
+
+
+def _overlap() -> Column:
+    return (F.col("s_xmin") < F.col("d_xmax")) & (F.col("d_xmin") < F.col("s_xmax")) & (F.col("s_ymin") < F.col("d_ymax")) & (F.col("d_ymin") < F.col("s_ymax"))
+
+
+def dense_images(source: DataFrame, converted: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(image_id) of images with more than `dense` candidate pairs, written. Only ids are read and counted."""
+    counts = lambda boxes, n: boxes.groupBy("image_id").agg(F.count("*").alias(n))
+    both = counts(source, "_s").join(counts(converted, "_d"), "image_id")
+    return written(both.where(F.col("_s").cast("double") * F.col("_d") > dense).select("image_id"), "dense_images")
+
+
+def pair_boxes_directly(source: DataFrame, converted: DataFrame) -> DataFrame:
+    """pair_boxes by a join on the image with overlap as a further condition."""
+    return _measured(_side(source, "s_").join(_side(converted, "d_"), "image_id").where(_overlap()))
+
+
+def pair_boxes_dense(source: DataFrame, converted: DataFrame, cell: float = CELL) -> DataFrame:
+    """pair_boxes for images with very many boxes of any sizes.
+
+    Level 0 of the grid has cells of side `cell`, each level twice the side of the one before. A box belongs to the lowest
+    level whose cells are as large as it, so it lies in four cells there at most, and in one to four on each higher level:
+    a page-wide box never goes to the small cells that it covers. Two boxes meet on the higher of their two levels, the
+    lower one looking up, and count in the cell of the upper left corner of what they share, so once.
 
-    Boxes that touch nowhere can't match, so the join is on the image with overlap as a further condition, not
-    all pairs of all images.
+    Boxes without a finite positive area, or farther out than 2**50 pixels, are paired directly.
     """
+    ok = lambda p: F.coalesce((F.col(p + "xmax") > F.col(p + "xmin")) & (F.col(p + "ymax") > F.col(p + "ymin")) & (F.greatest(*[F.abs(F.col(p + c)) for c in _CORNERS]) < FAR), F.lit(False))
     s, d = _side(source, "s_"), _side(converted, "d_")
-    overlap = (F.col("s_xmin") < F.col("d_xmax")) & (F.col("d_xmin") < F.col("s_xmax")) & (F.col("s_ymin") < F.col("d_ymax")) & (F.col("d_ymin") < F.col("s_ymax"))
-    pairs = s.join(d, "image_id").where(overlap)
-    return pairs.withColumn("iou", iou(box("s_"), box("d_"))).withColumn("delta", coordinate_delta(box("s_"), box("d_"))).where("iou > 0")
 
+    def levelled(boxes: DataFrame, p: str) -> DataFrame:
+        longest = F.greatest(F.col(p + "xmax") - F.col(p + "xmin"), F.col(p + "ymax") - F.col(p + "ymin"))
+        return boxes.where(ok(p)).withColumn(p + "level", F.greatest(F.lit(0), F.ceil(F.log2(longest / cell))).cast("int"))
+
+    s_own, d_own = levelled(s, "s_"), levelled(d, "d_")
+    # the highest level of each side, which boxes of the other side look up to
+    top = lambda boxes, p: boxes.groupBy("image_id").agg(F.max(p + "level").alias(p + "top"))
+    tops = written(top(s_own, "s_").join(top(d_own, "d_"), "image_id"), "tops")
+
+    def cells(boxes: DataFrame, p: str, first: Column, last: Column) -> DataFrame:
+        side = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+        span = lambda lo, hi: F.sequence(F.floor(F.col(p + lo) / side), F.floor(F.col(p + hi) / side))
+        rows = boxes.join(tops, "image_id").where(first <= last).withColumn("level", F.explode(F.sequence(first, last))).drop("s_top", "d_top", p + "level")
+        return rows.withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
+
+    key = ["image_id", "level", "cx", "cy"]
+    own = lambda p: F.col(p + "level")
+    at_home = lambda boxes, p: cells(boxes, p, own(p), own(p))
+    met = at_home(s_own, "s_").join(cells(d_own, "d_", own("d_"), F.col("s_top")), key).unionByName(cells(s_own, "s_", own("s_") + 1, F.col("d_top")).join(at_home(d_own, "d_"), key))
+    side = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    once = (F.floor(F.greatest("s_xmin", "d_xmin") / side) == F.col("cx")) & (F.floor(F.greatest("s_ymin", "d_ymin") / side) == F.col("cy"))
+    on_grid = met.where(_overlap() & once).drop("level", "cx", "cy")
+    far = s.where(~ok("s_")).join(d, "image_id").unionByName(s.where(ok("s_")).join(d.where(~ok("d_")), "image_id"))
+    return _measured(on_grid.unionByName(far.where(_overlap())))
+
+
+def pair_boxes(source: DataFrame, converted: DataFrame, dense: int = DENSE, cell: float = CELL) -> DataFrame:
+    """(image_id, s_index, d_index, iou, delta, boxes) of overlapping pairs within an image.
 
-def pair_boxes_dense(source: DataFrame, converted: DataFrame, cell: float = CELL) -> DataFrame:
-    """pair_boxes for images with thousands of boxes: boxes go to the grid cells they cover, the join is on (image,
-    cell), and a pair counts in the cell of its intersection's upper left corner, so once."""
+    Images with more than `dense` candidate pairs are told first, by counts alone; they are paired on a grid, all others
+    directly.
+    """
+    light, heavy = _by_size(source, converted, dense)
+    out = pair_boxes_directly(*light)
+    return out if heavy is None else out.unionByName(pair_boxes_dense(*heavy, cell))
 
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        span = lambda lo, hi: F.sequence(F.floor(F.col(p + lo) / cell), F.floor(F.col(p + hi) / cell))
-        ok = df.where((F.col(p + "xmax") > F.col(p + "xmin")) & (F.col(p + "ymax") > F.col(p + "ymin")))
-        return ok.withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
 
-    pairs = cells(_side(source, "s_"), "s_").join(cells(_side(converted, "d_"), "d_"), ["image_id", "cx", "cy"])
-    pairs = pairs.withColumn("iou", iou(box("s_"), box("d_"))).withColumn("delta", coordinate_delta(box("s_"), box("d_"))).where("iou > 0")
-    at_x = F.floor(F.greatest("s_xmin", "d_xmin") / cell) == F.col("cx")
-    at_y = F.floor(F.greatest("s_ymin", "d_ymin") / cell) == F.col("cy")
-    return pairs.where(at_x & at_y).drop("cx", "cy")
+def _by_size(source: DataFrame, converted: DataFrame, dense: int) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """Both sides of the images that aren't dense, and of those that are (None if none is)."""
+    found = dense_images(source, converted, dense)
+    if found.isEmpty():
+        return (source, converted), None
+    return (source.join(found, "image_id", "left_anti"), converted), (source.join(found, "image_id", "left_semi"), converted.join(found, "image_id", "left_semi"))
 
 
-def match_boxes(pairs: DataFrame) -> DataFrame:
+def match_boxes(pairs: DataFrame, dense: int = DENSE) -> DataFrame:
     """(image_id, s_index, d_index, iou, delta): greedy one-to-one matches, by IoU, then source index, then converted
-    index, all descending."""
+    index, all descending. The pairs are written and counted; images with more than `dense` of them are matched in rounds.
+    """
+    rows = written(pairs.select("image_id", "s_index", "d_index", "iou", "delta"), "pairs")
+    many = written(rows.groupBy("image_id").count().where(F.col("count") > dense).select("image_id"), "dense_images")
+    if many.isEmpty():
+        return match_in_order(rows)
+    return match_in_order(rows.join(many, "image_id", "left_anti")).unionByName(match_in_rounds(rows.join(many, "image_id", "left_semi")))
+
+
+def match_image_boxes(source: DataFrame, converted: DataFrame, dense: int = DENSE) -> DataFrame:
+    """match_boxes(pair_boxes(source, converted)) with one decision for both steps, by the candidate pairs of an image."""
+    light, heavy = _by_size(source, converted, dense)
+    out = match_in_order(pair_boxes_directly(*light))
+    return out if heavy is None else out.unionByName(match_in_rounds(pair_boxes_dense(*heavy)))
+
+
+def match_in_order(pairs: DataFrame) -> DataFrame:
+    """match_boxes as a fold over the sorted pairs of each image; its time grows with the pairs times the matches of an
+    image."""
     ordered = F.sort_array(F.collect_list(F.struct("iou", "s_index", "d_index", "delta")), asc=False)
     per = pairs.groupBy("image_id").agg(ordered.alias("cs"))
     kind = per.schema["cs"].dataType.simpleString()
@@ -54,6 +135,52 @@ def match_boxes(pairs: DataFrame) -> DataFrame:
     return per.select("image_id", F.explode(taken).alias("m")).select("image_id", "m.s_index", "m.d_index", "m.iou", "m.delta")
 
 
+def match_in_rounds(pairs: DataFrame) -> DataFrame:
+    """match_boxes for images with very many pairs: a pair that comes first among those of both its boxes is one that the
+    greedy order takes, whatever happens elsewhere. Each round takes all such pairs at once and drops what their boxes
+    still had, by keys (image, box), until none is left.
+
+    A round takes the first pair of each image at least, and as a rule most; where boxes form a long chain in which each
+    pair waits for the next, rounds would be many. So once a round takes less than a tenth away, what is left is walked in
+    order, image by image.
+    """
+    left = written(pairs.select("image_id", "s_index", "d_index", "iou", "delta"), "left")
+    n, out = left.count(), None
+    while n:
+        # a struct of an image's pair is greatest where the greedy order comes first
+        best = lambda of: left.groupBy("image_id", of).agg(F.max(F.struct("iou", "s_index", "d_index", "delta")).alias("m")).select("image_id", "m.*")  # noqa: E731, B023
+        both = best("s_index").join(best("d_index").select("image_id", "s_index", "d_index"), ["image_id", "s_index", "d_index"])
+        first = written(both.select("image_id", "s_index", "d_index", "iou", "delta"), "first")
+        out = first if out is None else out.unionByName(first)
+        rest = left.join(first.select("image_id", "s_index"), ["image_id", "s_index"], "left_anti").join(first.select("image_id", "d_index"), ["image_id", "d_index"], "left_anti")
+        left, before = written(rest, "left"), n
+        n = left.count()
+        if n > (1 - LEAST_PROGRESS) * before:
+            return out.unionByName(_walk(left))
+    return pairs.select("image_id", "s_index", "d_index", "iou", "delta").limit(0) if out is None else out
+
+
+def _walk(pairs: DataFrame) -> DataFrame:
+    """match_boxes by walking the sorted pairs of an image, with the boxes that are taken in two sets."""
+    names = ["image_id", "s_index", "d_index", "iou", "delta"]
+
+    def run(batches):
+        image, used_s, used_d = None, set(), set()
+        for b in batches:
+            keep = []
+            for at, (i, s, d) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+                if i != image:
+                    image, used_s, used_d = i, set(), set()
+                if s not in used_s and d not in used_d:
+                    used_s.add(s)
+                    used_d.add(d)
+                    keep.append(at)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    rows = pairs.select(*names).repartition("image_id").sortWithinPartitions("image_id", F.desc("iou"), F.desc("s_index"), F.desc("d_index"))
+    return rows.mapInArrow(run, rows.schema)
+
+
 def match_stats(images: DataFrame, source: DataFrame, converted: DataFrame, matches: DataFrame) -> DataFrame:
     """(image_id, source_count, converted_count, min_iou, mean_iou, max_delta, unmatched_source, unmatched_converted)
     for every image. The mean is over the sorted IoUs, so it does not depend on the partitioning."""

@@ -1,9 +1,14 @@
 """Metrics of runs, splits and stored predictions."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.geometry import iou
+from ..storage import written
+from .running import running_sums
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
@@ -54,49 +59,91 @@ def seconds_per_epoch(runs: DataFrame) -> DataFrame:
     return out.crossJoin(fastest).withColumn("percent_slower", (F.col("seconds_per_epoch") / F.col("_f") - 1) * 100).drop("_f")  # by one row
 
 
-def match_predictions(predictions: DataFrame, truth: DataFrame, thresholds: tuple = THRESHOLDS) -> DataFrame:
-    """(threshold, image_id, class_id, pred_id, confidence, hit): at each threshold the predictions of an image and class, by
-    descending confidence and then pred_id, take the free true box of greatest IoU that reaches it."""
+def match_masks(predictions: DataFrame, truth: DataFrame, thresholds: tuple = THRESHOLDS) -> DataFrame:
+    """(image_id, class_id, pred_id, confidence, hits): at each threshold the predictions of an image and class, by
+    descending confidence and then pred_id, take the free true box of greatest IoU that reaches it (of equal ones that of
+    the greatest truth_id). Bit i of hits: did the prediction get a box at the i-th threshold, in ascending order.
+
+    One walk serves all thresholds. Spark sorts the candidate pairs of an image and class into the order of the matching,
+    and a task reads them once; of a true box it holds one number, whose bits are the thresholds at which it is taken. A
+    prediction asks its candidates in order for the bits that it still lacks. An image's true boxes are all that a task
+    holds, and the time is linear in the pairs.
+    """
+    if len(thresholds) > 62:
+        raise ValueError("62 thresholds at most")
     key = ["image_id", "class_id"]
     p = predictions.select(*key, "pred_id", "confidence", *[F.col(c).alias("p_" + c) for c in ("xmin", "ymin", "xmax", "ymax")])
-    t = truth.select(*key, "truth_id", *[F.col(c).alias("t_" + c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    t = truth.select(*[F.col(c).alias("t_" + c) for c in key], "truth_id", *[F.col(c).alias("t_" + c) for c in ("xmin", "ymin", "xmax", "ymax")])
     corners = lambda x: tuple(F.col(x + c) for c in ("xmin", "ymin", "xmax", "ymax"))
     overlap = (F.col("p_xmin") < F.col("t_xmax")) & (F.col("t_xmin") < F.col("p_xmax")) & (F.col("p_ymin") < F.col("t_ymax")) & (F.col("t_ymin") < F.col("p_ymax"))
     reach = iou(corners("p_"), corners("t_"))
-    t = t.select(*[F.col(c).alias("t_" + c if c in key else c) for c in t.columns])
     pairs = p.join(t, (F.col("image_id") == F.col("t_image_id")) & (F.col("class_id") == F.col("t_class_id")) & overlap & (reach >= min(thresholds)), "left")
-    # a prediction with all its candidates, also without any; then all of an image and class in order
-    some = F.sort_array(F.collect_list(F.when(F.col("truth_id").isNotNull(), F.struct(reach.alias("iou"), "truth_id"))), asc=False)
-    cands = pairs.groupBy(*key, "pred_id", "confidence").agg(some.alias("c"))
-    per = cands.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "pred_id", "confidence", "c"))).alias("ps"))
-    per = per.select(*key, "ps", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
-    kind = truth.schema["truth_id"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("used"), F.array().cast("array<boolean>").alias("hits"))
+    bits = sum((F.when(F.col("iou") >= x, F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(sorted(thresholds))), F.lit(0).cast("long"))
+    rows = pairs.select(*key, "pred_id", "confidence", "truth_id", reach.alias("iou")).repartition(*key)
+    rows = rows.sortWithinPartitions(*key, F.desc_nulls_last("confidence"), "pred_id", F.desc_nulls_last("iou"), F.desc("truth_id"))
+    rows = rows.select(*key, "pred_id", "confidence", "truth_id", bits.cast("long").alias("bits"))
+    every = (1 << len(thresholds)) - 1
+    schema = StructType([*rows.schema.fields[:4], StructField("hits", LongType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def batch(found: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=schema.names)
+
+    def run(batches):
+        group, pred, taken, lacks, found = None, None, {}, 0, []
+        for b in batches:
+            for image, class_, of, confidence, true, reached in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (image, class_) != group:
+                    group, pred, taken = (image, class_), None, {}
+                if (of, confidence) != pred:
+                    pred, lacks = (of, confidence), every
+                    found.append([image, class_, of, confidence, 0])
+                if got := lacks & reached & ~taken.get(true, 0):
+                    taken[true] = taken.get(true, 0) | got
+                    lacks &= ~got
+                    found[-1][4] |= got
+            if len(found) > 1:  # the last one may go on in the next batch
+                yield batch(found[:-1])
+                del found[:-1]
+        if found:
+            yield batch(found)
+
+    return rows.mapInArrow(run, schema)
+
+
+def match_predictions(predictions: DataFrame, truth: DataFrame, thresholds: tuple = THRESHOLDS) -> DataFrame:
+    """(threshold, image_id, class_id, pred_id, confidence, hit): match_masks with a row for each threshold."""
+    masks = match_masks(predictions, truth, thresholds)
+    each = F.array(*[F.struct(F.lit(float(x)).alias("threshold"), _bit(i).alias("hit")) for i, x in enumerate(sorted(thresholds))])
+    return masks.select("image_id", "class_id", "pred_id", "confidence", F.explode(each).alias("x")).select("image_id", "class_id", "pred_id", "confidence", "x.threshold", "x.hit")
 
-    def take(acc, x):
-        free = F.filter(x["c"], lambda c: (c["iou"] >= F.col("threshold")) & ~F.array_contains(acc["used"], c["truth_id"]))
-        hit = F.size(free) > 0
-        used = F.when(hit, F.concat(acc["used"], F.array(F.get(free, F.lit(0))["truth_id"]))).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
-    hits = per.select(*key, "threshold", "ps", F.aggregate("ps", start, take)["hits"].alias("hits"))
-    rows = hits.select(*key, "threshold", F.explode(F.zip_with("ps", "hits", lambda x, h: F.struct(x["pred_id"].alias("pred_id"), x["confidence"].alias("confidence"), h.alias("hit")))).alias("m"))
-    return rows.select(*key, "m.pred_id", "m.confidence", "threshold", "m.hit")
+def _bit(i: int) -> Column:
+    return F.col("hits").bitwiseAND(F.lit(1 << i)) != 0
 
 
 def precision_recall(matched: DataFrame, truth: DataFrame) -> DataFrame:
-    """(class_id, threshold, confidence, tp, fp, precision, recall), a point per distinct confidence. The prefix sums run in
-    two passes: over the sums of 1,000 confidence bands, then inside each band, so no task orders all predictions."""
+    """(class_id, threshold, confidence, tp, fp, precision, recall), a point per distinct confidence of
+    matched(class_id, threshold, confidence, hit)."""
+    points = matched.groupBy("class_id", "threshold", "confidence").agg(F.count_if("hit").alias("t"), F.count_if(~F.col("hit")).alias("f"))
+    return _curve(points, truth)
+
+
+def precision_recall_of_masks(masks: DataFrame, truth: DataFrame, thresholds: tuple = THRESHOLDS) -> DataFrame:
+    """precision_recall of match_masks: the hits of all thresholds are counted per distinct confidence before they become
+    rows."""
+    counts = masks.groupBy("class_id", "confidence").agg(F.count("*").alias("n"), *[F.count_if(_bit(i)).alias(f"t{i}") for i in range(len(thresholds))])
+    each = F.array(*[F.struct(F.lit(float(x)).alias("threshold"), F.col(f"t{i}").alias("t"), (F.col("n") - F.col(f"t{i}")).alias("f")) for i, x in enumerate(sorted(thresholds))])
+    return _curve(counts.select("class_id", "confidence", F.explode(each).alias("x")).select("class_id", "x.threshold", "confidence", "x.t", "x.f"), truth)
+
+
+def _curve(points: DataFrame, truth: DataFrame) -> DataFrame:
+    """Points (class_id, threshold, confidence, t, f) with their running sums by descending confidence."""
     key = ["class_id", "threshold"]
-    points = matched.groupBy(*key, "confidence").agg(F.count_if("hit").alias("t"), F.count_if(~F.col("hit")).alias("f")).withColumn("band", F.floor(F.col("confidence") * 1000))
-    bands = points.groupBy(*key, "band").agg(F.sum("t").alias("bt"), F.sum("f").alias("bf"))
-    above = Window.partitionBy(*key).orderBy(F.desc("band"))
-    bands = bands.select(*key, "band", (F.sum("bt").over(above) - F.col("bt")).alias("t0"), (F.sum("bf").over(above) - F.col("bf")).alias("f0"))
-    inside = Window.partitionBy(*key, "band").orderBy(F.desc("confidence"))
-    out = points.withColumn("t1", F.sum("t").over(inside)).withColumn("f1", F.sum("f").over(inside)).join(bands, [*key, "band"])
+    out = running_sums(points, key, [F.desc("confidence")], {"tp": F.col("t"), "fp": F.col("f")})
     out = out.join(truth.groupBy("class_id").agg(F.count("*").alias("n")), "class_id")
-    tp, fp = F.col("t0") + F.col("t1"), F.col("f0") + F.col("f1")
-    return out.select(*key, "confidence", tp.alias("tp"), fp.alias("fp"), (tp / (tp + fp)).alias("precision"), (tp / F.col("n")).alias("recall"))
+    tp, fp = F.col("tp"), F.col("fp")
+    return out.select(*key, "confidence", "tp", "fp", (tp / (tp + fp)).alias("precision"), (tp / F.col("n")).alias("recall"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
@@ -111,7 +158,7 @@ def average_precision(curve: DataFrame) -> DataFrame:
 
 def detection_metrics(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """(class_id, precision, recall, map50, map50_95): precision and recall where F1 at IoU .5 is best."""
-    curve = precision_recall(match_predictions(predictions, truth), truth)
+    curve = written(precision_recall_of_masks(match_masks(predictions, truth), truth), "curve")
     ap = average_precision(curve).groupBy("class_id").agg(F.max(F.when(F.col("threshold") == 0.5, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
     at = curve.where("threshold = 0.5").groupBy("class_id").agg(F.max_by(F.struct("precision", "recall"), F.struct(f1, "confidence")).alias("x"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, is_small_box
 from ..schemas import NEEDS_REVIEW, PASS, PREVIEW_WORDS, REJECT, SPLITS
-from .matching import match_boxes, match_stats, pair_boxes
+from .matching import match_image_boxes, match_stats
 from .quality import label_row_errors
 
 #: A coordinate may differ by this many pixels, and a match's IoU must reach this.
@@ -27,7 +27,7 @@ def box_evidence(images: DataFrame, source: DataFrame, label_rows: DataFrame, si
     """
     judged = label_row_errors(label_rows)
     converted = judged.where("is_box").select("image_id", F.col("line_no").alias("object_index"), ((F.col("xc") - F.col("w") / 2) * F.col("width")).alias("xmin"), ((F.col("yc") - F.col("h") / 2) * F.col("height")).alias("ymin"), ((F.col("xc") + F.col("w") / 2) * F.col("width")).alias("xmax"), ((F.col("yc") + F.col("h") / 2) * F.col("height")).alias("ymax"))
-    stats = match_stats(images, source, converted, match_boxes(pair_boxes(source, converted)))
+    stats = match_stats(images, source, converted, match_image_boxes(source, converted))
     small = source.groupBy("image_id").agg(F.count_if(is_small_box(box(), side)).alias("small"))
     errors = judged.where(F.size("errors") > 0).groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "errors"))), lambda x: x["errors"])).alias("label_errors"))
     out = stats.join(small, "image_id", "left").join(errors, "image_id", "left")

@@ -1,8 +1,10 @@
 """Readers of annotation, image, label, manifest and report files."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.image_headers import headers
 from ..functions.scalars import parse_number, parse_strict_int, path_name, path_stem, path_suffix
 from ..schemas import ANNOTATION_XML, AUDIT_SUFFIXES
 
@@ -31,20 +33,38 @@ def scan_images(spark: SparkSession, path: str, suffixes: tuple = AUDIT_SUFFIXES
     return files.select("path", "length", path_suffix(F.col("path")).alias("suffix")).where(F.col("suffix").isin(*suffixes))
 
 
+def header_facts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, sha256, format, width, height, readable) of images held as bytes, in a folder or in a table. The bytes are
+    read once and pass through one Arrow map, in batches of bounded size; nothing is shuffled.
+
+    Sizes are those that the header states. An image whose header isn't whole (PNG: whose chunks aren't), or a null
+    content, is not readable and has no format and size; a null content has no digest.
+    """
+    src = files.select(F.col(path).alias("path"), F.sha2(content, 256).alias("sha256"), F.col(content).alias("_content"))
+
+    def run(batches):
+        for b in batches:
+            kinds, widths, heights = zip(*headers(b.column(2)), strict=True) if b.num_rows else ((), (), ())
+            columns = [pa.array(kinds, pa.string()), pa.array(widths, pa.int64()), pa.array(heights, pa.int64()), pa.array([k is not None for k in kinds], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["path", "sha256", "format", "width", "height", "readable"])
+
+    return src.mapInArrow(run, "path string, sha256 string, format string, width long, height long, readable boolean")
+
+
 def image_facts(spark: SparkSession, path: str, suffixes: tuple = AUDIT_SUFFIXES) -> DataFrame:
-    """(path, sha256, width, height, readable). Digests and sizes are two narrow scans joined on the path; the
-    bytes never take part in the shuffle."""
+    """header_facts of the image files below a folder, with those of 0 bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    digests = files.where(path_suffix(F.col("path")).isin(*suffixes)).select("path", F.sha2("content", 256).alias("sha256"))
-    sizes = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select(_plain(F.col("image.origin")).alias("_p"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-    out = digests.join(sizes, _plain(F.col("path")) == F.col("_p"), "left").drop("_p")
-    readable = F.coalesce(F.col("width") > 0, F.lit(False))
-    return out.select("path", "sha256", F.when(readable, F.col("width")).alias("width"), F.when(readable, F.col("height")).alias("height"), readable.alias("readable"))
+    known = F.lower(path_suffix(F.col("path"))).isin(*suffixes)
+    empty = empty_files(spark, files).where(known).select("path", F.lit(b"").alias("content"))
+    return header_facts(files.where(known)).unionByName(header_facts(empty))
 
 
-def _plain(path: Column) -> Column:
-    """A path without the differing ways to write its scheme."""
-    return F.regexp_replace(path, "^file:/+", "/")
+def empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(path) of the files of 0 bytes of a binaryFile table. Spark's readers leave them out; they are the paths of its file
+    listing, which the driver holds for every scan, that the scan doesn't return. No content is read for that."""
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "_p string")
+    plain = F.url_decode(F.replace("_p", F.lit("+"), F.lit("%2B")))  # a plus sign is one
+    return listed.select(F.regexp_replace(plain, "^file:///", "file:/").alias("path")).join(files.select("path"), "path", "left_anti")
 
 
 def label_rows(files: DataFrame, path: str = "path", content: str = "value") -> DataFrame:
