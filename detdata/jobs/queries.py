@@ -276,6 +276,17 @@ def _(s):
     return Q.scan_absolute_paths(s.withColumn("content", F.col("content").cast("binary")))
 
 
+@query("scan_path_lines", f"""SELECT bucket, n AS line_no, regexp_extract(line, '{MACHINE}', 1) AS detail FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY page_id, i) AS n FROM
+ (SELECT page_id, CAST(page_id % 8 AS VARCHAR) AS bucket, unnest(string_split_regex(content, '{BREAK}')) AS line, unnest(range(len(string_split_regex(content, '{BREAK}')))) AS i FROM (SELECT path::BIGINT AS page_id, content FROM s))) WHERE regexp_matches(line, '{MACHINE}')""", s=SCAN)
+def _(s):
+    path = new_path(s.sparkSession, "lines")
+    rows = s.select(F.col("path").cast("long").alias("page_id"), "content").withColumn("bucket", F.col("page_id") % 8)
+    # a file for each bucket, its pages in order
+    rows.repartition("bucket").sortWithinPartitions("bucket", "page_id").select("bucket", F.col("content").alias("value")).write.partitionBy("bucket").text(path)
+    found = Q.scan_path_lines(IO.read_text_blocks(s.sparkSession, path))
+    return found.select(F.regexp_extract("path", "bucket=([0-9]+)/", 1).alias("bucket"), "line_no", "detail")
+
+
 STORED = "SELECT image_path AS path FROM (" + V.MANIFEST + ") m WHERE k % 401 <> 0 UNION ALL SELECT concat('images/extra_', image_id) FROM (" + V.MANIFEST + ") m WHERE k % 409 = 0"
 
 
@@ -495,6 +506,18 @@ def _(mem):
     return out.select("group", F.array_join("image_ids", ";").alias("image_ids"), "splits", text("object_counts", lambda v: v.cast("string")), text("xml_dimensions", size), text("image_dimensions", size), "identical_annotations", "xml_dimensions_consistent", "image_dimensions_consistent", "one_split")
 
 
+@query("group_agreement", """SELECT grp AS "group", count(*) AS members, list_sort(list(DISTINCT split)) AS splits, count(DISTINCT fingerprint) = 1 AS identical_annotations, count(DISTINCT (xml_width, xml_height)) = 1 AS xml_dimensions_consistent,
+ count(DISTINCT (width, height)) = 1 AS image_dimensions_consistent, count(DISTINCT split) = 1 AS one_split FROM mem GROUP BY 1""", mem=MEMBERS)
+def _(mem):
+    return R.group_agreement(mem.withColumnRenamed("grp", "group"))
+
+
+@query("duplicate_group_texts", """SELECT grp AS "group", (r - 1) // 3 AS chunk_no, min(image_id) AS first_id, max(image_id) AS last_id, count(*)::INT AS members, string_agg(image_id, ';' ORDER BY image_id) AS image_ids, string_agg(image_id || ':' || object_count, ';' ORDER BY image_id) AS object_counts,
+ string_agg(image_id || ':' || xml_width || ',' || xml_height, ';' ORDER BY image_id) AS xml_dimensions, string_agg(image_id || ':' || width || ',' || height, ';' ORDER BY image_id) AS image_dimensions FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY image_id) AS r FROM mem) GROUP BY 1, 2""", mem=MEMBERS)
+def _(mem):
+    return R.duplicate_group_texts(mem.withColumnRenamed("grp", "group"), 3)
+
+
 def _baseline(mem):
     return R.group_baseline_compare(mem.select(F.col("grp").alias("group"), "image_id", "split", "fingerprint", "label_errors", F.col("object_count").alias("source_count"), F.col("object_count").alias("converted_count"), F.col("zero").alias("unmatched_source"), F.col("zero").alias("unmatched_converted"), F.lit(None).cast("double").alias("max_delta"), F.lit(None).cast("double").alias("min_iou")))
 
@@ -820,11 +843,13 @@ def _(m, images):
     return IO.read_manifest(m.sparkSession, path, ("image_id", "split"))
 
 
-@query("labels_round_trip", "SELECT m.image_id, m.split, coalesce(n, 0) AS n_lines FROM m LEFT JOIN (SELECT image_id, count(*) AS n FROM labels GROUP BY 1) l ON l.image_id = m.image_id", m=V.MANIFEST, labels=V.LABELS)
+@query("labels_round_trip", """SELECT m.image_id, m.split, coalesce(t, '') AS label_text, coalesce(n, 0) AS n_rows FROM m LEFT JOIN (SELECT image_id, string_agg(printf('%d %.17g %.17g %.17g %.17g', class_id, xc, yc, w, h) || chr(10), '' ORDER BY line_no) AS t, count(*) AS n FROM labels GROUP BY 1) l ON l.image_id = m.image_id""", m=V.MANIFEST, labels=V.LABELS)
 def _(m, labels):
     path = new_path(m.sparkSession, "labels")
     K.write_labels(labels, m, path)
-    return m.sparkSession.read.parquet(path).select("image_id", "split", F.regexp_count("label_text", F.lit("\n")).cast("long").alias("n_lines"))
+    texts = m.sparkSession.read.parquet(path).select("image_id", "split", "label_text")
+    rows = IO.label_boxes(IO.label_rows(texts, "image_id", "label_text")).where("n_values = 5 and class_id is not null and h is not null").groupBy(F.col("path").alias("image_id")).agg(F.count("*").alias("n"))
+    return texts.join(rows, "image_id", "left").select("image_id", "split", "label_text", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 @query("findings_round_trip", f"""SELECT category, path, detail FROM (SELECT 'invalid_boxes' AS category, image_id AS path, {PROBLEMS} AS detail FROM boxes WHERE NOT ({VALID})

@@ -1,6 +1,6 @@
 """Checks of label rows, manifests and splits."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import yolo_to_pixels
@@ -83,6 +83,28 @@ def scan_absolute_paths(files: DataFrame, path: str = "path", content: str = "co
     return lines.where(F.col("line").rlike(pattern)).select("path", (F.col("p") + 1).alias("line_no"), F.regexp_extract("line", pattern, 0).alias("detail")).unionByName(bad)
 
 
+def scan_path_lines(lines: DataFrame, pattern: str = MACHINE_PATH) -> DataFrame:
+    """scan_absolute_paths of read_text_blocks(path, block, line): files are scanned in parts, by as many tasks as they have
+    blocks, and lines get their numbers in the whole file.
+
+    A line's place in its block is told by the rising row number that its task gives it. Each block becomes one row, with
+    its lines counted and its hits, which are part of one block's text; what the blocks before it hold is a running sum
+    over the few rows of a file. Line ends are \\n, \\r and \\r\\n. A file with a line that is not UTF-8 gives one row, with
+    line 0, and no other.
+    """
+    good = F.is_valid_utf8("line")
+    rows = lines.withColumn("_id", F.monotonically_increasing_id())
+    hit = F.when(good & F.col("line").rlike(pattern), F.struct("_id", F.regexp_extract("line", pattern, 0).alias("detail")))
+    blocks = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("_id").alias("first"), F.count_if(~good).alias("bad"), F.collect_list(hit).alias("hits"))
+    whole = Window.partitionBy("path")
+    earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("bad", F.sum("bad").over(whole))
+    found = blocks.where("bad = 0").select("path", "before", "first", F.explode("hits").alias("h"))
+    found = found.select("path", (F.col("before") + F.col("h._id") - F.col("first") + 1).alias("line_no"), "h.detail")
+    bad = blocks.where("bad > 0").select("path").distinct().select("path", F.lit(0).cast("long").alias("line_no"), F.lit("not UTF-8").alias("detail"))
+    return found.unionByName(bad)
+
+
 def manifest_file_diff(manifest: DataFrame, files: DataFrame, column: str) -> DataFrame:
     """(path, issue): paths of the manifest that are not stored, and stored ones that it lacks."""
     listed, stored = manifest.select(F.col(column).alias("path")).distinct(), files.select("path").distinct()

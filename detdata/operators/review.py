@@ -8,6 +8,7 @@ from ..functions.geometry import box, is_small_box
 from ..schemas import NEEDS_REVIEW, PASS, PREVIEW_WORDS, REJECT, SPLITS
 from .matching import match_image_boxes, match_stats
 from .quality import label_row_errors
+from .running import ranked
 
 #: A coordinate may differ by this many pixels, and a match's IoU must reach this.
 MAX_DELTA, MIN_IOU = 1.0, 0.99
@@ -171,17 +172,42 @@ def fingerprint_groups(members: DataFrame) -> DataFrame:
     return members.join(per, "group")
 
 
-def compare_duplicate_annotations(members: DataFrame) -> DataFrame:
-    """members(group, image_id, split, object_count, fingerprint, xml_width, xml_height, width, height) → per group: the
-    ids, splits, and maps from id to object count, XML size and image size; and whether annotations, XML sizes, image
-    sizes and splits agree.
+def group_agreement(members: DataFrame) -> DataFrame:
+    """members(group, image_id, split, object_count, fingerprint, xml_width, xml_height, width, height) → per group its
+    number of members and splits, and whether annotations, XML sizes, image sizes and splits agree. A group of any size is
+    one row of fixed size, added up where its members lie."""
+    one = lambda c: F.min(c) == F.max(c)
+    return members.groupBy("group").agg(F.count("*").alias("members"), F.array_sort(F.collect_set("split")).alias("splits"), one("fingerprint").alias("identical_annotations"), one(F.struct("xml_width", "xml_height")).alias("xml_dimensions_consistent"), one(F.struct("width", "height")).alias("image_dimensions_consistent"), one("split").alias("one_split"))
+
+
+def group_texts(members: DataFrame, items: dict[str, Column], chunk: int = 1000) -> DataFrame:
+    """(group, chunk_no from 0, first_id, last_id, members, a text for each item): the running texts of a group, its
+    members' items in the order of image_id joined by `;`, cut into numbered chunks of `chunk` members. The texts of a
+    group's chunks, joined in order, are what one text of the whole group would be.
 
-    A group's maps are values of some 50 bytes a member, so they hold groups of millions at most; where groups may be
-    larger, the same facts are the rows of members.
+    Members get their place by range (running sums), not by gathering a group, so a group of any size passes; no value
+    holds more than `chunk` members. Equal image_ids in a group are in the order of their items.
+    """
+    rows = members.select("group", "image_id", *[c.alias(n) for n, c in items.items()])
+    rows = ranked(rows, ["group"], [F.col("image_id"), *[F.col(n) for n in items]], "_place").withColumn("chunk_no", F.floor((F.col("_place") - 1) / chunk))
+    held = rows.groupBy("group", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("_place", "image_id", *items))).alias("_m"))
+    text = lambda n: F.array_join(F.transform("_m", lambda x: x[n]), ";").alias(n)
+    return held.select("group", "chunk_no", F.get("_m", F.lit(0))["image_id"].alias("first_id"), F.element_at("_m", -1)["image_id"].alias("last_id"), F.size("_m").alias("members"), *[text(n) for n in items])
+
+
+def duplicate_group_texts(members: DataFrame, chunk: int = 1000) -> DataFrame:
+    """group_texts of what compare_duplicate_annotations holds: ids, object counts, XML sizes and image sizes."""
+    of = lambda *parts: F.concat(F.col("image_id"), F.lit(":"), F.concat_ws(",", *[F.col(p).cast("string") for p in parts]))
+    return group_texts(members, {"image_ids": F.col("image_id"), "object_counts": of("object_count"), "xml_dimensions": of("xml_width", "xml_height"), "image_dimensions": of("width", "height")}, chunk)
+
+
+def compare_duplicate_annotations(members: DataFrame) -> DataFrame:
+    """group_agreement with, per group, the ids and maps from id to object count, XML size and image size: the form of a
+    report. A group's maps are values of some 50 bytes a member, so they hold groups of millions at most; for groups of any
+    size there are group_agreement and duplicate_group_texts.
     """
     rows = F.array_sort(F.collect_list(F.struct("image_id", "object_count", F.array("xml_width", "xml_height").alias("xml"), F.array("width", "height").alias("image"))))
-    one = lambda c: F.min(c) == F.max(c)
-    per = members.groupBy("group").agg(rows.alias("_m"), F.array_sort(F.collect_set("split")).alias("splits"), one("fingerprint").alias("identical_annotations"), one(F.struct("xml_width", "xml_height")).alias("xml_dimensions_consistent"), one(F.struct("width", "height")).alias("image_dimensions_consistent"), one("split").alias("one_split"))
+    per = members.groupBy("group").agg(rows.alias("_m")).join(group_agreement(members).drop("members"), "group")
     map_of = lambda field: F.map_from_entries(F.transform("_m", lambda x: F.struct(x["image_id"], x[field])))
     return per.select("group", F.transform("_m", lambda x: x["image_id"]).alias("image_ids"), "splits", map_of("object_count").alias("object_counts"), map_of("xml").alias("xml_dimensions"), map_of("image").alias("image_dimensions"), "identical_annotations", "xml_dimensions_consistent", "image_dimensions_consistent", "one_split")
 
@@ -203,11 +229,16 @@ def group_baseline_compare(members: DataFrame) -> DataFrame:
 
 def with_group_object_counts(compared: DataFrame) -> DataFrame:
     """compared with group_object_counts, `id:count` of all members of its group in order. Each member carries its whole
-    group, as the report does that people read; for machines, object_counts of compare_duplicate_annotations has it once."""
+    group, as the report does that people read, so a group costs the square of its size; group_object_count_texts has it once."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image_id", "source_count"))), lambda x: F.concat(x["image_id"], F.lit(":"), x["source_count"].cast("string"))), ";")
     return compared.join(compared.groupBy("group").agg(text.alias("group_object_counts")), "group")
 
 
+def group_object_count_texts(compared: DataFrame, chunk: int = 1000) -> DataFrame:
+    """The group_object_counts of with_group_object_counts once per group, in numbered chunks; groups of any size."""
+    return group_texts(compared, {"group_object_counts": F.concat("image_id", F.lit(":"), F.col("source_count").cast("string"))}, chunk)
+
+
 def duplicate_review_summary(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count_distinct("group").alias("groups"), F.count("*").alias("images"), F.coalesce(F.bool_and("conversion_valid"), F.lit(True)).alias("all_valid"), F.coalesce(F.bool_and(~F.col("blocking")), F.lit(True)).alias("none_blocking"))
 

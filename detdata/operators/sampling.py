@@ -1,8 +1,11 @@
 """Risk-focused, repeatable samples for human review. Seeded order is md5(seed:id), so samples agree everywhere; they
 keep the quotas and strata of a seeded random draw, not the rows of a particular generator."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import seeded_order
 
@@ -14,16 +17,36 @@ MAX_LISTS = 100_000
 
 
 def top_by_risk(images: DataFrame, rules: tuple = RISK_RULES) -> DataFrame:
-    """(rule_no, image_id, reason, rank): the top rows of each rule, ties by image_id, images without boxes last. The
-    small-box rule is cut before its zero rows go. Each is a bounded heap per partition, no sort of the table."""
-    out = None
-    for no, (reason, column, k, positive) in enumerate(rules):
-        order = [F.col(column).desc_nulls_last(), F.col("image_id")]
-        top = images.select("image_id", column).orderBy(*order).limit(k)
-        part = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where((F.col(column) > 0) if positive else F.lit(True))
-        part = part.select(F.lit(no).alias("rule_no"), "image_id", F.lit(reason).alias("reason"), "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(rule_no, image_id, reason, rank): the top rows of each rule, ties by image_id, images without boxes (null, or NaN)
+    last. The small-box rule is cut before its zero rows go.
+
+    All rules are served by one scan: a task holds the best rows of each, as many as the rule asks for, and puts each batch
+    to them; what the tasks hold at their ends is ranked together.
+    """
+    columns = list(dict.fromkeys(c for _, c, _, _ in rules))
+    src = images.select("image_id", *columns)
+    kind = to_arrow_type(src.schema["image_id"].dataType)
+
+    def run(batches):
+        best: list[pa.Table | None] = [None] * len(rules)
+        for b in batches:
+            for no, (_, column, k, _) in enumerate(rules):
+                rows = pa.table({"image_id": b.column("image_id"), "v": pc.cast(b.column(column), pa.float64())})
+                rows = rows if best[no] is None else pa.concat_tables([best[no], rows])
+                order = pc.sort_indices(rows, sort_keys=[("v", "descending"), ("image_id", "ascending")], null_placement="at_end")
+                best[no] = rows.take(order[:k])
+        for no, rows in enumerate(best):
+            if rows is not None:
+                yield from rows.cast(pa.schema([("image_id", kind), ("v", pa.float64())])).append_column("rule_no", pa.array([no] * len(rows), pa.int32())).to_batches()
+
+    id_kind = src.schema["image_id"].dataType.simpleString()
+    held = src.mapInArrow(run, f"image_id {id_kind}, v double, rule_no int")
+    order = Window.partitionBy("rule_no").orderBy(F.when(~F.isnan("v"), F.col("v")).desc_nulls_last(), F.col("image_id").asc_nulls_last())
+    most = F.element_at(F.array(*[F.lit(k) for _, _, k, _ in rules]), F.col("rule_no") + 1)
+    reason = F.element_at(F.array(*[F.lit(r) for r, _, _, _ in rules]), F.col("rule_no") + 1)
+    positive = F.element_at(F.array(*[F.lit(x) for _, _, _, x in rules]), F.col("rule_no") + 1)
+    top = held.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= most) & (~positive | F.coalesce(F.col("v") > 0, F.lit(False))))
+    return top.select("rule_no", "image_id", reason.alias("reason"), "rank")
 
 
 def duplicate_members(members: DataFrame, limit: int | None = None) -> DataFrame:

@@ -134,7 +134,8 @@ def read_epoch_results(spark: SparkSession, path: str, names: dict[str, tuple[st
 
 def read_previous_review(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, review_status, reviewer_notes): the last row of each id, in file order; blank ids go."""
-    rows = spark.read.csv(path, header=True).withColumn("_n", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    # a row's place: file, block of the file, row of the block
+    rows = spark.read.csv(path, header=True).withColumn("_n", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     rows = rows.where(F.coalesce(F.trim("image_id"), F.lit("")) != "")
     return rows.groupBy("image_id").agg(*[F.max_by(F.coalesce(F.col(c), F.lit("")), "_n").alias(c) for c in ("review_status", "reviewer_notes")])
 
@@ -144,6 +145,13 @@ def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def read_text_blocks(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, block, line) of text files below a folder; large files are read in blocks, a block being named by its first
+    byte. Lines of a block come in their order, in one task."""
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+
+
 def provenance(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, length, sha256) of the files a run depends on."""
     return spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))

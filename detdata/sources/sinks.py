@@ -1,6 +1,12 @@
 """Writers. The default mode refuses to overwrite; sorting and text formats happen only here."""
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import reasons_text, six_decimals
@@ -18,10 +24,18 @@ def write_findings(findings: DataFrame, path: str, mode: str = SAFE) -> None:
         dealt.where(F.col("category") == category).select("path", "detail").orderBy("path", "detail").write.mode(mode).csv(f"{path}/{category}", header=True)
 
 
+def _label_line(class_id: pd.Series, xc: pd.Series, yc: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+    """Lines with 17 significant digits a number, which read back as the very same number. Spark has no such format: its
+    own text of a double is the shortest that does so."""
+    return pd.Series(["%d %.17g %.17g %.17g %.17g" % t for t in zip(*(c.tolist() for c in (class_id, xc, yc, w, h)), strict=True)], dtype=object)
+
+
 def label_texts(labels: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, split, label_text): a line `0 xc yc w h` per box in order; images without boxes get empty text."""
-    line = F.concat_ws(" ", F.col("class_id").cast("string"), *[F.col(c).cast("string") for c in ("xc", "yc", "w", "h")])
-    per = labels.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("t")))).alias("ls"))
+    """(image_id, split, label_text): a line `0 xc yc w h` per box in order, numbers as %.17g writes them; images without
+    boxes get empty text, and a box with a null no line."""
+    line = F.pandas_udf(_label_line, "string")("class_id", "xc", "yc", "w", "h")
+    lines = labels.dropna(subset=["class_id", "xc", "yc", "w", "h"]).select("image_id", "line_no", line.alias("t"))
+    per = lines.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "t"))).alias("ls"))
     text = F.array_join(F.transform("ls", lambda x: F.concat(x["t"], F.lit("\n"))), "")
     return images.select("image_id", "split").join(per, "image_id", "left").select("image_id", "split", F.coalesce(text, F.lit("")).alias("label_text"))
 
@@ -52,3 +66,55 @@ def write_reviews(reviews: DataFrame, path: str, mode: str = SAFE) -> None:
 
 def write_summary(summary: DataFrame, path: str, mode: str = SAFE) -> None:
     summary.coalesce(1).write.mode(mode).json(path)  # one row
+
+
+#: The record that a run is complete, beside its results.
+COMPLETE = "RUN_COMPLETE.json"
+
+
+@contextmanager
+def published_run(spark: SparkSession, path: str, overwrite: bool = False, **facts) -> Iterator[str]:
+    """A folder to write a run's results to. It stands beside `path` and takes its name when the block ends well; then the
+    record COMPLETE, with the given facts, is put into it. If the block fails, the folder goes and `path` stays as it was.
+
+    A run at `path` with that record is complete and is never replaced, with overwrite neither: FileExistsError. One
+    without it was left half-written, and gives way if overwrite is set, else FileExistsError. Of two writers that end at
+    the same time one gets FileExistsError, as renaming and creating the record fail if the name is there.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    record = jvm.org.apache.hadoop.fs.Path(at, COMPLETE)
+    stage = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}-{uuid.uuid4().hex}")
+
+    def refuse() -> None:
+        if fs.exists(record):
+            raise FileExistsError(f"{path} holds a complete run, which is not replaced")
+        if fs.exists(at) and not overwrite:
+            raise FileExistsError(f"{path} holds an unfinished run; move it, choose another name or set overwrite")
+
+    refuse()
+    try:
+        yield stage.toString()
+        refuse()
+        fs.mkdirs(stage)
+        if fs.exists(at):
+            fs.delete(at, True)
+        # a plain rename would move the folder into one of that name
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(stage), fs.makeQualified(at), none)
+        except Exception as e:
+            if fs.exists(at):
+                raise FileExistsError(f"{path} was written by another run meanwhile") from e
+            raise
+        out = fs.create(record, False)
+        out.write(bytearray(json.dumps(facts, sort_keys=True).encode()))
+        out.close()
+    finally:
+        fs.delete(stage, True)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    record = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"), COMPLETE)
+    return record.getFileSystem(spark._jsc.hadoopConfiguration()).exists(record)
