@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import written
+from .common import lean, written
 
 WORDS64, BLOCKS, RADIUS = 2, 8, 31
 CHUNK, CHUNK_ITEMS = 1_000_000, 2_048
@@ -179,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     out = None
     for c in range(chunks):
         items = _words_of([(r["i"], r["t"]) for r in parts.where(F.col("c") == c).select("i", "t").distinct().collect()])
-        found = src.mapInArrow(_scan(items, k, num, den, radius, doc_id, item_id), out_schema)
+        found = src.mapInArrow(lean(_scan(items, k, num, den, radius, doc_id, item_id)), out_schema)
         if chunks > 1:  # so that no plan holds all items
             found = written(found, "contaminated")
         out = found if out is None else out.unionByName(found)

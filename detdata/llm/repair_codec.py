@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import lean, new_path
 from .pieces import encoder
 
 SHARD = 1 << 20
@@ -207,7 +207,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
 
     ordered = src.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
     schema = f"part int, shard int, inside long, doc_ids array<{kind.simpleString()}>, doc_tokens array<long>, doc_symbols array<long>, base int, rules binary, rule_lengths binary, symbols binary, n_tokens long"
-    ordered.mapInArrow(_shards(tokenizer, end_id, to_arrow_type(kind), size), schema).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(lean(_shards(tokenizer, end_id, to_arrow_type(kind), size)), schema).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -239,7 +239,7 @@ def decoded(shards: DataFrame, doc_id: str = "doc_id", with_ids: bool = False) -
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    out = shards.select(*cols).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    out = shards.select(*cols).mapInArrow(lean(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return out.withColumnRenamed("doc_id", doc_id)
 
 

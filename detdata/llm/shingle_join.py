@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import scratch, within, written
+from .common import lean, scratch, within, written
 from .components import components
 
 FRAGMENTS = 16
@@ -130,7 +130,7 @@ def shingle_sets(docs: DataFrame, text: str, k: int, carry: list[Column]) -> Dat
                     first, n, a, c, bits, sets, size = i + 1, [], [], [], [], [], 0
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{fields}, n_shingles long, sig long, sig2 long, bits array<long>, hot array<struct<t: long, c: long>>")
+    return src.mapInArrow(lean(run), f"{fields}, n_shingles long, sig long, sig2 long, bits array<long>, hot array<struct<t: long, c: long>>")
 
 
 def segment_keys(docs: DataFrame, text: str, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
@@ -158,7 +158,7 @@ def segment_keys(docs: DataFrame, text: str, k: int, num: int, den: int, hot: np
         if out:
             yield _rows(out)
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "key long, sig long")
+    return docs.select(F.col(text).alias("_text")).mapInArrow(lean(run), "key long, sig long")
 
 
 def _rows(out) -> pa.RecordBatch:
@@ -199,7 +199,7 @@ def _segments(rows: DataFrame, k: int, names: list[str]) -> DataFrame:
             if at:
                 yield packed(b, at, frag, seg)
 
-    return rows.select(*names, "_text").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", fragment int, segment array<long>")
+    return rows.select(*names, "_text").mapInArrow(lean(run), ", ".join(f"{n} long" for n in names) + ", fragment int, segment array<long>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
