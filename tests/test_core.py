@@ -241,7 +241,7 @@ def test_files(spark, tmp_path):
         K.write_findings(found, str(tmp_path / "out"))
     lab = spark.createDataFrame([("a", 2, 0, 0.5, 0.5, 0.1, 0.1), ("a", 1, 0, 0.25, 0.5, 0.1, 0.1)], "image_id string, line_no int, class_id int, xc double, yc double, w double, h double")
     im = spark.createDataFrame([("a", "train"), ("b", "val")], "image_id string, split string")
-    assert {r["image_id"]: r["label_text"] for r in K.label_texts(lab, im).collect()} == {"a": "0 0.25 0.5 0.1 0.1\n0 0.5 0.5 0.1 0.1\n", "b": ""}
+    assert {r["image_id"]: r["label_text"] for r in K.label_texts(lab, im).collect()} == {"a": "0 0.25 0.5 0.10000000000000001 0.10000000000000001\n0 0.5 0.5 0.10000000000000001 0.10000000000000001\n", "b": ""}
     K.write_labels(lab, im, str(tmp_path / "labels"))
     bad = spark.createDataFrame([("f", b"ok\nsee /home/me/x"), ("g", b"\xff\xfe")], "path string, content binary")
     assert sorted((r["path"], r["line_no"]) for r in Q.scan_absolute_paths(bad).collect()) == [("f", 2), ("g", 0)]
