@@ -11,7 +11,8 @@ its token's chain: it is article text, it is none (menus, headers, footers, side
 comments), or it is neither. Of a page with an article, its article slots are extracted; of others the slots that are
 not ruled out, without the texts that are template tokens themselves. Elements that the template lacks, because few
 pages have them, are named by themselves, and so are pages of hosts without a template. Inside an article no text is
-dropped because it repeats.
+dropped because it repeats, but for one case: a container whose class or id has a telling word only as a part of
+a longer name is doubtful there, and of its texts those go that are template tokens or mostly links.
 
 So what an occurrence vector can't tell, whether a slot that differs from page to page is an article, an advert or a
 comment, the names of elements, classes, ids and roles tell; the template tells slots from fixed texts.
@@ -54,7 +55,10 @@ CLOSES_P = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "t
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: The rest of a tag; a ">" inside quotes does not end it. Possessive, so that nothing is tried twice.
 _REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: An attribute with its value, so that no value is taken for attributes.
+_ATTR = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+#: End tags of raw elements; only A-Z fold, so that places in the page stay what they are.
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 _SPACE, _DIGIT, _NAME = re.compile(r"\s+"), re.compile(r"\d"), re.compile(r"[a-z]+")
 #: Elements that a new one of a group closes, and those that it does not reach beyond.
 _GROUPS = {"li": ("li",), "option": ("option",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
@@ -72,23 +76,34 @@ def tag_token(chain: int, tag: str) -> int:
 
 
 @functools.lru_cache(maxsize=20_000)
-def _read_tag(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """(the tag with its class, id and role, outside, article)."""
-    names = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
+def _read_short_tag(name: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    return _read_tag(name, attrs)
+
+
+def _read_tag(name: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """(the tag with its class, id and role, outside, article, doubtful). A class or id that is an outside word rules a
+    container out; one that has such a word among others ("post-share-header") makes it doubtful."""
+    names: dict[str, str] = {}
+    for k, a, b, c in _ATTR.findall(attrs) if attrs else ():
+        if (k := k.lower()) in ("class", "id", "role"):
+            names.setdefault(k, (a or b or c).lower())  # of two of a name, the first holds
     tag = " ".join([name, *(f"{k}={v}" for k, v in sorted(names.items()) if not _DIGIT.search(v))])
-    words = set(_NAME.findall(names.get("class", "") + " " + names.get("id", "")))
+    whole = (names.get("class", "") + " " + names.get("id", "")).split()
     article = name in ("article", "main") or names.get("role") in ARTICLE_ROLES
-    outside = (bool(words & OUTSIDE_WORDS) or names.get("role") in OUTSIDE_ROLES or name in OUTSIDE) and name not in ("html", "body")
-    return tag, outside, article and not outside
+    known = name not in ("html", "body")
+    outside = known and (any(w in OUTSIDE_WORDS for w in whole) or names.get("role") in OUTSIDE_ROLES or name in OUTSIDE)
+    doubtful = known and not outside and not article and any(not OUTSIDE_WORDS.isdisjoint(_NAME.findall(w)) for w in whole)
+    return tag, outside, article and not outside, doubtful
 
 
 class Block:
-    """A block's text, whether it stands in an article and in an outside container, and the slot it is in."""
+    """A block's text, whether it stands in an article, in an outside and in a doubtful container, the slot it is in, and
+    whether at least half of it is link text."""
 
-    __slots__ = ("article", "outside", "slot", "text")
+    __slots__ = ("article", "doubtful", "links", "outside", "slot", "text")
 
-    def __init__(self, text, article, outside, slot):
-        self.text, self.article, self.outside, self.slot = text, article, outside, slot
+    def __init__(self, text, article, outside, doubtful, slot, links):
+        self.text, self.article, self.outside, self.doubtful, self.slot, self.links = text, article, outside, doubtful, slot, links
 
 
 class _Open:
@@ -96,26 +111,28 @@ class _Open:
 
     def __init__(self, known):
         self.known, self.stack, self.at, self.blocks = known, [], {}, []
-        self.outside = self.article = 0
+        self.outside = self.article = self.doubtful = 0
 
-    def push(self, name: str, token: int, outside: bool, article: bool) -> None:
+    def push(self, name: str, token: int, outside: bool, article: bool, doubtful: bool) -> None:
         slot = token if token in self.known else self.stack[-1][4] if self.stack else None
         self.at.setdefault(name, []).append(len(self.stack))
         if name not in INLINE:
             self.blocks.append(len(self.stack))
-        self.stack.append((name, token, outside, article, slot))
+        self.stack.append((name, token, outside, article, slot, doubtful))
         self.outside += outside
         self.article += article
+        self.doubtful += doubtful
 
     def cut(self, size: int) -> None:
         """Closes all but the first `size` elements."""
         while len(self.stack) > size:
-            name, _, outside, article, _ = self.stack.pop()
+            name, _, outside, article, _, doubtful = self.stack.pop()
             self.at[name].pop()
             if name not in INLINE:
                 self.blocks.pop()
             self.outside -= outside
             self.article -= article
+            self.doubtful -= doubtful
 
     def last(self, *names: str) -> int:
         return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
@@ -128,26 +145,31 @@ class _Open:
         if self.outside:
             kept = [s for s in self.stack if not s[2] or s[0] in ("article", "main", "section", "div")]
             self.cut(0)
-            for name, token, outside, article, _ in kept:
-                self.push(name, token, outside, article)
+            for name, token, outside, article, _, doubtful in kept:
+                self.push(name, token, outside, article, doubtful)
 
 
 def parse(page: str, known=frozenset()) -> tuple[list[Block], list[tuple[int, int]]]:
     """Blocks of a page, with the tokens of `known` as slots, and its tokens (number, label), in order. Unclosed elements
     end with their parents. Takes time in proportion to the page, however it is nested or broken."""
     blocks, tokens, parts, open_ = [], [], [], _Open(known)
+    linked = 0  # characters of parts inside links
 
     def flush():
+        nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
+            raw = "".join(parts)
+            text = _SPACE.sub(" ", _html.unescape(raw)).strip()
             parts.clear()
             if text:
                 slot = open_.stack[-1][4] if open_.stack else None
-                blocks.append(Block(text, open_.article > 0, open_.outside > 0, slot))
-                if not open_.article and not open_.outside:
+                blocks.append(Block(text, open_.article > 0, open_.outside > 0, open_.doubtful > 0, slot, 2 * linked >= len(raw)))
+                if not open_.outside and (not open_.article or open_.doubtful):
                     tokens.append((text_token(text), TEXT))
+            linked = 0
 
-    at, size, low, quotes = 0, len(page), None, True
+    at, size, quotes = 0, len(page), True
+    endless: set[str] = set()  # raw elements without a further end tag
     while at < size:
         tag = page.find("<", at)
         if tag < 0:
@@ -155,6 +177,8 @@ def parse(page: str, known=frozenset()) -> tuple[list[Block], list[tuple[int, in
             break
         if tag > at:
             parts.append(page[at:tag])
+            if open_.at.get("a"):
+                linked += tag - at
         at = tag
         if page.startswith("<!--", at):
             end = page.find("-->", at + 4)
@@ -190,7 +214,9 @@ def parse(page: str, known=frozenset()) -> tuple[list[Block], list[tuple[int, in
             if where >= 0 and not (name in INLINE and where < open_.last_block()):  # an inline end tag doesn't close blocks
                 open_.cut(where)
             continue
-        text, outside, article = _read_tag(name, attrs if len(attrs) < 500 else attrs[:500])
+        text, outside, article, doubtful = _read_short_tag(name, attrs) if len(attrs) < 500 else _read_tag(name, attrs)
+        if doubtful and not open_.article:  # only inside an article does one word of several need more support
+            outside, doubtful = True, False
         chain = open_.stack[open_.last_block()][1] if open_.blocks else 0
         token = chain if name in INLINE else tag_token(chain, text)
         if name in VOID or attrs.endswith("/") and name not in INLINE and name not in OUTSIDE:
@@ -198,14 +224,14 @@ def parse(page: str, known=frozenset()) -> tuple[list[Block], list[tuple[int, in
                 tokens.append((token, (OUTSIDE_BIT if open_.outside else 0) | (ARTICLE if open_.article else 0)))
             continue
         if name in RAW:
-            if low is None:
-                low = page.lower()
-            end = low.find("</" + name, at)
-            close = page.find(">", end) if end >= 0 else -1
-            if end < 0 and name in ("script", "style"):
-                break
-            if end >= 0:
-                at = close + 1 if close >= 0 else size
+            found = None if name in endless else _ENDS[name].search(page, at)
+            if found is None:
+                endless.add(name)
+                if name in ("script", "style"):
+                    break
+                continue
+            close = page.find(">", found.start())
+            at = close + 1 if close >= 0 else size
             continue
         if name in CLOSES_P:
             last = open_.last_block()
@@ -221,7 +247,7 @@ def parse(page: str, known=frozenset()) -> tuple[list[Block], list[tuple[int, in
             chain = open_.stack[open_.last_block()][1] if open_.blocks else 0
             token = tag_token(chain, text)
             tokens.append((token, (OUTSIDE_BIT if open_.outside or outside else 0) | (ARTICLE if open_.article or article else 0)))
-        open_.push(name, token, outside, article)
+        open_.push(name, token, outside, article, doubtful)
     flush()
     return blocks, tokens
 
@@ -285,7 +311,7 @@ def main_text(page: str, known=frozenset(), slots=frozenset(), repeated=frozense
     """The text of a page by its host's template: its tag tokens, those of them whose slots are extracted, and the texts
     that are tokens themselves. What stands in no slot of the template is named by the page alone."""
     blocks, tokens = parse(page, known)
-    inside = [b for b in blocks if not b.outside and (b.slot is None or b.slot in slots)]
+    inside = [b for b in blocks if not b.outside and (b.slot is None or b.slot in slots) and not (b.article and b.doubtful and (b.links or text_token(b.text) in repeated))]
     if any(mark & ARTICLE for _, mark in tokens):
         return "\n".join(b.text for b in inside if b.article)
     return "\n".join(b.text for b in inside if text_token(b.text) not in repeated)
