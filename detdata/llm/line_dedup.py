@@ -130,12 +130,18 @@ def update_filters(filters: DataFrame, old: DataFrame, new: DataFrame, min_docs:
     """filters after counts went from old to new: keys that cross the limit are inserted or deleted.
 
     Shards and buckets are those of the filters; where there are none yet, they are given, or the number of shards
-    follows from the number of new common keys, so that a shard's keys are few."""
+    follows from the number of common keys. Once the common keys are more than PER_SHARD a shard, all filters are built
+    anew from the exact counts, with twice the shards that they need: shards stay small however a state grows, and over
+    its growth each key is dealt again a few times only."""
     a, b = old.select("h", "g", F.col("n").alias("a")), new.select("h", "g", F.col("n").alias("b"))
     moved = a.join(b, ["h", "g"], "full").select("h", (F.coalesce("b", F.lit(0)) >= min_docs).alias("up"), (F.coalesce("a", F.lit(0)) >= min_docs).alias("was")).where("up != was")
     moved = written(moved.select("h", "up"), "moved_keys")
     known = filters.agg(F.max("shards").alias("s"), F.max("buckets").alias("b")).first()
-    shards, buckets = known["s"] or shards or max(1, -(-moved.count() // PER_SHARD)), known["b"] or buckets
+    needed = max(1, -(-new.where(F.col("n") >= min_docs).count() // PER_SHARD))
+    shards, buckets = known["s"] or shards or needed, known["b"] or buckets
+    if known["s"] and needed > shards:
+        shards, filters = 2 * needed, filters.limit(0)
+        moved = written(new.where(F.col("n") >= min_docs).select("h", F.lit(True).alias("up")), "moved_keys")
 
     def change(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         f = CuckooFilter(list(left["tables"].iloc[0]) if len(left) else None, buckets)
@@ -185,7 +191,9 @@ def _asked(lines: DataFrame, filters: DataFrame, keep: list[str], chunk_mb: floa
 def drop_common(docs: DataFrame, counts: DataFrame, filters: DataFrame, min_docs: int, doc_id: str = "doc_id", text: str = "text", min_chars: int = 1, chunk_mb: float = CHUNK_MB) -> DataFrame:
     """(doc_id, kept, n_lines, n_dropped) of each row of docs."""
     shards = filters.agg(F.max("shards").alias("s")).first()["s"]
-    lines = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_t"), F.posexplode(_keys(F.col(text))).alias("pos", "k")).where(F.length("k") >= min_chars)
+    # hashed before the lines are dealt out, or each line would carry the whole text along
+    named = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+    lines = named.select("_id", "_t", F.posexplode(_keys(F.col("_text"))).alias("pos", "k")).where(F.length("k") >= min_chars)
     lines = lines.select("_id", "_t", "pos", *_hashes(F.col("k")))
     lines = _asked(lines.withColumn("shard", _shard(shards or 1)), filters, ["_id", "_t", "pos", "h", "g"], chunk_mb)
     common = counts.where(F.col("n") >= min_docs).select("h", "g")
@@ -193,7 +201,10 @@ def drop_common(docs: DataFrame, counts: DataFrame, filters: DataFrame, min_docs
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text).alias("_t"))
     out = rows.join(gone, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_t") == F.col("_t2")), "left")
     parts = F.split("_text", "\n")
-    left = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    # places that stay by a set difference, then one look-up each: linear in the lines; the lines are split once, as the one element of an array
+    staying = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone"))
+    some = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(staying(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
+    left = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(some)
     return out.select(F.col("_id").alias(doc_id), left.alias("kept"), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

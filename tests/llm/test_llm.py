@@ -397,6 +397,65 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_line_dedup_shards_split(spark, monkeypatch):
+    """A state that starts small and grows a thousandfold keeps its shards small, and its answers right."""
+    monkeypatch.setattr(line_dedup, "PER_SHARD", 40)
+    rows = lambda a, b: [(1000 * c + i, f"line {i}", "a") for i in range(a, b) for c in range(2)]
+    state, held = line_dedup.no_documents(spark, 2), []
+    for a, b in ((0, 4), (4, 60), (60, 900)):
+        held += rows(a, b)
+        state = line_dedup.change_documents(state, table(spark, rows(a, b)), 2)
+        shards = state[1].select("shard", "shards", "tables").collect()
+        keys = state[0].where("n >= 2").select(line_dedup._shard(shards[0]["shards"])).groupBy("shard").count().collect()
+        assert len({r["shards"] for r in shards}) == 1 and sum(r["count"] for r in keys) == b
+        assert max(r["count"] for r in keys) <= 80 and all(len(r["tables"]) == 1 for r in shards)
+        got = line_dedup.drop_common(table(spark, [*held, (77_777, "line 1\nown", "a")]), *state, 2).collect()
+        assert {r["doc_id"] for r in got if r["kept"]} == {77_777} and {r["kept"] for r in got if r["doc_id"] == 77_777} == {"own"}
+    state = line_dedup.change_documents(state, table(spark, held), 2, -1)
+    assert state[0].count() == 0 and all(not r["tables"] for r in state[1].collect())
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    """A text of a million lines, all but a few of them common, is done in seconds: its lines are not compared in pairs."""
+    import time
+
+    lines = [f"l{i % 1000}" if i % 50_000 else f"own {i}" for i in range(1_000_000)]
+    rows = [(1, "\n".join(lines), "a"), (2, "\n".join(f"l{i}" for i in range(1000)), "a")]
+    docs = table(spark, rows)
+    docs.count()
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, min_docs=2).collect()}
+    assert got[1]["kept"] == "\n".join(x for x in lines if x.startswith("own")) and got[1]["n_lines"] == 1_000_000 and got[1]["n_dropped"] == 999_980
+    assert got[2]["kept"] == "" and got[2]["n_dropped"] == 1000
+    assert time.time() - began < 60
+
+
+def test_html_parser_keeps_places_and_attributes():
+    """Letters whose lower case is longer, long attributes, names inside values, and containers named by a compound."""
+    text = lambda body: html_template.main_text(f"<html><body><article>{body}</article></body></html>")
+    for letter in "Iİ":
+        assert text("<p>" + letter * 40 + "</p><script>var a=1;</script><p>Hello world, first</p><p>second para</p>") == letter * 40 + "\nHello world, first\nsecond para"
+    assert text("<p>a</p><SCRIPT>x</scripty></p></Script ><p>b</p><ſcript>c</ſcript>").startswith("a\nb")
+    long = "x" * 600
+    assert text(f'<div data-x="{long}" class="advert"><p>BUY NOW</p></div><p>stays</p>') == "stays"
+    assert text(f'<div data-x="{long}" role="navigation">menu</div><p>stays</p>') == "stays"
+    assert text('<div data-x="class=advert"><p>stays</p></div><div data-class="advert"><p>too</p></div>') == "stays\ntoo"
+    assert text('<div class=advert class="text"><p>gone</p></div><p>stays</p>') == "stays"
+    assert text('<div class="post-share-header"><p>Real article text</p></div><div class="search-results-analysis"><p>More</p></div>') == "Real article text\nMore"
+    assert text('<div class="related-posts"><a href="x">another page</a></div><div class="share-box">on <a>one</a> <a>and two more</a></div><p>stays</p>') == "stays"
+    # a doubtful container outside an article, and one whose text the host's template holds
+    assert html_template.main_text('<div class="site-footer">imprint</div><article><p>a</p></article>') == "a"
+    own, fixed = "an own text", "subscribe to our letter today"
+    page = f'<article><p>{own}</p><div class="letter-signup-box"><p>{fixed}</p></div></article>'
+    assert html_template.main_text(page, repeated=frozenset([html_template.text_token(fixed)])) == own and html_template.main_text(page) == f"{own}\n{fixed}"
+    import time
+
+    for unit in ("<title>", "<svg><p>x", "</title", '<p class="', "<a href=x class=y-share>z"):
+        began = time.time()
+        html_template.parse(unit * 40_000)
+        assert time.time() - began < 20, unit
+
+
 def test_line_dedup_is_reversible(spark):
     """Documents come and go in random batches; the state is always that of the documents that are there."""
     rnd = random.Random(16)
