@@ -671,7 +671,22 @@ def _(items):
     return G.form_split_groups(items)
 
 
-QUERIES["assign_splits"] = lambda spark, sf_dir: G.assign_splits(V.view(spark, sf_dir, ITEMS), RATIOS)
+def _greedy_sql() -> str:
+    """The greedy rule group by group: each to the split that is used least, ties by name."""
+    splits = sorted(RATIOS)
+    held = [f"{c}_{s}" for s in splits for c in ("i", "o", "s")]
+    used = {s: f"4.0::DOUBLE * f.i_{s} / greatest(t.i * {RATIOS[s]}::DOUBLE, 1) + f.o_{s} / greatest(t.o * {RATIOS[s]}::DOUBLE, 1) + f.s_{s} / greatest(t.s * {RATIOS[s]}::DOUBLE, 1)" for s in splits}
+    pick = "CASE WHEN u_test <= u_train AND u_test <= u_val THEN 'test' WHEN u_train <= u_val THEN 'train' ELSE 'val' END"
+    step = ", ".join(f"{c}_{s} + CASE WHEN pick = '{s}' THEN d{c} ELSE 0 END" for s in splits for c in ("i", "o", "s"))
+    return f"""RECURSIVE , {KEYED}, o AS (SELECT *, row_number() OVER (ORDER BY objects DESC, images DESC, small DESC, key) AS n FROM gr), t AS (SELECT sum(images)::DOUBLE AS i, sum(objects)::DOUBLE AS o, sum(small)::DOUBLE AS s FROM gr),
+ f AS (SELECT 0::BIGINT AS n, '' AS pick, {", ".join(f"0::BIGINT AS {h}" for h in held)}
+  UNION ALL SELECT n, pick, {step} FROM (SELECT *, {pick} AS pick FROM (SELECT f.* EXCLUDE (n, pick), o.n, o.images AS di, o.objects AS do_, o.small AS ds, {", ".join(f"{u} AS u_{s}" for s, u in used.items())} FROM f JOIN o ON o.n = f.n + 1, t)))
+ SELECT image_id, pick AS split FROM it JOIN o USING (key) JOIN (SELECT n, pick FROM f) USING (n)""".replace("THEN do ELSE", "THEN do_ ELSE")
+
+
+@query("assign_splits", _greedy_sql(), items=ITEMS)
+def _(items):
+    return G.assign_splits(items, RATIOS)
 
 
 @query("assign_splits_hash", f", {KEYED} SELECT image_id, CASE WHEN u < 0.15 THEN 'test' WHEN u < 0.85 THEN 'train' ELSE 'val' END AS split FROM (SELECT image_id, ('0x' || substr(md5('42:' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM it)", items=ITEMS)
@@ -852,6 +867,41 @@ def _(m, labels):
     return texts.join(rows, "image_id", "left").select("image_id", "split", "label_text", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
+@query("audit_report_round_trip", f"SELECT image_id, path, sha256 AS duplicate_group_id FROM images WHERE readable AND sha256 IN (SELECT sha256 FROM ({GROUPS}))", images=V.IMAGES, ann=V.ANNOTATIONS, boxes=V.BOXES)
+def _(images, ann, boxes):
+    path = new_path(images.sparkSession, "report")
+    findings = written(audit_findings(images, ann, boxes), "findings")
+    K.write_audit_report(findings, A.audit_summary(findings, images, ann, boxes, 10.0), path)
+    return IO.read_audit_duplicates(images.sparkSession, path, images.select("image_id", "path"), lines=True)
+
+
+def _files(images):
+    """A folder of files of some bytes each, named by images; one file for each shard of images."""
+    path = new_path(images.sparkSession, "files")
+    rows = images.select((F.col("k") % 16).alias("shard"), F.concat_ws(" ", "image_id", "k").alias("value"))
+    rows.repartition("shard").sortWithinPartitions("shard", "value").write.partitionBy("shard").text(path)
+    return path
+
+
+@query("read_split_lists", "SELECT concat('part_', CAST(k % 16 AS VARCHAR(9))) AS list_name, image_id FROM images", images=V.IMAGES)
+def _(images):
+    found = IO.read_split_lists(images.sparkSession, _files(images) + "/*")
+    # the writer names its files; the folder holds the list's number
+    return found.select(F.concat(F.lit("part_"), F.regexp_extract("list_path", "shard=([0-9]+)/", 1)).alias("list_name"), "image_id")
+
+
+@query("provenance", "SELECT concat('part_', CAST(k % 16 AS VARCHAR(9))) AS part, sum(length(image_id) + length(CAST(k AS VARCHAR)) + 2)::BIGINT AS length, sha256(string_agg(image_id || ' ' || k || chr(10), '' ORDER BY image_id || ' ' || k)) AS sha256 FROM images GROUP BY 1", images=V.IMAGES)
+def _(images):
+    found = IO.provenance(images.sparkSession, [_files(images) + "/*"])
+    return found.select(F.concat(F.lit("part_"), F.regexp_extract("path", "shard=([0-9]+)/", 1)).alias("part"), "length", "sha256")
+
+
+@query("scan_images", "SELECT DISTINCT 'part_' || (k % 16) AS part, 'txt' AS suffix, TRUE AS has_bytes FROM images", images=V.IMAGES)
+def _(images):
+    found = IO.scan_images(images.sparkSession, _files(images), ("txt",))
+    return found.select(F.concat(F.lit("part_"), F.regexp_extract("path", "shard=([0-9]+)/", 1)).alias("part"), "suffix", (F.col("length") > 0).alias("has_bytes"))
+
+
 @query("findings_round_trip", f"""SELECT category, path, detail FROM (SELECT 'invalid_boxes' AS category, image_id AS path, {PROBLEMS} AS detail FROM boxes WHERE NOT ({VALID})
  UNION ALL SELECT 'corrupt_images', path, 'image cannot be read' FROM images WHERE NOT readable)""", boxes=V.BOXES, images=V.IMAGES)
 def _(boxes, images):

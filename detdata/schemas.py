@@ -6,6 +6,12 @@ ANNOTATION_XML = "filename STRING, path STRING, size STRUCT<width: STRING, heigh
 SPLITS = ("test", "train", "val")
 MANIFEST_COLUMNS = ("image_id", "split", "image_path", "label_path", "source_image_path", "source_xml_path", "image_width", "image_height", "object_count", "small_box_count", "duplicate_group_id")
 FINDING_CATEGORIES = ("missing_images", "missing_xml", "extension_mismatches", "invalid_annotations", "invalid_boxes", "small_boxes", "corrupt_images", "duplicate_images")
+#: What an audit report calls the categories, and the totals of its summary.
+REPORT_CATEGORIES = {
+    "invalid_annotations": "invalid_annotations", "invalid_boxes": "invalid_bounding_boxes", "missing_images": "missing_images_for_xml", "missing_xml": "missing_xml_for_images",
+    "extension_mismatches": "filename_extension_mismatches", "corrupt_images": "corrupt_images", "duplicate_images": "duplicate_images", "small_boxes": "very_small_bounding_boxes",
+}
+REPORT_TOTALS = {"images": "total_images", "annotations": "total_xml_annotations", "objects": "total_annotated_objects"}
 #: Suffixes that count as images in an audit and in a conversion.
 AUDIT_SUFFIXES = ("bmp", "gif", "jpeg", "jpg", "png", "tif", "tiff", "webp")
 CONVERT_SUFFIXES = ("jpeg", "jpg", "png")

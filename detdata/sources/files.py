@@ -97,9 +97,9 @@ def read_manifest(spark: SparkSession, path: str, required: tuple) -> DataFrame:
 
 
 def read_split_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(list_name, image_id): the stem of the first token of each line that is not blank."""
-    lines = spark.read.option("pathGlobFilter", "*.txt").text(path).select(path_stem(F.col("_metadata.file_path")).alias("list_name"), F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).alias("t"))
-    return lines.where("t != ''").select("list_name", path_stem(F.col("t")).alias("image_id"))
+    """(list_name, list_path, image_id): the stem of the first token of each line that is not blank."""
+    lines = spark.read.option("pathGlobFilter", "*.txt").text(path).select(path_stem(F.col("_metadata.file_path")).alias("list_name"), F.col("_metadata.file_path").alias("list_path"), F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).alias("t"))
+    return lines.where("t != ''").select("list_name", "list_path", path_stem(F.col("t")).alias("image_id"))
 
 
 #: The part of an audit report that names duplicates, and how their findings name the group.
@@ -107,10 +107,10 @@ AUDIT_REPORT = "findings STRUCT<duplicate_images: ARRAY<STRUCT<path: STRING, det
 DUPLICATE_DETAIL = r"^Duplicate SHA-256 group: ([0-9a-f]{64})\.$"
 
 
-def read_audit_duplicates(spark: SparkSession, path: str, images: DataFrame) -> DataFrame:
-    """(image_id, path, duplicate_group_id) from an audit's JSON report, with images(image_id, path) joined by file name.
+def read_audit_duplicates(spark: SparkSession, path: str, images: DataFrame, lines: bool = False) -> DataFrame:
+    """(image_id, path, duplicate_group_id) from an audit's JSON report (one document, or the lines of write_audit_report), with images(image_id, path) joined by file name.
     A finding of another form, or of an image that is not there, is an error."""
-    report = spark.read.schema(AUDIT_REPORT).json(path, multiLine=True)
+    report = spark.read.schema(AUDIT_REPORT).json(path, multiLine=not lines)
     rows = report.select(F.explode("findings.duplicate_images").alias("f")).select("f.path", F.regexp_extract("f.detail", DUPLICATE_DETAIL, 1).alias("duplicate_group_id"))
     names = images.groupBy(path_name(F.col("path")).alias("_name")).agg(F.max("image_id").alias("image_id"))
     rows = rows.join(names, path_name(F.col("path")) == F.col("_name"), "left").select("image_id", "path", "duplicate_group_id")

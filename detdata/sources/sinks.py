@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import reasons_text, six_decimals
-from ..schemas import FINDING_CATEGORIES, MANIFEST_COLUMNS, NEEDS_REVIEW, REJECT, REVIEW_COLUMNS
+from ..operators.running import ranked
+from ..schemas import FINDING_CATEGORIES, MANIFEST_COLUMNS, NEEDS_REVIEW, REJECT, REPORT_CATEGORIES, REPORT_TOTALS, REVIEW_COLUMNS
 from ..storage import written
 
 SAFE, REPLACE = "errorifexists", "overwrite"
@@ -24,6 +25,36 @@ def write_findings(findings: DataFrame, path: str, mode: str = SAFE) -> None:
         dealt.where(F.col("category") == category).select("path", "detail").orderBy("path", "detail").write.mode(mode).csv(f"{path}/{category}", header=True)
 
 
+def report_summary(summary: DataFrame, side: float) -> DataFrame:
+    """One row (value): the JSON object {"summary": {...}} of audit_summary's rows, with the classes and their counts."""
+    of = lambda metric: F.coalesce(F.max(F.when(F.col("metric") == metric, F.col("value"))), F.lit(0))
+    classes = F.array_sort(F.collect_list(F.when(F.col("metric") == "object_class", F.struct("key", "value"))))
+    totals = [of(m).alias(name) for m, name in {**REPORT_TOTALS, **REPORT_CATEGORIES}.items()]
+    one = summary.agg(classes.alias("_c"), *totals)  # a row for each class is all it gathers
+    parts = [F.transform("_c", lambda c: c["key"]).alias("unique_object_classes"), F.map_from_entries("_c").alias("object_class_counts"), *REPORT_TOTALS.values(), *REPORT_CATEGORIES.values(), F.lit(f"width or height <= {side:g} pixels").alias("very_small_box_definition")]
+    return one.select(F.to_json(F.struct(F.struct(*parts).alias("summary"))).alias("value"))
+
+
+def report_findings(findings: DataFrame, chunk: int = 1000) -> DataFrame:
+    """(value): JSON objects {"findings": {category: [{"path": ..., "detail": ...}, ...]}} of one category and `chunk`
+    findings each, in the order of path and detail; a category of any size is as many objects. A duplicate's detail is
+    worded as reports word it."""
+    digest = F.regexp_extract("detail", "([0-9a-f]{64})", 1)
+    detail = F.when((F.col("category") == "duplicate_images") & (digest != ""), F.concat(F.lit("Duplicate SHA-256 group: "), digest, F.lit("."))).otherwise(F.col("detail"))
+    names = F.create_map(*[F.lit(x) for pair in REPORT_CATEGORIES.items() for x in pair])
+    rows = findings.select(names[F.col("category")].alias("name"), "path", detail.alias("detail"), "object_index")
+    rows = ranked(rows, ["name"], [F.col("path"), F.col("detail"), F.col("object_index")], "_place").withColumn("_chunk", F.floor((F.col("_place") - 1) / chunk))
+    held = rows.groupBy("name", "_chunk").agg(F.array_sort(F.collect_list(F.struct("_place", "path", "detail"))).alias("_f"))
+    listed = F.transform("_f", lambda f: F.struct(f["path"].alias("path"), f["detail"].alias("detail")))
+    return held.select(F.to_json(F.struct(F.create_map("name", listed).alias("findings"))).alias("value"))
+
+
+def write_audit_report(findings: DataFrame, summary: DataFrame, path: str, mode: str = SAFE, side: float = 10.0, chunk: int = 1000) -> None:
+    """The audit's nested report as JSON lines: one object with the summary, and objects with findings per category.
+    read_audit_duplicates(..., lines=True) reads it."""
+    report_summary(summary, side).unionByName(report_findings(findings, chunk)).write.mode(mode).text(path)
+
+
 def _label_line(class_id: pd.Series, xc: pd.Series, yc: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
     """Lines with 17 significant digits a number, which read back as the very same number. Spark has no such format: its
     own text of a double is the shortest that does so."""
