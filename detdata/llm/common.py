@@ -96,8 +96,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Rows of a key filter, each of them a bitmap of 2^15 bits: 2 MB, whatever the number of keys.
-FILTER_ROWS = 512
+#: Bits of a key filter per key, and its least and greatest number of rows, each of them a bitmap of 2^15 bits: 2 MB for
+#: up to a million keys; 128 MB, which bounds what is sent to the executors, from 67 million on.
+FILTER_BITS, FILTER_ROWS, MOST_FILTER_ROWS = 16, 512, 32_768
 
 
 def _key(columns: list[Column]) -> Column:
@@ -105,9 +106,13 @@ def _key(columns: list[Column]) -> Column:
 
 
 def _may_hold(df: DataFrame, columns: list[Column], table: DataFrame, names: list[str]) -> DataFrame:
-    """df with _may: false only where no row of table has these keys. Built-in functions only; the filter has a fixed
-    size, so with very many keys it lets more rows pass, and at last all."""
-    place = lambda h: (F.pmod(F.shiftright(h, 20), F.lit(FILTER_ROWS)).cast("int"), F.pmod(h, F.lit(1 << 15)))
+    """df with _may: false only where no row of table, a written one, has these keys. Built-in functions only. The filter
+    grows with the number of keys and lets 1 in 16 of the other rows pass at most, up to its greatest size; of still more
+    keys it tells fewer rows apart."""
+    size, n = FILTER_ROWS, table.count()
+    while size < MOST_FILTER_ROWS and size * (1 << 15) < n * FILTER_BITS:
+        size *= 2
+    place = lambda h: (F.pmod(F.shiftright(h, 20), F.lit(size)).cast("int"), F.pmod(h, F.lit(1 << 15)))
     row, bit = place(_key([F.col(n) for n in names]))
     bits = table.select(row.alias("_row"), bit.alias("_bit")).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     bits = written(bits, "key_filter")
@@ -116,7 +121,7 @@ def _may_hold(df: DataFrame, columns: list[Column], table: DataFrame, names: lis
     one = F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
     keys = [c.alias(f"_key{i}") for i, c in enumerate(columns)]
     placed = df.select(F.struct(*[df[c] for c in df.columns]).alias("_whole"), row.alias("_row"), bit.alias("_bit"), *keys)
-    # the filter's size is bounded: FILTER_ROWS rows of 4 KB
+    # the filter's size is bounded: MOST_FILTER_ROWS rows of 4 KB
     return placed.join(F.broadcast(bits), "_row", "left").select("_whole", *[f"_key{i}" for i in range(len(keys))], F.coalesce(one, F.lit(False)).alias("_may"))
 
 
