@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import seeded_order
+from ..storage import written
 
 #: Rows of each risk rule: (reason, column, rows, only positive values).
 RISK_RULES = (("highest_object_count", "object_count", 10, False), ("contains_very_small_box", "small_box_count", 10, True), ("unusual_large_box", "largest_area", 5, False), ("unusual_aspect_ratio", "largest_aspect", 5, False))
 
-#: Lists that split_list_representatives takes: their first ids reach the driver.
-MAX_LISTS = 100_000
+#: Lists ask for ids in rounds while each settles this part of those that asked.
+LEAST_PROGRESS = 0.1
 
 
 def top_by_risk(images: DataFrame, rules: tuple = RISK_RULES) -> DataFrame:
@@ -56,33 +57,50 @@ def duplicate_members(members: DataFrame, limit: int | None = None) -> DataFrame
     return rows if limit is None else rows.orderBy("group", "image_id").limit(limit)
 
 
-def split_list_representatives(lists: DataFrame, head: int = 32, max_lists: int = MAX_LISTS) -> DataFrame:
+def split_list_representatives(lists: DataFrame) -> DataFrame:
     """(list_name, image_id): per list, in name order, its first id that no earlier list took, else its first id.
 
-    The first `head` ids of each list come in one job and are dealt out in order; a list whose first ids are all taken
-    is read on in blocks. More than max_lists lists are an error.
+    All lists ask at once for their first id; an id goes to the earliest list that asks for it, also if a later one held it
+    until then, and the others ask for their next one, until none is left to ask. As all lists want small ids first and all
+    ids earlier lists, that ends with what the lists would have taken one after another. Lists that share few ids end in a
+    few rounds. Once a round settles less than a tenth of those that asked, many lists want the same ids: then one task
+    reads the ids in order and gives each to the earliest list without one, holding the names of the lists that have one.
     """
-    n = lists.select("list_name").distinct().count()
-    if n > max_lists:
-        raise ValueError(f"{n} lists, more than {max_lists}")
-    ids = lists.select("list_name", "image_id").distinct()
-    w = Window.partitionBy("list_name").orderBy(F.col("image_id").asc_nulls_last())
-    heads: dict[str, list] = {}
-    for r in ids.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= head).orderBy("list_name", "_n").collect():
-        heads.setdefault(r["list_name"], []).append(r["image_id"])
-    picks: dict[str, str] = {}
-    taken: set[str] = set()
-    for name, block in heads.items():
-        first, size = block[0], head
-        pick = next((i for i in block if i is not None and i not in taken), None)
-        while pick is None and len(block) == size and block[-1] is not None:
-            size = 10_000
-            rest = ids.where(F.col("list_name").eqNullSafe(F.lit(name)) & (F.col("image_id") > F.lit(block[-1])))
-            block = [r["image_id"] for r in rest.orderBy("image_id").limit(size).collect()]
-            pick = next((i for i in block if i not in taken), None)
-        picks[name] = first if pick is None else pick
-        taken.add(picks[name])
-    return lists.sparkSession.createDataFrame(list(picks.items()), "list_name string, image_id string")
+    ids = written(lists.select("list_name", "image_id").distinct(), "list_ids")
+    firsts = ids.groupBy("list_name").agg(F.min("image_id").alias("first"))
+    known = ids.where("image_id is not null")
+    asking = written(firsts.where("first is not null").select("list_name", F.lit(None).cast(ids.schema["image_id"].dataType).alias("after")), "asking")
+    held, n = known.limit(0), asking.count()
+    while n:
+        asked = known.join(asking, "list_name").where(F.col("after").isNull() | (F.col("image_id") > F.col("after"))).groupBy("list_name").agg(F.min("image_id").alias("image_id"))
+        both = held.unionByName(asked)
+        earliest = both.groupBy("image_id").agg(F.min("list_name").alias("earliest"))
+        judged = written(both.join(earliest, "image_id"), "judged")
+        held = judged.where("list_name = earliest").select("list_name", "image_id")
+        asking, before = judged.where("list_name != earliest").select("list_name", F.col("image_id").alias("after")), n
+        n = asking.count()
+        if n > (1 - LEAST_PROGRESS) * before:
+            held = written(_in_order(known), "held")
+            break
+    return firsts.join(held, "list_name", "left").select("list_name", F.coalesce("image_id", "first").alias("image_id"))
+
+
+def _in_order(ids: DataFrame) -> DataFrame:
+    """(list_name, image_id): ids in order, each given to the earliest list that holds it and has none yet."""
+    rows = ids.select("image_id", "list_name").repartition(1).sortWithinPartitions("image_id", "list_name")
+
+    def run(batches):
+        served, last = set(), None
+        for b in batches:
+            keep = []
+            for at, (i, name) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if i != last and name not in served:
+                    served.add(name)
+                    last = i
+                    keep.append(at)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema).select("list_name", "image_id")
 
 
 def seeded_sample_per_split(rows: DataFrame, quota: dict[str, int], seed: int, strict: bool = False) -> DataFrame:

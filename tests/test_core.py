@@ -160,9 +160,7 @@ def test_list_representatives(spark):
 
     assert dict(P.split_list_representatives(df).collect()) == want(lists)
     few = df.where("list_name like 'm%'")
-    assert dict(P.split_list_representatives(few, head=2).collect()) == want([n for n in lists if n[0] == "m"])
-    with pytest.raises(ValueError):
-        P.split_list_representatives(few, max_lists=6)
+    assert dict(P.split_list_representatives(few).collect()) == want([n for n in lists if n[0] == "m"])
 
 
 def test_audit_references(spark):

@@ -146,3 +146,25 @@ def test_group_texts(spark):
     texts = {(r["group"], r["chunk_no"]): r["group_object_counts"] for r in R.group_object_count_texts(compared, 7).collect()}
     assert texts["two", 0] == R.with_group_object_counts(compared.where("`group` = 'two'")).first()["group_object_counts"]
     assert R.duplicate_group_texts(members.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["apart", "alike", "mixed"])
+def test_split_list_representatives(spark, kind):
+    """Lists that share few ids, lists that are all the same (walked in order), and anything between."""
+    rnd = random.Random(kind)
+    if kind == "alike":
+        lists = {f"l{k:02}": [f"i{i:03}" for i in range(25)] for k in range(40)}
+    else:
+        lists = {f"l{k:02}": [f"i{rnd.randrange(400 if kind == 'apart' else 30):03}" for _ in range(rnd.randrange(1, 12))] for k in range(25)}
+    lists["none"] = [None]
+    lists["z"] = [None, "i000", "i001"]
+    rows = [(n, i) for n, ids in lists.items() for i in ids]
+    taken, expected = set(), {}
+    for name in sorted(lists):
+        own = sorted({i for i in lists[name] if i is not None})
+        pick = next((i for i in own if i not in taken), own[0] if own else None)
+        expected[name] = pick
+        taken.add(pick)
+    df = spark.createDataFrame([*rows, *rows[:5]], "list_name string, image_id string")
+    assert {r["list_name"]: r["image_id"] for r in P.split_list_representatives(df).collect()} == expected
+    assert P.split_list_representatives(df.limit(0)).count() == 0
