@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,8 +50,8 @@ class _Filling:
     def __init__(self, target: dict, held: dict, step: tuple[int, int, int]):
         self.target, self.held, self.step = target, held, step
 
-    def used(self, s: str, n: int) -> float:
-        """Utilisation of split s with n groups of the run."""
+    def used(self, s: str, n):
+        """Utilisation of split s with n groups of the run, n a number or an array of numbers."""
         return sum(w * (h + n * d) / t for w, h, d, t in zip(WEIGHTS, self.held[s], self.step, self.target[s], strict=True))
 
     def _before(self, t: str, s: str, value: float, most: int) -> int:
@@ -108,22 +109,20 @@ def _chunk_states(targets: dict[str, tuple[float, float, float]], size: int):
 
 
 def _chunk_choices(targets: dict[str, tuple[float, float, float]]):
-    """The choices of each chunk, from its own state."""
+    """The choices of each chunk, from its own state: what each split is used before each of the picks that it gets, all
+    sorted together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         target = _at_least_one(targets)
         for pdf in batches:
             for objects, images, small, chunk, size, flat in pdf.itertuples(index=False):
                 held = {s: tuple(int(x) for x in flat[3 * i : 3 * i + 3]) for i, s in enumerate(SPLITS)}
-                filling, count, choices = _Filling(target, held, (int(images), int(objects), int(small))), dict.fromkeys(SPLITS, 0), []
-                used = {s: filling.used(s, 0) for s in SPLITS}
-                for _ in range(size):
-                    i = min(range(len(SPLITS)), key=lambda k: (used[SPLITS[k]], SPLITS[k]))  # noqa: B023
-                    s = SPLITS[i]
-                    count[s] += 1
-                    used[s] = filling.used(s, count[s])
-                    choices.append(i)
-                yield pd.DataFrame({"objects": [objects], "images": [images], "small": [small], "chunk": [chunk], "choices": [choices]})
+                filling = _Filling(target, held, (int(images), int(objects), int(small)))
+                picks = {s: np.arange(n, dtype=np.float64) for s, n in filling.after(int(size)).items()}
+                used = np.concatenate([filling.used(s, picks[s]) for s in SPLITS])
+                which = np.repeat(np.arange(len(SPLITS), dtype=np.int32), [len(picks[s]) for s in SPLITS])
+                order = np.lexsort((np.concatenate([picks[s] for s in SPLITS]), which, used))
+                yield pd.DataFrame({"objects": [objects], "images": [images], "small": [small], "chunk": [chunk], "choices": [which[order]]})
 
     return run
 
