@@ -15,7 +15,7 @@ from ..operators import split as G
 from ..schemas import CONVERT_SUFFIXES, SMALL_SIDE
 from ..sources import files as IO
 from ..sources import sinks as K
-from ..storage import written
+from ..storage import scratch, written
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def check(source: Source, out: str, side: float = SMALL_SIDE) -> tuple[DataFrame
 
 def prepare(spark: SparkSession, images: str, annotations: str, out: str, ratios: dict[str, float], side: float = SMALL_SIDE, source_class: str = "fore", overwrite: bool = False) -> None:
     """Audit, conversion with split, and check of a data set; the run at `out` is complete or isn't there."""
-    with K.published_run(spark, out, overwrite, ratios=ratios, side=side, source_class=source_class) as stage:
+    with scratch(spark), K.published_run(spark, out, overwrite, ratios=ratios, side=side, source_class=source_class) as stage:
         source = read_source(spark, images, annotations)
         audit(source, f"{stage}/audit", side)
         convert(source, stage, ratios, side, source_class)

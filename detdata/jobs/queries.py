@@ -369,7 +369,7 @@ MATCH = f"""RECURSIVE , p AS ({PAIRS}), o AS (SELECT *, row_number() OVER (PARTI
 
 @query("match_boxes", f"{MATCH} SELECT * FROM mt", src=V.SOURCE, conv=CONV)
 def _(src, conv):
-    return M.match_boxes(M.pair_boxes(src, conv))
+    return M.match_image_boxes(src, conv)
 
 
 # few images with hundreds of boxes each, whose sides go from 4 to 40,000 pixels
@@ -386,7 +386,8 @@ def _(src, conv):
 
 @query("match_boxes_crowded", f"{MATCH} SELECT * FROM mt", src=CROWD_S, conv=CROWD_D)
 def _(src, conv):
-    return M.match_image_boxes(src, conv)
+    # rounds for images with more than 2,000 pairs, in order for the others
+    return M.match_boxes(M.pair_boxes(src, conv), 2000)
 
 
 STATS = """st AS (SELECT i.image_id, coalesce(s, 0) AS source_count, coalesce(d, 0) AS converted_count, min_iou, mean_iou, max_delta, coalesce(s, 0) - coalesce(n, 0) AS unmatched_source, coalesce(d, 0) - coalesce(n, 0) AS unmatched_converted FROM images i
@@ -402,8 +403,8 @@ def _(src, conv, images):
 # ---- verdicts
 
 #: What is known of each image, with planted faults.
-FACTS = """SELECT i.image_id, m.split, m.small_box_count, k % 211 <> 0 AS has_xml, k % 223 <> 0 AS has_source, k % 227 <> 0 AS has_converted, k % 229 <> 0 AS has_label, readable AS src_readable, TRUE AS conv_readable,
- src_width, src_height, xml_width, xml_height, conv_width, conv_height, k % 83 = 0 AS duplicate_count_differs, k % 499 = 0 AS duplicate_crosses_split, k % 1013 = 0 AS in_several_splits FROM ({images_}) i JOIN ({dims_}) d ON i.image_id = d.image_id JOIN (SELECT image_id AS mid, split, small_box_count FROM ({manifest_}) z) m ON i.image_id = m.mid"""
+FACTS = """SELECT i.image_id, m.split, m.small_box_count, m.source_image_path, m.source_xml_path, m.label_path, m.grp, k % 211 <> 0 AS has_xml, k % 223 <> 0 AS has_source, k % 227 <> 0 AS has_converted, k % 229 <> 0 AS has_label, readable AS src_readable, TRUE AS conv_readable,
+ src_width, src_height, xml_width, xml_height, conv_width, conv_height, k % 83 = 0 AS duplicate_count_differs, k % 499 = 0 AS duplicate_crosses_split, k % 1013 = 0 AS in_several_splits FROM ({images_}) i JOIN ({dims_}) d ON i.image_id = d.image_id JOIN (SELECT image_id AS mid, split, small_box_count, source_image_path, source_xml_path, label_path, duplicate_group_id AS grp FROM ({manifest_}) z) m ON i.image_id = m.mid"""
 FACTS = FACTS.replace("{images_}", V.IMAGES).replace("{dims_}", DIMS).replace("{manifest_}", V.MANIFEST)
 
 _R = {
@@ -440,7 +441,7 @@ def _shown(df):
 
 
 def _v1(facts, src, labels):
-    return R.review_records(facts, src, labels, 10.0)
+    return R.review_records(facts.withColumnRenamed("grp", "group"), src, labels, 10.0)
 
 
 @query("review_records", f"{V1} SELECT {SHOWN} FROM vd", conv=CONV, **REVIEW_TABLES)
@@ -910,13 +911,14 @@ def _(boxes, images):
     return A.union([boxes.sparkSession.read.schema("path string, detail string").csv(f"{path}/{c}", header=True).select(F.lit(c).alias("category"), "path", "detail") for c in A.FINDING_CATEGORIES])
 
 
-@query("reviews_round_trip", f"{V1} SELECT image_id, split, source_count::VARCHAR AS source_object_count, status AS automated_status, array_to_string(reasons, ';') AS automated_reasons, coalesce(printf('%.6f', max_delta), '') AS max_coordinate_delta_px, coalesce(printf('%.6f', min_iou), '') AS minimum_matched_iou FROM vd WHERE status <> 'PASS'", conv=CONV, **REVIEW_TABLES)
+@query("reviews_round_trip", f"""{V1} SELECT image_id, split, source_image_path, source_xml_path, label_path AS yolo_label_path, grp AS duplicate_group_id, source_count::VARCHAR AS source_object_count, status AS automated_status, array_to_string(reasons, ';') AS automated_reasons,
+ coalesce(printf('%.6f', max_delta), '') AS max_coordinate_delta_px, coalesce(printf('%.6f', min_iou), '') AS minimum_matched_iou FROM vd JOIN (SELECT image_id, source_image_path, source_xml_path, label_path, grp FROM facts) USING (image_id) WHERE status <> 'PASS'""", conv=CONV, **REVIEW_TABLES)
 def _(_conv, facts, src, labels):
     path = new_path(facts.sparkSession, "reviews")
     K.write_reviews(_v1(facts, src, labels), path)
     rows = [facts.sparkSession.read.csv(f"{path}/{part}", header=True) for part in ("needs_review", "rejected")]
     assert rows[0].columns == list(K.REVIEW_COLUMNS)
-    names = ("image_id", "split", "source_object_count", "automated_status", "automated_reasons", "max_coordinate_delta_px", "minimum_matched_iou")
+    names = ("image_id", "split", "source_image_path", "source_xml_path", "yolo_label_path", "duplicate_group_id", "source_object_count", "automated_status", "automated_reasons", "max_coordinate_delta_px", "minimum_matched_iou")
     return rows[0].unionByName(rows[1]).select(*[F.coalesce(c, F.lit("")).alias(c) for c in names])
 
 

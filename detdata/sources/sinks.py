@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import reasons_text, six_decimals
 from ..operators.running import ranked
 from ..schemas import FINDING_CATEGORIES, MANIFEST_COLUMNS, NEEDS_REVIEW, REJECT, REPORT_CATEGORIES, REPORT_TOTALS, REVIEW_COLUMNS
-from ..storage import written
+from ..storage import scratch, written
 
 SAFE, REPLACE = "errorifexists", "overwrite"
 
@@ -20,9 +20,10 @@ SAFE, REPLACE = "errorifexists", "overwrite"
 def write_findings(findings: DataFrame, path: str, mode: str = SAFE) -> None:
     """A CSV folder per category with columns path, detail; written also for categories without a finding. The findings
     are worked out once and dealt into a table by category, from which each folder is written."""
-    dealt = written(findings.select("category", "path", "detail"), "findings", by="category")
-    for category in FINDING_CATEGORIES:
-        dealt.where(F.col("category") == category).select("path", "detail").orderBy("path", "detail").write.mode(mode).csv(f"{path}/{category}", header=True)
+    with scratch(findings.sparkSession):
+        dealt = written(findings.select("category", "path", "detail"), "findings", by="category")
+        for category in FINDING_CATEGORIES:
+            dealt.where(F.col("category") == category).select("path", "detail").orderBy("path", "detail").write.mode(mode).csv(f"{path}/{category}", header=True)
 
 
 def report_summary(summary: DataFrame, side: float) -> DataFrame:
@@ -52,7 +53,8 @@ def report_findings(findings: DataFrame, chunk: int = 1000) -> DataFrame:
 def write_audit_report(findings: DataFrame, summary: DataFrame, path: str, mode: str = SAFE, side: float = 10.0, chunk: int = 1000) -> None:
     """The audit's nested report as JSON lines: one object with the summary, and objects with findings per category.
     read_audit_duplicates(..., lines=True) reads it."""
-    report_summary(summary, side).unionByName(report_findings(findings, chunk)).write.mode(mode).text(path)
+    with scratch(findings.sparkSession):
+        report_summary(summary, side).unionByName(report_findings(findings, chunk)).write.mode(mode).text(path)
 
 
 def _label_line(class_id: pd.Series, xc: pd.Series, yc: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
@@ -89,10 +91,11 @@ def review_texts(reviews: DataFrame) -> DataFrame:
 
 def write_reviews(reviews: DataFrame, path: str, mode: str = SAFE) -> None:
     """All reviews, those that need review, and the rejected ones."""
-    rows = written(review_texts(reviews), "reviews")
-    status = F.col("automated_status")
-    for name, part in (("all", rows), ("needs_review", rows.where(status == NEEDS_REVIEW)), ("rejected", rows.where(status == REJECT))):
-        part.orderBy("image_id").write.mode(mode).csv(f"{path}/{name}", header=True)
+    with scratch(reviews.sparkSession):
+        rows = written(review_texts(reviews), "reviews")
+        status = F.col("automated_status")
+        for name, part in (("all", rows), ("needs_review", rows.where(status == NEEDS_REVIEW)), ("rejected", rows.where(status == REJECT))):
+            part.orderBy("image_id").write.mode(mode).csv(f"{path}/{name}", header=True)
 
 
 def write_summary(summary: DataFrame, path: str, mode: str = SAFE) -> None:

@@ -2,9 +2,15 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of the job that is at work in this thread, if it deletes its tables.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the folder of spark.checkpoint.dir."""
@@ -17,9 +23,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, so nothing that depends on them may be read after it: for jobs that
+    write their results. Inside another scratch the outer one deletes."""
+    if _SCRATCH.get() is not None:
+        yield
+        return
+    own = new_path(spark, "scratch")
+    before = _SCRATCH.set(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        at = spark._jvm.org.apache.hadoop.fs.Path(own)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir, read back, in folders by a column if one is given. Its lineage ends there, so what is
-    not repeatable (partition numbers, say) is fixed, and a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    """df as a Parquet table in the folder of spark.checkpoint.dir, read back, in folders by a column if one is given. Its
+    lineage ends there, so what is not repeatable (partition numbers, say) is fixed, and a lost executor costs no
+    recomputation. Inside scratch() the table goes when that ends; else it stays as long as the folder does, since what is
+    returned reads it."""
+    spark, own = df.sparkSession, _SCRATCH.get()
+    path = f"{own}/{name}-{uuid.uuid4().hex}" if own else new_path(spark, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
