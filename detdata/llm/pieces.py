@@ -3,7 +3,9 @@
 A byte-level BPE that splits by its usual pattern never lets a token cross from a character that is no white space to one that
 is, nor from an ASCII letter or digit to a punctuation mark. So a text is the sequence of its pieces, cut
 there, and encoding the pieces one by one gives the ids of the whole text. Words repeat, so a task encodes
-each distinct piece once and keeps a bounded number of them. A text with white space beyond ASCII, or with
+each distinct piece once and keeps a bounded number of them. Most pieces begin with white space and end without it: no
+token crosses from one such piece to the next in any order, so the tokenizer gets them strung together, and the lengths of
+the tokens tell whose they are. A text with white space beyond ASCII, or with
 the string of a special token, is one piece. With a tokenizer file of another kind, each text is one piece, and nothing
 is remembered.
 """
@@ -11,6 +13,7 @@ is remembered.
 import functools
 import json
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +24,18 @@ from . import hashing as H
 REMEMBERED = 500_000
 #: Bytes of text that are cut and encoded at once.
 SLICE = 4 << 20
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_WORD = np.zeros(256, dtype=bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-#: Marks that no special form of the tokenizer begins with (the apostrophe is left out).
-_MARK = np.zeros(256, dtype=bool)
-_MARK[[ord(c) for c in '!"#$%&()*+,-./:;=?@[]^_`{|}~']] = True
+#: Pieces that are strung together for the tokenizer.
+STRUNG = 200
 #: Lead bytes of white space beyond ASCII: U+0085 and U+00A0, U+1680, U+2000-205F, U+3000.
 _LEADS = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
-_LEAD = np.zeros(256, dtype=bool)
-_LEAD[list(_LEADS)] = True
+#: Kinds of bytes; marks are those that no special form of the tokenizer begins with (the apostrophe is left out).
+_SPACE, _WORD, _MARK, _LEAD = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _WORD
+_KIND[[ord(c) for c in '!"#$%&()*+,-./:;=?@[]^_`{|}~']] = _MARK
+_KIND[list(_LEADS)] = _LEAD
+_KINDS = _KIND.tobytes()
 
 
 @functools.lru_cache(maxsize=1)
@@ -60,6 +64,8 @@ class Encoder:
         self.size = self.tok.get_vocab_size()
         special = {i: t.content.encode() for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special = list(special.values())
+        # white space in the string of a special token might be that between two pieces
+        self.strings = self.by_piece and not any((_KIND[list(t)] == _SPACE).any() for t in self.special)
         # the vocabulary writes each byte as one character
         self.n_bytes = np.zeros(self.size, np.int64)
         for token, i in self.tok.get_vocab().items():
@@ -67,25 +73,54 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _lookup(self, pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _can_string(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which pieces, data[at[i]:at[i + 1]], begin with white space and surely end without it."""
+        if not self.strings:
+            return np.zeros(len(at) - 1, dtype=bool)
+        end = at[1:]
+        beyond = (data[end - 1] >= 0x80) & ((_KIND[data[end - 2]] == _LEAD) | (_KIND[data[end - 3]] == _LEAD))
+        return (_KIND[data[at[:-1]]] == _SPACE) & (_KIND[data[end - 1]] != _SPACE) & ~beyond
+
+    def _each(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text), the texts taken one by one."""
+        ids, sizes = [], []
+        for i in range(0, len(texts), 20_000):
+            for e in self.tok.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False):
+                own = e.ids
+                ids += own
+                sizes.append(len(own))
+        return np.array(ids, np.int32), np.array(sizes, np.int64)
+
+    def _encoded(self, strung: list, single: list, n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece) of the pieces that can be strung together and then of the others, whose
+        lengths are n_bytes."""
+        if not strung:
+            return self._each(single)
+        ids, _ = self._each(["".join(strung[i : i + STRUNG]) for i in range(0, len(strung), STRUNG)] + single)
+        to, ends = np.cumsum(self.n_bytes[ids]), np.cumsum(n_bytes)
+        last = np.searchsorted(to, ends)
+        if len(to) and last[-1] == len(to) - 1 and np.array_equal(to[last], ends):
+            return ids, np.diff(np.append(-1, last))
+        # a vocabulary without some bytes has ids of other lengths
+        return self._each(strung + single)
+
+    def _lookup(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, first, size): the ids of pieces[i] are size[i] values of flat from first[i] on."""
-        get = self.known.get
-        which = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        texts = pieces.to_numpy(zero_copy_only=False)
+        which = np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
         new = np.flatnonzero(which < 0)
-        parts, sizes = [], []
-        for i in range(0, len(new), 20_000):
-            for e in self.tok.encode_batch_fast([pieces[j] for j in new[i : i + 20_000].tolist()], add_special_tokens=False):
-                ids = e.ids
-                parts += ids
-                sizes.append(len(ids))
-        flat = np.concatenate([self.flat, np.array(parts, np.int32)])
-        at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.array(sizes, np.int64))])
+        data, offsets = H.utf8(pieces)
+        can = self._can_string(data, offsets)[new]
+        new = np.concatenate([new[can], new[~can]])
+        k = int(can.sum())
+        parts, sizes = self._encoded(texts[new[:k]].tolist(), texts[new[k:]].tolist(), np.diff(offsets)[new])
+        flat = np.concatenate([self.flat, parts])
+        at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         n = len(self.at) - 1
         which[new] = n + np.arange(len(new))
         keep = min(len(new), REMEMBERED - n) if self.by_piece else 0
         if keep > 0:
-            for i, j in enumerate(new[:keep].tolist()):
-                self.known[pieces[j]] = n + i
+            self.known.update(zip(texts[new[:keep]].tolist(), range(n, n + keep), strict=True))
             self.flat, self.at = flat[: at[n + keep]], at[: n + keep + 1]
         return flat, at[which], (at[1:] - at[:-1])[which]
 
@@ -115,12 +150,12 @@ class Encoder:
         if not len(data):
             none = np.zeros(0, np.int64)
             return (none, np.zeros(len(rows), np.int64)) + ((none, none) if spans else ())
-        space = _SPACE[data]
-        first = space.copy()
-        first[1:] &= ~space[:-1]
-        first[1:] |= _WORD[data[:-1]] & _MARK[data[1:]]
+        kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+        first = kind == _SPACE
+        first[1:] &= ~first[:-1]
+        first[1:] |= (kind[:-1] == _WORD) & (kind[1:] == _MARK)
         whole = [self._special(data)]
-        lead = np.flatnonzero(_LEAD[data])
+        lead = np.flatnonzero(kind == _LEAD)
         if len(lead):
             lead = lead[lead + 1 < len(data)]
             after = data[lead + 1]
@@ -138,7 +173,7 @@ class Encoder:
         column = pa.Array.from_buffers(pa.large_utf8(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))])
         coded = column.dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        flat, start, size = self._lookup(coded.dictionary.to_pylist())
+        flat, start, size = self._lookup(coded.dictionary)
         each = size[which]
         ends = np.cumsum(each)
         ids = flat[np.arange(ends[-1]) + np.repeat(start[which] - (ends - each), each)]

@@ -38,39 +38,50 @@ from .pieces import encoder
 
 SHARD = 1 << 20
 LEAST, DROP, GAIN = 8, 16, 1e-2
-_BITS = 19
-
-
-def _cells(pair: np.ndarray) -> np.ndarray:
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
-
-
-def _frequent(pair: np.ndarray, cell: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs, counts, places): those that LEAST places hold, in order, and where they may stand."""
-    # a pair's cell holds at least as many places: cells that are too empty need no sorting
-    full = np.bincount(cell[ok], minlength=1 << _BITS) >= LEAST
-    at = np.flatnonzero(full[cell] & ok)
-    s = np.sort(pair[at])
-    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(s)))
-    value = s[first]
-    return value[count >= LEAST], count[count >= LEAST], at
-
-
-def _places(pair: np.ndarray, cell: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, pair numbers) of the chosen pairs without overlaps; a pair that keeps too few places, or shares its cell
-    with another chosen one, is left out."""
-    number = np.full(1 << _BITS, -1, np.int32)
-    number[_cells(chosen)] = np.arange(len(chosen))
-    which = number[cell[at]]
-    hit = which >= 0
-    at, which = at[hit], which[hit]
-    hit = chosen[which] == pair[at]
-    at, which = at[hit], which[hit]
+
+
+def _sorted_pairs(seq: np.ndarray, end: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, places) of all neighbouring symbols of one document, in order. Symbols are below base."""
+    bits, shift = (base - 1).bit_length(), len(seq).bit_length()
+    left, right = seq[:-1].astype(np.uint64), seq[1:].astype(np.uint64)
+    last = np.flatnonzero(end[:-1])
+    if 2 * bits + shift > 64:
+        pair = (left << np.uint64(32)) | right
+        at = np.argsort(pair, kind="stable")
+        at = at[~end[at]]
+        return pair[at], at
+    # pair and place in one number: numpy sorts plain numbers many times as fast as it sorts places by a key
+    left <<= np.uint64(bits)
+    left |= right
+    left <<= np.uint64(shift)
+    left |= np.arange(len(left), dtype=np.uint64)
+    left[last] = np.iinfo(np.uint64).max
+    left.sort()
+    left = left[: len(left) - len(last)]
+    return left >> np.uint64(shift), (left & np.uint64((1 << shift) - 1)).view(np.int64)
+
+
+def _replaced(seq: np.ndarray, end: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, pair numbers) of a round's pairs without overlaps; a pair that keeps too few places is left out."""
+    none = np.zeros(0, np.int64)
+    pair, at = _sorted_pairs(seq, end, base)
+    if not len(pair):
+        return none, none
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    count = np.diff(np.append(first, len(pair)))
+    most = int(count.max())
+    if most < LEAST:
+        return none, none
+    chosen = np.flatnonzero((count >= LEAST) & (count * DROP >= most))
+    first, count = first[chosen], count[chosen]
+    ends = np.cumsum(count)
+    number = np.full(len(seq), -1, np.int32)
+    number[at[np.arange(ends[-1]) + np.repeat(first - (ends - count), count)]] = np.repeat(np.arange(len(chosen), dtype=np.int32), count)
+    at = np.flatnonzero(number >= 0)
     run = np.flatnonzero(np.append(True, np.diff(at) > 1))
-    odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2
-    at, which = at[odd == 0], which[odd == 0]
-    stay = np.bincount(which, minlength=len(chosen))[which] >= LEAST
+    at = at[((np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1) == 0]
+    which = number[at]
+    stay = (np.bincount(which, minlength=len(chosen)) >= LEAST)[which]
     return at[stay], which[stay]
 
 
@@ -78,41 +89,40 @@ def compress(seq: np.ndarray, end: np.ndarray, base: int):
     """(symbols, end, rules): seq with frequent pairs replaced; end marks the last symbol of each document."""
     rules = []
     while len(seq) > 1:
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
-        cell = _cells(pair)
-        value, count, at = _frequent(pair, cell, ~end[:-1])
-        if not len(value):
-            break
-        places, which = _places(pair, cell, at, value[count * DROP >= count.max()])
-        name = np.full(len(value), -1, np.int64)
-        used = np.unique(which)
-        if len(places) - 3 * len(used) < GAIN * len(seq):
+        places, which = _replaced(seq, end, base + len(rules))
+        used = np.flatnonzero(np.bincount(which))
+        if not len(used) or len(places) - 3 * len(used) < GAIN * len(seq):
             break
+        name = np.zeros(used[-1] + 1, np.int64)
         name[used] = np.arange(len(used))
         number = name[which]
         first = np.zeros(len(used), np.int64)
         first[number] = places
         number += base + len(rules)
         rules.extend(zip(seq[first].tolist(), seq[first + 1].tolist(), strict=True))
-        seq = seq.copy()
-        seq[places] = number
-        end = end.copy()
-        end[places] |= end[places + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[places + 1] = False
+        seq, end = seq.copy(), end.copy()
+        seq[places] = number
+        end[places] |= end[places + 1]
         seq, end = seq[keep], end[keep]
     return seq, end, rules
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rules one after another, and where each begins (and the end)."""
-    out: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        x = np.array([a], np.uint32) if a < base else out[a - base]
-        y = np.array([b], np.uint32) if b < base else out[b - base]
-        out.append(np.concatenate([x, y]))
-    lens = np.fromiter(map(len, out), np.int64, len(out))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.append(0, np.cumsum(lens))
+    flat, size = rules.astype(np.uint32).ravel(), np.full(len(rules), 2, np.int64)
+    big = np.flatnonzero(flat >= base)
+    # all rules at once, a level of rules within rules in each step
+    while len(big):
+        lens = np.ones(len(flat), np.int64)
+        lens[big] = 2
+        to, inner = np.cumsum(lens), rules[flat[big] - base]
+        size = np.add.reduceat(lens, np.append(0, np.cumsum(size)[:-1]))
+        flat = np.repeat(flat, lens)
+        flat[to[big] - 2], flat[to[big] - 1] = inner[:, 0], inner[:, 1]
+        big = np.flatnonzero(flat >= base)
+    return flat, np.append(0, np.cumsum(size))
 
 
 def expand(symbols: np.ndarray, base: int, flat: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -151,6 +151,67 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
         assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_go_to_the_tokenizer_strung_together(tmp_path):
+    """Few calls for many distinct pieces, and the ids of whole texts for odd ones: white space beyond ASCII, marks,
+    special tokens, bytes that the vocabulary lacks."""
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from detdata.llm.pieces import Encoder
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdeéèЖ日ぁß’°", k=rnd.randrange(1, 9))) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 4000, 40)]
+    odd = [" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\u2003", "\u0085", "\x1c", "'s", "'", ".", "!?", "x", "Z9", "é", "°", "’", "あ", "日", "😀", "<|endoftext|>", "1"]
+    texts += ["".join(rnd.choices(odd, k=rnd.randrange(30))) for _ in range(3000)]
+    spec = json.loads(open(tokenizer_path()).read())
+    few = {c: i for i, c in enumerate([*"abcdexZ.!?'Ġ", "Ċ", "<|endoftext|>"])}
+    (tmp_path / "few").write_text(json.dumps({**spec, "added_tokens": [], "model": {"type": "BPE", "vocab": few, "merges": []}}))
+    (tmp_path / "usual").write_text(json.dumps(spec))
+    # a special token with white space, which the end and the beginning of two pieces might give
+    spaced = {**spec["added_tokens"][0], "id": len(spec["model"]["vocab"]), "content": "x é"}
+    (tmp_path / "spaced").write_text(json.dumps({**spec, "added_tokens": [*spec["added_tokens"], spaced]}))
+    for name in ("usual", "few", "spaced"):
+        e, tok, given = Encoder(str(tmp_path / name)), Tokenizer.from_file(str(tmp_path / name)), []
+
+        class Spy:
+            def encode_batch_fast(self, batch, tok=tok, given=given, **how):
+                given.append(len(batch))
+                return tok.encode_batch_fast(batch, **how)
+
+        e.tok = Spy()
+        assert e.by_piece
+        ids = [ids[at[i] : at[i + 1]].tolist() for _, ids, at in e.batch(pa.array(texts)) for i in range(len(at) - 1)]
+        assert ids == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        if name == "usual":
+            given.clear()
+            list(e.batch(pa.array([" " + " ".join(f"{c}{w}" for w in words if w.isascii() for c in "xyz") for _ in range(2)])))
+            assert 0 < sum(given) <= 20
+
+
+def test_repair_rounds():
+    """Symbols of any size are replaced alike, and rules within rules expand to what they stand for."""
+    rnd = np.random.default_rng(5)
+    seq = np.concatenate([np.tile(rnd.integers(0, 40, 50), 60), np.zeros(3000, np.int64), rnd.integers(0, 6, 9000)])
+    end = np.zeros(len(seq), dtype=bool)
+    end[rnd.integers(0, len(seq), 60)] = end[-1] = True
+    symbols, ends, rules = repair_codec.compress(seq, end, 50)
+    far = 1 << 31
+    symbols_far, ends_far, rules_far = repair_codec.compress(seq, end, far)
+    lift = lambda x: np.where(np.asarray(x) >= 50, np.asarray(x) - 50 + far, x)
+    assert lift(symbols).tolist() == symbols_far.tolist() and ends.tolist() == ends_far.tolist() and lift(rules).tolist() == np.array(rules_far).tolist()
+    flat, at = repair_codec.expansions(np.array(rules, "<u4").reshape(-1, 2), 50)
+    plain = []
+    for a, b in rules:
+        plain.append((plain[a - 50] if a >= 50 else [a]) + (plain[b - 50] if b >= 50 else [b]))
+    assert max(map(len, plain)) > 8 and [flat[i:j].tolist() for i, j in zip(at, at[1:])] == plain
+    assert repair_codec.expand(symbols, 50, flat, at).tolist() == seq.tolist() and len(symbols) < len(seq) / 2
+    runs = np.split(symbols, np.flatnonzero(ends)[:-1] + 1)
+    assert [len(repair_codec.expand(r, 50, flat, at)) for r in runs] == np.diff(np.append(-1, np.flatnonzero(end))).tolist()
+
+
 def test_decontamination(spark):
     rnd = random.Random(9)
     items = [(i, " ".join(rnd.choices(VOCAB, k=rnd.randrange(3, 60)))) for i in range(12)] + [(90, None), (91, "")]
