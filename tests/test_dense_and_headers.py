@@ -166,6 +166,37 @@ def test_rounds_equal_the_greedy_order(spark):
         assert {(r["image_id"], r["s_index"], r["d_index"]) for r in way.collect()} == plain_greedy(pairs)
 
 
+def crowd(rnd, images, n):
+    """Small boxes, each with a shifted copy on the other side, and a tenth of page-wide ones; some without a copy."""
+    s, d = [], []
+    for i in images:
+        for k in range(n):
+            side = 900.0 if k % 10 == 0 else 8.0
+            x, y = float(rnd.randrange(1000)), float(rnd.randrange(1000))
+            s.append((i, k, x, y, x + side, y + side))
+            if k % 7:
+                d.append((i, k, x + side / rnd.choice([4, 8, 16]), y, x + side * 1.1, y + side))
+    return s, d
+
+
+def test_boxes_of_a_crowd_are_dealt_out_few_times(spark):
+    """The even grid, the grid of levels and plain loops agree; on the even grid, and with a least IoU, no box is copied for
+    each level above it."""
+    s, d = crowd(random.Random(6), ["a", "b"], 400)
+    source, converted = spark.createDataFrame(s, BOX), spark.createDataFrame(d, BOX)
+    expected = plain_pairs(s, d)
+    read = lambda df: {(r["image_id"], r["s_index"], r["d_index"]) for r in df.collect()}
+    assert all(r["is_flat"] for r in M._grids(M._side(source, "s_"), M._side(converted, "d_"), M.CELL, True).collect())
+    assert read(M.pair_on_grid(source, converted)) == read(M.pair_on_grid(source, converted, flat=False)) == set(expected)
+    for least in (0.25, 1 / 256):
+        assert read(M.pair_on_grid(source, converted, least=least)) == read(M.pair_on_grid(source, converted, least=least, flat=False)) == {k for k, v in expected.items() if v >= least}
+    # boxes far too unevenly placed for one size of cell: all but one in a corner
+    tight = [("c", k, k % 60 * 3.0, k // 60 * 3.0, k % 60 * 3.0 + 4, k // 60 * 3.0 + 4) for k in range(3000)] + [("c", 9999, 1e9, 1e9, 1e9 + 5, 1e9 + 5)]
+    rows = spark.createDataFrame(tight, BOX)
+    assert not M._grids(M._side(rows, "s_"), M._side(rows, "d_"), M.CELL, True).first()["is_flat"]
+    assert M.pair_on_grid(rows, rows).count() == len(plain_pairs(tight, tight))
+
+
 def test_a_crowded_image_takes_linear_time(spark):
     """10^5 pairs of one image; a page-wide box isn't spread over the small cells it covers."""
     import time
