@@ -166,6 +166,14 @@ def test_rounds_equal_the_greedy_order(spark):
         assert {(r["image_id"], r["s_index"], r["d_index"]) for r in way.collect()} == plain_greedy(pairs)
 
 
+def test_rounds_alone_equal_the_greedy_order(spark):
+    rnd = random.Random(19)
+    pairs = {("tie", a, b): rnd.choice([0.25, 0.5, 0.75]) for a in range(25) for b in range(25) if rnd.random() < 0.5}
+    pairs |= {("chain", k // 2, (k + 1) // 2): 1 - (k + 1) / 500 for k in range(400)}
+    rows = spark.createDataFrame([(*k, v, 0.0) for k, v in pairs.items()], "image_id string, s_index int, d_index int, iou double, delta double")
+    assert {(r["image_id"], r["s_index"], r["d_index"]) for r in M.match_in_rounds(rows, 0).collect()} == plain_greedy(pairs)
+
+
 def crowd(rnd, images, n):
     """Small boxes, each with a shifted copy on the other side, and a tenth of page-wide ones; some without a copy."""
     s, d = [], []
@@ -179,6 +187,23 @@ def crowd(rnd, images, n):
     return s, d
 
 
+def test_matches_of_a_crowd_dont_need_all_its_pairs(spark, monkeypatch):
+    """Most pairs are of a small box in a page-wide one; those are made only of boxes that nothing nearer has taken."""
+    s, d = crowd(random.Random(5), ["a", "b"], 300)
+    made, rounds = [], M.match_in_rounds
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return rounds(pairs, *args)
+
+    monkeypatch.setattr(M, "match_in_rounds", counted)
+    source, converted = spark.createDataFrame(s, BOX), spark.createDataFrame(d, BOX)
+    matched = {(r["image_id"], r["s_index"], r["d_index"]) for r in M.match_image_boxes(source, converted, dense=100).collect()}
+    expected = plain_pairs(s, d)
+    assert matched == plain_greedy(expected)
+    assert sum(made) < len(expected) / 3
+
+
 def test_boxes_of_a_crowd_are_dealt_out_few_times(spark):
     """The even grid, the grid of levels and plain loops agree; on the even grid, and with a least IoU, no box is copied for
     each level above it."""
