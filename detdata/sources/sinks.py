@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import reasons_text, six_decimals
 from ..operators.running import ranked
 from ..schemas import FINDING_CATEGORIES, MANIFEST_COLUMNS, NEEDS_REVIEW, REJECT, REPORT_CATEGORIES, REPORT_TOTALS, REVIEW_COLUMNS
-from ..storage import scratch, written
+from ..storage import freed, scratch, written
 
 SAFE, REPLACE = "errorifexists", "overwrite"
 
@@ -89,13 +89,15 @@ def review_texts(reviews: DataFrame) -> DataFrame:
     return reviews.select(*[of(c).alias(name) for name, c in REVIEW_COLUMNS.items()])
 
 
-def write_reviews(reviews: DataFrame, path: str, mode: str = SAFE) -> None:
-    """All reviews, those that need review, and the rejected ones."""
+def write_reviews(reviews: DataFrame, path: str, mode: str = SAFE, compression: str = "none") -> None:
+    """All reviews, those that need review, and the rejected ones; as plain CSV or compressed, as Spark's CSV writer names it."""
     with scratch(reviews.sparkSession):
         rows = written(review_texts(reviews), "reviews")
+        freed(reviews.sparkSession)
         status = F.col("automated_status")
         for name, part in (("all", rows), ("needs_review", rows.where(status == NEEDS_REVIEW)), ("rejected", rows.where(status == REJECT))):
-            part.orderBy("image_id").write.mode(mode).csv(f"{path}/{name}", header=True)
+            part.orderBy("image_id").write.mode(mode).csv(f"{path}/{name}", header=True, compression=compression)
+            freed(reviews.sparkSession)
 
 
 def write_summary(summary: DataFrame, path: str, mode: str = SAFE) -> None:

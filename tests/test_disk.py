@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from detdata.operators import review as R
+from detdata.sources import sinks as K
 from detdata.storage import freed, new_path, passing, scratch, written
 
 
@@ -68,3 +69,16 @@ def test_readiness_counts_tables_one_by_one(spark):
     exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     assert exchanges(out) == exchanges(R.readiness_report(reviews, {}))
     assert {r["metric"]: r["value"] for r in out.collect() if r["metric"] in counted} == {"t0": 2, "t1": 3, "t2": 4, "t3": 5, "none": 0}
+
+
+def test_reviews_written_compressed(spark, tmp_path):
+    rows = [(f"i{k}", ("PASS", "NEEDS_REVIEW", "REJECT")[k % 3], ["a", "b"][: k % 3], 0.5) for k in range(30)]
+    reviews = spark.createDataFrame(rows, "image_id string, status string, reasons array<string>, min_iou double").withColumns({"max_delta": F.lit(None).cast("double"), "mean_iou": F.col("min_iou")})
+    before = shuffles(spark)
+    K.write_reviews(reviews, str(tmp_path / "gz"), compression="gzip")
+    assert gone(spark, before)
+    K.write_reviews(reviews, str(tmp_path / "plain"))
+    for part, n in (("all", 30), ("needs_review", 10), ("rejected", 10)):
+        assert all(f.name.endswith(".csv.gz") for f in (tmp_path / "gz" / part).glob("part-*")) and all(f.name.endswith(".csv") for f in (tmp_path / "plain" / part).glob("part-*"))
+        one, other = (spark.read.csv(str(tmp_path / kind / part), header=True).orderBy("image_id").collect() for kind in ("gz", "plain"))
+        assert one == other and len(one) == n
