@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from detdata.operators import matching as M
 from detdata.operators import review as R
 from detdata.sources import sinks as K
 from detdata.storage import freed, new_path, passing, scratch, written
@@ -61,6 +62,19 @@ def test_evidence_of_boxes_leaves_one_table(spark):
     assert [(rows[i]["source_count"], rows[i]["converted_count"], rows[i]["unmatched_source"], rows[i]["small"], rows[i]["label_errors"]) for i in "abc"] == [(2, 2, 0, 1, []), (1, 0, 1, 0, ["label_line_1_does_not_have_five_values"]), (0, 0, 0, 0, [])]
 
 
+def test_small_images_are_one_cell_of_the_grid(spark):
+    """No box is copied for the cells that it lies in, and the sides are read from tables, not worked out again."""
+    rows = [(f"i{k % 50}", k, 60.0 + k % 7, 60.0, 70.0 + k % 7, 70.0) for k in range(200)]
+    boxes = spark.createDataFrame(rows, "image_id string, object_index int, xmin double, ymin double, xmax double, ymax double")
+    pairs = M.pair_boxes_dense(boxes, boxes.repartition(3, "image_id"))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "RepartitionByExpression" not in plan
+    key = ["image_id", "s_index", "d_index", "iou", "delta"]
+    assert sorted(map(tuple, pairs.select(key).collect())) == sorted(map(tuple, M.pair_boxes(boxes, boxes, dense=0).select(key).collect()))
+    more = boxes.unionByName(spark.createDataFrame([("big", k, k % 10 * 9.0, k // 10 * 9.0, k % 10 * 9.0 + 12, k // 10 * 9.0 + 12) for k in range(100)], boxes.schema))
+    assert sorted(map(tuple, M.pair_boxes_dense(more, more).select(key).collect())) == sorted(map(tuple, M.pair_boxes(more, more).select(key).collect()))
+
+
 def test_readiness_counts_tables_one_by_one(spark):
     """The plan of the report doesn't hold the shuffles of the tables that it counts."""
     reviews = written(spark.createDataFrame([("PASS", [], "train", 1, 1)], "status string, reasons array<string>, split string, source_count long, converted_count long"), "reviews")
